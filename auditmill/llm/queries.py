@@ -7,8 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, minhash_dedup, mixing
-from .shared import table
+from . import chat, exact_dedup, line_dedup, minhash_dedup, mixing, pii, token_counts, toxicity, warc
+from .shared import let, table
+
+
+#: A demonstration key; a real one is a secret that the caller passes.
+PII_KEY = "demonstration-key"
+
+#: The tokenizer's vocabulary: pieces and scores of this public model, used as a unigram model.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,17 +35,60 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", F.sha2("line_dedup.kept_text", 256).alias("kept_sha256"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), token_counts.read_vocabulary(VOCABULARY))
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    fixed = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text")
+    )
+    turns = stored.unionByName(fixed).select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts"))
+    out = chat.format_chats(turns)
+    read = out.select("conv_id", "formatted", F.struct(chat.read_turns(F.col("formatted")).alias("t"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("l")).alias("r"))
+    digest = let(
+        F.col("r"),
+        lambda r: F.struct(
+            F.size(r["t"]).cast("long").alias("n_turns"),
+            F.sha2(F.array_join(F.transform(r["t"], lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+            F.aggregate(r["l"], F.lit(0).cast("long"), lambda n, x: n + F.length(x)).alias("loss_chars"),
+            F.sha2(F.array_join(r["l"], ""), 256).alias("loss_sha256"),
+        ),
+    )
+    read = read.select("conv_id", digest.alias("d"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return read.select("conv_id", "d.*", "formatted_chars")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(table(spark, sf_dir, "pages"), min_revisit_bytes=0)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii_pseudonyms": op1_pii_pseudonyms,
         "op2_minhash_near_dedup": op2_minhash_near_dedup,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_mixing": op5_mixing,
+        "op6_toxicity": op6_toxicity,
         "op7_line_dedup": op7_line_dedup,
+        "op8_token_counts": op8_token_counts,
+        "op9_chat_formatting": op9_chat_formatting,
+        "op10_warc": op10_warc,
     }
 
 
@@ -90,6 +144,39 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_
 FROM judged GROUP BY doc_id
 """
 
+OP9_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), sized AS (
+  SELECT *, length(role) + length(text) + length(text) - length(replace(text, chr(92), ''))
+         + len(regexp_extract_all(text, '</?s>|<</?SYS>>|<\|[A-Za-z_]+\|>|\[/?INST\]')) + 24 AS chars
+  FROM turns
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+#: DuckDB has no base 32: the SHA-1's hex digits are read as bits, and the bits five at a time.
+OP10_SQL = r"""
+WITH hashed AS (
+  SELECT page_id, coalesce(html, '') AS body, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS keep FROM pages
+), bits AS (
+  SELECT *, list_aggregate(list_transform(string_split(sha1(body), ''),
+           lambda c: ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][instr('0123456789abcdef', c)]), 'string_agg', '') AS b
+  FROM hashed
+)
+SELECT page_id, strlen(body)::BIGINT AS payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ('0b' || b[i * 5 + 1 : i * 5 + 5])::INTEGER]), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = keep THEN NULL ELSE keep END AS refers_to
+FROM bits
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op5_mixing": OP5_SQL, "op7_line_dedup": OP7_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op5_mixing": OP5_SQL, "op7_line_dedup": OP7_SQL, "op9_chat_formatting": OP9_SQL, "op10_warc": OP10_SQL}
