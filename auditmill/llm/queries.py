@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, line_dedup, minhash_dedup, mixing, pii, token_counts, toxicity, warc
+from . import chat, decontaminate, exact_dedup, line_dedup, minhash_dedup, mixing, pii, token_counts, toxicity, warc
 from .shared import let, table
 
 
@@ -26,6 +26,12 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = decontaminate.split_items(table(spark, sf_dir, "benchmark"))
+    found = decontaminate.find_contaminated(table(spark, sf_dir, "documents"), items)
+    return found.select("doc_id", (F.size("matches") > 0).alias("contaminated"), F.transform("matches", lambda m: m["item_id"]).alias("item_ids"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -82,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii_pseudonyms": op1_pii_pseudonyms,
         "op2_minhash_near_dedup": op2_minhash_near_dedup,
+        "op3_decontamination": op3_decontamination,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_mixing": op5_mixing,
         "op6_toxicity": op6_toxicity,
@@ -92,6 +99,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+OP3_SQL = r"""
+WITH item_words AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark
+), item_grams AS (
+  SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i : i + 4], ' '))) AS gram
+  FROM item_words WHERE len(w) > 0
+), sizes AS (SELECT item_id, count(*) AS n FROM item_grams GROUP BY item_id
+), doc_words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), doc_grams AS (
+  SELECT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) AS gram,
+         unnest(range(1, len(w) - 3)) AS pos
+  FROM doc_words
+), hits AS (
+  -- A match lies in one passage of 128 words; no item here is longer than half of that.
+  SELECT doc_id, item_id, gram, (pos - 1) // 64 + k AS passage FROM doc_grams JOIN item_grams USING (gram), (VALUES (0), (-1)) AS v(k)
+), matched AS (
+  SELECT DISTINCT doc_id, item_id FROM (
+    SELECT doc_id, item_id, passage, count(DISTINCT gram) AS c FROM hits GROUP BY ALL
+  ) JOIN sizes USING (item_id) WHERE 5 * c >= 4 * n
+)
+SELECT doc_id, count(m.item_id) > 0 AS contaminated, coalesce(list(m.item_id ORDER BY m.item_id) FILTER (m.item_id IS NOT NULL), []) AS item_ids
+FROM documents LEFT JOIN matched m USING (doc_id) GROUP BY doc_id
+"""
+
 OP4_SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -179,4 +211,4 @@ FROM bits
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op5_mixing": OP5_SQL, "op7_line_dedup": OP7_SQL, "op9_chat_formatting": OP9_SQL, "op10_warc": OP10_SQL}
+    return {"op3_decontamination": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op5_mixing": OP5_SQL, "op7_line_dedup": OP7_SQL, "op9_chat_formatting": OP9_SQL, "op10_warc": OP10_SQL}

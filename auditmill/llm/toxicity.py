@@ -180,6 +180,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return scored.select("doc_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")).alias("score"))
 
 
+def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, columns as they are, that score under the threshold. Without a shuffle."""
+    if model.trees is None:
+        return docs.where(F.lit(model.prior < threshold))
+    rows = docs.select(F.struct("*").alias("_doc"), F.col(text_col).alias("text"), F.lit(0).alias("fold"))
+    scored = model.curve.transform(_margin(model.trees, features(rows, [model.lexicon])))
+    return scored.where(F.col("score") < threshold).select("_doc.*")
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
