@@ -17,6 +17,10 @@ NO_GUIDELINE = "Для такого МКБ кода нет прямых клин
 SECTIONS = (("Анамнез", "anamnesis"), ("Осмотр", "inspection"), ("Лечение", "treatment"))
 
 
+#: What comes before a comma or colon outside of strings, and that sign: JSON rows get a space after it.
+JSON_PART = r'((?:"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^",:]++)++)([,:])'
+
+
 def joined(parts: Column, separator: str = "\n") -> Column:
     return F.array_join(parts, separator)
 
@@ -63,7 +67,7 @@ def format_chunk(chunk: Column, metadata: Column) -> Column:
     where = F.concat_ws(" | ", meta("section"), F.concat(F.lit("фрагмент "), metadata["chunk_index"]))
     header = F.concat_ws("\n", not_blank(who), not_blank(where))
     clean = F.regexp_replace(chunk, r"(?U)Unnamed\S*", " ")
-    rows = F.from_json(F.when(F.ltrim(clean).startswith("["), clean), "array<string>")
+    rows = F.transform(F.from_json(F.when(F.ltrim(clean).startswith("["), clean), "array<string>"), lambda r: F.regexp_replace(r, JSON_PART, "$1$2 "))
     body = F.when(F.coalesce(metadata["content_type"], F.lit("text")) == "table", F.coalesce(joined(rows), clean)).otherwise(chunk)
     return F.when(header != "", F.concat(F.lit("["), header, F.lit("]\n"), body)).otherwise(body)
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from auditmill.plans import code_queries, search_queries, visit_queries
+from auditmill.plans import code_queries, ingest_queries, result_queries, search_queries, visit_queries
 
-MODULES = (search_queries, code_queries, visit_queries)
+MODULES = (search_queries, code_queries, visit_queries, ingest_queries, result_queries)
 
 
 def queries() -> dict:
