@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditmill.functions.text import tokenize
+from auditmill.sources.scratch import stored
 
 #: Candidates for each result, fusion constant, and BM25's constants.
 CANDIDATE_FACTOR, RRF_K = 6, 50
@@ -151,11 +152,12 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, top_k: int = 10, query_ty
     docs' file_id, chunk and metadata. Equal scores keep the vector order.
     """
     near = nearest(queries, docs, top_k * CANDIDATE_FACTOR, vector_column(query_type), same_file)
-    found = near.join(docs.select("doc_id", "file_id", "chunk", "metadata"), "doc_id")
-    scored = bm25_scores(queries, found).join(near.select("query_id", "doc_id", "vector_rank"), ["query_id", "doc_id"])
-    ranked = bm25_rank(scored)
+    # Written once: what follows reads the candidates several times, and the corpus must be searched once.
+    found = stored(near.join(docs.select("doc_id", "file_id", "chunk", "metadata"), "doc_id"), "candidates")
+    places = found.select("query_id", "doc_id", "vector_rank")
+    ranked = bm25_rank(bm25_scores(queries, found).join(places, ["query_id", "doc_id"]))
     lists = ranked.select("query_id", "doc_id", F.explode(F.array("vector_rank", "bm25_rank")).alias("rank"))
-    fused = rrf_fuse(lists).join(near.select("query_id", "doc_id", "vector_rank"), ["query_id", "doc_id"])
+    fused = rrf_fuse(lists).join(places, ["query_id", "doc_id"])
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("rrf_score", DIGITS)), "vector_rank")
     best = fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
     kept = found.select("query_id", "doc_id", "file_id", "chunk", "metadata")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditmill.functions import text, vectors
 from auditmill.operators import retrieval
 from auditmill.plans import views
 from auditmill.plans.views import SQL_DOCS, SQL_QUERIES, with_views
+from auditmill.sources.scratch import stored
 
 PHRASES = ["idiot", "License"]
 #: Languages stand for sections, and so do these parts of their names for section keywords.
@@ -111,8 +112,8 @@ def knn_topk_filtered(spark: SparkSession, sf: str) -> DataFrame:
 
 def _candidates(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs, queries = views.docs(spark, sf), views.search_queries(spark, sf)
-    near = retrieval.nearest(queries, docs, 60)
-    return queries, near, near.join(docs.select("doc_id", "chunk"), "doc_id")
+    found = stored(retrieval.nearest(queries, docs, 60).join(docs.select("doc_id", "chunk"), "doc_id"), "candidates")
+    return queries, found.select("query_id", "doc_id", "vector_rank"), found
 
 
 def bm25_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -127,13 +128,13 @@ def bm25_score(spark: SparkSession, sf: str) -> DataFrame:
 
 def bm25_rank(spark: SparkSession, sf: str) -> DataFrame:
     queries, near, found = _candidates(spark, sf)
-    scored = retrieval.bm25_scores(queries, found).join(near.select("query_id", "doc_id", "vector_rank"), ["query_id", "doc_id"])
+    scored = retrieval.bm25_scores(queries, found).join(near, ["query_id", "doc_id"])
     return retrieval.bm25_rank(scored).select("query_id", "doc_id", "vector_rank", "bm25_rank")
 
 
 def rrf_fuse(spark: SparkSession, sf: str) -> DataFrame:
     queries, near, found = _candidates(spark, sf)
-    scored = retrieval.bm25_scores(queries, found).join(near.select("query_id", "doc_id", "vector_rank"), ["query_id", "doc_id"])
+    scored = retrieval.bm25_scores(queries, found).join(near, ["query_id", "doc_id"])
     lists = retrieval.bm25_rank(scored).select("query_id", "doc_id", F.explode(F.array("vector_rank", "bm25_rank")).alias("rank"))
     return retrieval.rrf_fuse(lists).select("query_id", "doc_id", F.round("rrf_score", 9).alias("rrf_score"))
 
