@@ -359,9 +359,16 @@ QUERIES = {
         CASE WHEN text LIKE '%idiot%' THEN 'ValueError: refused' WHEN length(text) >= 5000 THEN 'length' END AS error FROM documents""",
     ),
     "classify_visit_scored": (classify_visit_scored, with_views(f"SELECT visit, nullif({visit_queries.KIND_SQL}, 'other') AS visit_type FROM visit_heads", SQL_HEADS)),
-    "embed_text": (embed_text, None),
-    "chunk_questions": (chunk_questions, None),
-    "embed_three": (embed_three, None),
+    "embed_text": (embed_text, r"SELECT doc_id, 64 AS dimension, CASE WHEN regexp_matches(coalesce(text, ''), '\S') THEN 1.0 ELSE 0.0 END::DOUBLE AS length FROM documents"),
+    "chunk_questions": (
+        chunk_questions,
+        with_views(
+            rf"""sentences AS (SELECT doc_id, n, list_filter(string_split(regexp_replace({SQL_CHUNK}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s) <> '') AS s FROM chunks)
+            SELECT doc_id, n::INTEGER AS n, s[1] AS fact, coalesce(s[2], s[-1]) AS procedure, coalesce(s[3], s[-1]) AS "constraint" FROM sentences""",
+            SQL_CHUNKS,
+        ),
+    ),
+    "embed_three": (embed_three, 'SELECT doc_id, 64 AS fact, 64 AS procedure, 64 AS "constraint" FROM documents WHERE length(text) > 0'),
     "check_diagnosis": (check_diagnosis, None),
     "ingest_corpus": (ingest_corpus, None),
     "incremental_audit": (incremental_audit, with_views(f"SELECT visit, guid, {visit_queries.KIND_SQL} AS visit_type FROM visit_heads", SQL_HEADS)),

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from auditmill.functions import render
 from auditmill.operators import audit, rules
 from auditmill.plans import views
-from auditmill.plans.views import SQL_HEADS, SQL_LINES, with_views
+from auditmill.plans.code_queries import SQL_CODES, SQL_EXACT, SQL_OVERLAP, SQL_PREFIX, resolved_sql
+from auditmill.plans.views import SQL_HEADS, SQL_LINES, SQL_MANIFEST, with_views
 from auditmill.sources import files
 
 KIND_SQL = (
@@ -160,7 +161,9 @@ def fold_visit_result(spark: SparkSession, sf: str) -> DataFrame:
 
 def audit_visits(spark: SparkSession, sf: str) -> DataFrame:
     audited = audit.audit_visits(views.visits(spark, sf), views.manifest(spark, sf), done(spark, sf))
-    return audited.select("visit", "visit_id", "visit_type", F.size("findings").alias("findings"), F.size("results").alias("diagnoses"), F.md5(F.to_json("results")).alias("results_md5"))
+    picked = F.array_join(F.transform("results", lambda r: F.coalesce(r["guideline_id"], F.lit("-"))), ",")
+    issues = F.aggregate("results", F.lit(0), lambda n, r: n + F.size(audit.all_issues(r)))
+    return audited.select("visit", "visit_id", "visit_type", F.size("findings").alias("findings"), F.size("results").alias("diagnoses"), picked.alias("guidelines"), issues.alias("issues"))
 
 
 def report_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -182,6 +185,28 @@ _DX = "'Код МКБ: ' || code || chr(10) || 'Наименование МКБ:
 _DX_VALUE = "'  ' || pos || '.' || chr(10) || '    code: ' || code || chr(10) || '    name: ' || name || chr(10) || '    detail: —' || chr(10) || '    first_time: ' || CASE WHEN first_time THEN 'да' ELSE 'нет' END"
 _INSPECTED = "inspected AS (SELECT visit, string_agg(param || ': ' || value, chr(10) ORDER BY pos) AS text FROM visit_lines GROUP BY visit)"
 
+_FOUND = """
+  SELECT visit, (row_number() OVER (PARTITION BY visit ORDER BY o, issue DESC) - 1)::INTEGER AS pos, flag, issue FROM (
+    SELECT visit, 1 AS o, 'MISSING_CORE' AS flag, issue FROM typed, (VALUES ('inspection'), ('diagnosis')) AS v(issue) WHERE visit_type = 'primary'
+    UNION ALL SELECT visit, 2, 'MISSING_REPEAT_CORE', 'diagnosis' FROM typed WHERE visit_type = 'repeat'
+    UNION ALL SELECT visit, 3, 'MISSING_DIAGNOSIS', 'diagnosis' FROM typed) WHERE visit NOT IN (SELECT visit FROM visit_lines)
+  UNION ALL SELECT visit, 0, 'SYMPTOM_CODE', 'symptom code beside a main diagnosis' FROM visit_lines JOIN typed USING (visit) WHERE visit_type IN ('primary', 'repeat')
+    GROUP BY visit HAVING bool_or(code LIKE 'R%') AND bool_or(code NOT LIKE 'R%')"""
+
+#: Codes repeat in visits: each pair of code and name is resolved once.
+_AUDIT = with_views(
+    f"""parts AS (SELECT row_number() OVER (ORDER BY code, name) AS dx, code, name FROM (SELECT DISTINCT code, name FROM visit_lines)
+    ), {SQL_EXACT}, {SQL_PREFIX}, resolved AS ({resolved_sql("Z00.1")}
+    ), judged AS (
+      SELECT l.visit, l.pos, r.guideline_id, CASE WHEN m.id IS NOT NULL AND {SQL_OVERLAP.format("l.name", "m.name")} = 0 THEN 1 ELSE 0 END AS issue
+      FROM visit_lines l JOIN parts p USING (code, name) JOIN resolved r USING (dx) LEFT JOIN manifest m ON m.id = r.guideline_id
+    ), folded AS (SELECT visit, count(*)::INTEGER AS diagnoses, string_agg(coalesce(guideline_id, '-'), ',' ORDER BY pos) AS guidelines, sum(issue)::INTEGER AS issues FROM judged GROUP BY visit
+    ), found AS ({_FOUND}), counted AS (SELECT visit, count(*)::INTEGER AS findings FROM found GROUP BY visit)
+    SELECT visit, guid AS visit_id, visit_type, coalesce(findings, 0) AS findings, coalesce(diagnoses, 0) AS diagnoses, coalesce(guidelines, '') AS guidelines, coalesce(issues, 0) AS issues
+    FROM typed LEFT JOIN folded USING (visit) LEFT JOIN counted USING (visit) WHERE visit % 4 <> 0""",
+    SQL_HEADS, SQL_LINES, SQL_RULES, SQL_MANIFEST, SQL_CODES,
+)
+
 QUERIES = {
     "scan_appointments": (
         scan_appointments,
@@ -214,13 +239,7 @@ QUERIES = {
     "check_rules": (
         check_rules,
         with_views(
-            """raw AS (
-              SELECT visit, 1 AS o, 'MISSING_CORE' AS flag, issue FROM typed, (VALUES ('inspection'), ('diagnosis')) AS v(issue) WHERE visit_type = 'primary'
-              UNION ALL SELECT visit, 2, 'MISSING_REPEAT_CORE', 'diagnosis' FROM typed WHERE visit_type = 'repeat'
-              UNION ALL SELECT visit, 3, 'MISSING_DIAGNOSIS', 'diagnosis' FROM typed)
-            SELECT visit, (row_number() OVER (PARTITION BY visit ORDER BY o, issue DESC) - 1)::INTEGER AS pos, flag, issue FROM raw WHERE visit NOT IN (SELECT visit FROM visit_lines)
-            UNION ALL SELECT visit, 0, 'SYMPTOM_CODE', 'symptom code beside a main diagnosis' FROM visit_lines JOIN typed USING (visit) WHERE visit_type IN ('primary', 'repeat')
-              GROUP BY visit HAVING bool_or(code LIKE 'R%') AND bool_or(code NOT LIKE 'R%')""",
+            _FOUND,
             SQL_HEADS, SQL_LINES, SQL_RULES,
         ),
     ),
@@ -241,7 +260,7 @@ QUERIES = {
         fold_visit_result,
         with_views("SELECT o_orderkey AS visit, count(pos)::INTEGER AS n, coalesce(string_agg(code, ',' ORDER BY pos), '') AS codes FROM orders LEFT JOIN visit_lines ON visit = o_orderkey GROUP BY o_orderkey", SQL_LINES),
     ),
-    "audit_visits": (audit_visits, None),
+    "audit_visits": (audit_visits, _AUDIT),
     "report_rows": (report_rows, None),
     "report_row_count": (report_row_count, "SELECT count(*) + 1 AS rows FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 4 <> 0"),
     "format_value": (
