@@ -23,8 +23,7 @@ def line_dedup(
 ) -> DataFrame:
     """Drop lines whose key is in at least min_docs documents, except in the smallest of them.
 
-    Returns every row of docs as it is, with ``kept_text``, ``n_lines`` and ``n_dropped`` in a
-    struct ``line_dedup`` (a name that docs must not have).
+    Returns for every row of docs: doc (the whole row as a struct), kept_text, n_lines, n_dropped.
 
     Lines are exploded once into (id, position, 128-bit hash of the key); keys under min_chars
     code points are never counted. Keys are counted over (key, salt) before they meet by key, and
@@ -69,10 +68,9 @@ def line_dedup(
         .groupBy("_id", "_row")
         .agg(F.collect_set("_pos").alias("_drop"))
     )
-    whole = F.struct(F.struct("*").alias("_doc"))
-    left = docs.select(whole.alias("_w"), F.col(id_col).alias("_id"), row.alias("_row"))
+    left = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("_id"), row.alias("_row"))
     joined = left.join(drops, ["_id", "_row"], "left").select(
-        "_w", F.struct(F.split(F.coalesce(F.col(f"_w._doc.{text_col}"), F.lit("")), "\n", -1).alias("l"), F.coalesce("_drop", F.array().cast("array<int>")).alias("d")).alias("_s")
+        "doc", F.struct(F.split(F.coalesce(F.col("doc")[text_col], F.lit("")), "\n", -1).alias("l"), F.coalesce("_drop", F.array().cast("array<int>")).alias("d")).alias("_s")
     )
     n = lambda s: F.size(s["l"])
     result = let(
@@ -83,4 +81,4 @@ def line_dedup(
             F.size(s["d"]).cast("long").alias("n_dropped"),
         ),
     )
-    return joined.select("_w", result.alias("line_dedup")).select("_w._doc.*", "line_dedup")
+    return joined.select("doc", result.alias("r")).select("doc", "r.*")

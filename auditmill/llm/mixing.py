@@ -84,7 +84,7 @@ def mix(
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """docs with each row as often as mix() takes it, numbered by ``copy_no`` from 1.
+    """docs with each row as often as mix() takes it, numbered by ``copy_no`` from 1 (in place of such a column).
 
     Rows that agree in id, text and source are interchangeable: together they appear as often
     as mix() takes them all.
@@ -95,4 +95,4 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.struct("*").alias("_doc"), key.alias("_k")).withColumn("_r", F.row_number().over(Window.partitionBy("_k").orderBy(F.lit(1))))
     joined = rows.join(taken.where("_copies > 0"), "_k")
     own = (F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_r") <= F.col("_copies") % F.col("_rows")).cast("int")).cast("int")
-    return joined.where(own > 0).select("_doc", F.explode(F.sequence(F.lit(1), own)).alias("copy_no")).select("_doc.*", "copy_no")
+    return joined.where(own > 0).select("_doc", F.explode(F.sequence(F.lit(1), own)).alias("copy_no")).select(*[F.col("_doc")[c].alias(c) for c in docs.columns if c != "copy_no"], "copy_no")

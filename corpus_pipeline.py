@@ -22,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in other documents go, except from the smallest id; no document goes."""
     done = line_dedup.line_dedup(docs)
-    changes = {"text": F.col("line_dedup.kept_text"), "n_chars": F.length("line_dedup.kept_text").cast(docs.schema["n_chars"].dataType)}
-    return done.withColumns(changes).select(*docs.columns)
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return done.select(*[new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
