@@ -56,7 +56,7 @@ def cosine_distance(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def l2_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    scaled = views.table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x * (F.col("vec_id") % 7 + 1)).alias("v"))
+    scaled = views.table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x * (F.col("vec_id") % 7 + 1).cast("float")).alias("v"))
     unit = scaled.select("vec_id", vectors.l2_normalize(F.col("v")).alias("u"))
     return unit.select("vec_id", F.round(vectors.norm(F.col("u")), 9).alias("length"), F.round(F.col("u")[0], 6).alias("first"))
 
