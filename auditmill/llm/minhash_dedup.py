@@ -25,7 +25,7 @@ class _Words(dict):
     """64-bit hashes of words seen so far; emptied when large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -218,7 +218,8 @@ def near_duplicates(
     # The largest component of a gram needs no pairs within itself: it only answers the others.
     parts = split.groupBy("gram", "comp").agg(F.count("*").alias("c"))
     major = parts.groupBy("gram").agg(F.max(F.struct("c", "comp")).alias("m")).select("gram", F.col("m.comp").alias("major"))
-    minor = split.join(major, "gram").where("comp <> major").drop("major", "salt")
+    major = split.select("gram", "salt").distinct().join(major, "gram")
+    minor = split.join(major, ["gram", "salt"]).where("comp <> major").drop("major", "salt")
     one = minor.select("gram", *[F.col(c).alias(f"x_{c}") for c in ("doc_id", "comp", "n", "at")])
     two = split.select("gram", *[F.col(c).alias(f"y_{c}") for c in ("doc_id", "comp", "n", "at")])
     enough = f"({{0}}_n - {{0}}_at) * {100 + percent} >= {percent} * (x_n + y_n)"
