@@ -55,6 +55,12 @@ class _Table(dict):
         at = len(self)
         if at >= len(self.rows):
             self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
+        core = word[:-1] if word[-1] in ".," else word
+        if core.islower() and core.isalpha() and not _STRETCH.search(core):  # most words: nothing odd about them
+            weight, marks = self.lexicon.get(core.casefold(), 0.0), len(word) - len(core)
+            self.rows[at] = (weight > 0, weight, 0, core in SECOND_PERSON, len(core), 0, 0, 0, marks, 0, 0)
+            self[word] = at
+            return at
         bare = _EDGE.sub("", word).casefold()
         weight = self.lexicon.get(bare, 0.0)
         inner = bool(_INNER.search(bare))
