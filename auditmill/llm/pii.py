@@ -11,17 +11,42 @@ ROUNDS = 8
 
 #: Forms that are looked for; a find is replaced only if it is also valid (see validated()).
 EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]+@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}"
+GROUPS = r"[0-9]{4}([ \-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])"
+NATIONAL = r"(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\)[ .\-]?|[0-9]{3}[.\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9])"
+#: Country code and number, 8 to 15 digits; those of NANP, France and Spain by their length. A card or date after it is left out.
+ABROAD = (
+    r"\+(?:1(?:[ .\-]?\(?[0-9]\)?){10}|3[34](?:[ .\-]?\(?[0-9]\)?){9}|(?!1|3[34])[2-9]"
+    r"(?:(?![ .\-](?:[0-9]{4}(?:[ \-][0-9]{4}){3}|[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9]))[ .\-]?\(?[0-9]\)?){7,14})(?![0-9])"
+)
 FORMS = {
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "date": r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9])",
     "ip": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])(?!\.[0-9])",
-    "phone": r"(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\)[ .\-]?|[0-9]{3}[.\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9])",
+    "phone": rf"{NATIONAL}|{ABROAD}",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])",
     "card": r"[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])",
 }
 NUMBERS = r"(?<![A-Za-z0-9.])(?:" + "|".join(FORMS.values()) + ")"
 KINDS = ("email", *FORMS)
 
+#: Lengths of IBANs by country.
+LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN = "(?:" + "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in LENGTHS.items()) + ")(?![A-Za-z0-9])"
+#: Forms of one length or grouping, tried in this order at every start within a zone, before the open forms above.
+SPECIFIC = [
+    "|".join([*[FORMS[k] for k in ("date", "ip", "phone", "ssn")], IBAN]),
+    r"[0-9]{13,19}(?![0-9])", GROUPS, r"[0-9]{4}([ \-])[0-9]{6}\1[0-9]{4,5}(?![0-9])", GROUPS.replace("(?![0-9])", r"\1[0-9]{1,3}(?![0-9])"),
+]
+#: What can hold finds side by side: numbers and capitals with one or two signs between. A find starts where STARTS splits it.
+ZONE = r"(?<![A-Za-z0-9.])(?:[A-Z]{2}(?=[0-9]{2})|\+?\(?)[0-9][A-Z0-9]*+(?:[ ./()+\-]{1,2}+[A-Z0-9]++(?![a-z]))*+[A-Za-z]*+"
+STARTS = r"(?<=[ /()+\-])|(?=[+(])"
+#: More parts than any find has.
+REACH = 48
+
 #: Days from 1900-01-01 to 2099-12-31, and the two factors of that count.
 FIRST_DAY, DAYS = "1900-01-01", (17, 4297)
 
@@ -117,7 +142,7 @@ def kind_of(find: Column) -> Column:
     """The kind of a find if it is valid, else null.
 
     card: 13 to 19 digits, Luhn. iban: mod 97. date: a day of 1900 to 2099. ip: octets up to 255.
-    phone: area and exchange codes start with 2 to 9, or the country code is given. ssn: area
+    phone: the exchange code starts with 2 to 9, or a country code is given. ssn: area
     001 to 899 but not 666, group and serial not zero.
     """
     full = lambda name: find.rlike(f"^(?:{FORMS[name]})$")
@@ -131,7 +156,7 @@ def kind_of(find: Column) -> Column:
         F.when(full("date"), F.when(F.year(day).between(1900, 2099), "date"))
         .when(full("ip"), F.when(F.forall(octets, lambda x: x <= 255), "ip"))
         .when(full("ssn"), F.when((area < "900") & ~area.isin("000", "666") & (group != "00") & (serial != "0000"), "ssn"))
-        .when(full("phone"), F.when(local >= "2", "phone"))
+        .when(full("phone"), F.when((local >= "2") | F.startswith(find, F.lit("+")), "phone"))
         .when(full("iban"), F.when(mod97(F.concat(F.substring(plain, 5, 40), F.substring(plain, 1, 4))) == 1, "iban"))
         .when(full("card"), F.when(F.pmod(luhn_sum(digits), F.lit(10)) == 0, "card"))
     )
@@ -158,9 +183,10 @@ def pseudonym(find: Column, kind: Column, key: str) -> Column:
         permuted(packed, 65536, 65536, key, "ip"),
         lambda v: F.concat_ws(".", *[F.pmod(F.shiftright(v, s), F.lit(256)).cast("string") for s in (24, 16, 8, 0)]),
     )
-    # The last seven digits, with an exchange code from 200 on.
-    local = permuted(F.substring(digits, -7, 7).cast("long") - 2_000_000, 8_000, 1_000, key, "phone") + 2_000_000
-    phone = refilled(find, F.concat(F.substring(digits, F.lit(1), n - 7), local.cast("string")))
+    # The last seven digits; those with an exchange code from 200 on stay so.
+    seven = F.substring(digits, -7, 7).cast("long")
+    local = F.when(seven >= 2_000_000, permuted(seven - 2_000_000, 8_000, 1_000, key, "phone") + 2_000_000).otherwise(permuted(seven, 2_000, 1_000, key, "phone0"))
+    phone = refilled(find, F.concat(F.substring(digits, F.lit(1), n - 7), F.lpad(local.cast("string"), 7, "0")))
     # Areas 001 to 899 without 666 are numbered from 0 to 897.
     area, group, serial = (F.substring(digits, a, k).cast("long") for a, k in ((1, 3), (4, 2), (6, 4)))
     index = ((area - F.when(area > 666, 2).otherwise(1)) * 99 + group - 1) * 9999 + serial - 1
@@ -191,30 +217,78 @@ def email_pseudonym(find: Column, key: str) -> Column:
 
 
 def rewritten(text: Column, pattern: str, judge) -> Column:
-    """struct(text, kinds): text with each find f of pattern as judge(f) has it, a struct(kind, out).
+    """struct(text, kinds): text with each find f of pattern as judge(f) has it, a struct(kinds, out).
 
-    Finds with a null kind stay; kinds are those of the others, in order.
+    kinds are those of the finds, in order; a find that stays has none.
     """
     parts = F.struct(F.split(text, pattern, -1).alias("gaps"), F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), judge).alias("finds"))
     joined = lambda p: F.array_join(F.zip_with(p["gaps"], p["finds"], lambda g, f: F.concat(g, F.coalesce(f["out"], F.lit("")))), "")
-    kinds = lambda p: F.filter(F.transform(p["finds"], lambda f: f["kind"]), lambda k: k.isNotNull())
+    kinds = lambda p: F.flatten(F.transform(p["finds"], lambda f: f["kinds"]))
     return let(parts, lambda p: F.struct(joined(p).alias("text"), kinds(p).alias("kinds")))
 
 
+def listed(kind: Column) -> Column:
+    return F.when(kind.isNotNull(), F.array(kind)).otherwise(F.array().cast("array<string>"))
+
+
+def specific(text: Column) -> Column:
+    """struct(kind, find) of the first specific form that text starts with and that is valid, or null."""
+    finds = F.filter(F.array(*[F.regexp_extract(text, f"^(?:{p})", 0) for p in SPECIFIC]), lambda x: x != "")
+    valid = F.filter(F.transform(finds, lambda x: F.struct(kind_of(x).alias("kind"), x.alias("find"))), lambda v: v["kind"].isNotNull())
+    return F.when(text.rlike("^(?:[0-9+(]|[A-Z]{2}[0-9]{2})"), F.get(valid, F.lit(0)))
+
+
+def parted(zone: Column) -> Column:
+    """A zone as an array of struct(open, kind, find): valid specific finds, each with the text before it; the last has only text.
+
+    Every start is tried, from left to right, so a form that is not valid takes nothing from the next one.
+    """
+
+    def over(tokens: Column) -> Column:
+        start = F.struct(F.lit(0).alias("skip"), F.lit("").alias("open"), F.array().cast("array<struct<open:string,kind:string,find:string>>").alias("done"))
+
+        def step(s: Column, i: Column) -> Column:
+            token = F.element_at(tokens, i)
+            got = F.when(s["skip"] == 0, specific(F.array_join(F.slice(tokens, i, REACH), "")))
+
+            def after(v: Column) -> Column:
+                new = v["got"].isNotNull()
+                skip = F.when(new, F.length(v["got"]["find"])).otherwise(s["skip"])
+                left = F.substring(v["token"], skip + 1, F.length(v["token"]))
+                done = F.when(new, F.concat(s["done"], F.array(F.struct(s["open"].alias("open"), v["got"]["kind"].alias("kind"), v["got"]["find"].alias("find"))))).otherwise(s["done"])
+                return F.struct(F.greatest(skip - F.length(v["token"]), F.lit(0)).alias("skip"), F.concat(F.when(new, "").otherwise(s["open"]), left).alias("open"), done.alias("done"))
+
+            return let(F.struct(token.alias("token"), got.alias("got")), after)
+
+        none = F.lit(None).cast("string")
+        end = lambda s: F.concat(s["done"], F.array(F.struct(s["open"].alias("open"), none.alias("kind"), none.alias("find"))))
+        return F.aggregate(F.sequence(F.lit(1), F.size(tokens)), start, step, end)
+
+    return let(F.split(zone, STARTS, -1), over)
+
+
 def pseudonymised(text: Column, key: str) -> Column:
-    """struct(text, kinds) of a text: addresses first, then numbers and dates."""
+    """struct(text, kinds) of a text: addresses first, then numbers and dates, zone by zone; open forms last."""
     none = F.array().cast("array<string>")
 
     def number(f: Column) -> Column:
-        named = let(F.struct(f.alias("f"), kind_of(f).alias("k")), lambda v: F.struct(v["k"].alias("kind"), F.coalesce(pseudonym(v["f"], v["k"], key), v["f"]).alias("out")))
-        return named
+        return let(F.struct(f.alias("f"), kind_of(f).alias("k")), lambda v: F.struct(listed(v["k"]).alias("kinds"), F.coalesce(pseudonym(v["f"], v["k"], key), v["f"]).alias("out")))
+
+    def piece(p: Column) -> Column:
+        before = F.when(F.length(p["open"]) < 7, F.struct(p["open"].alias("text"), none.alias("kinds"))).otherwise(rewritten(p["open"], NUMBERS, number))
+        own = F.coalesce(pseudonym(p["find"], p["kind"], key), F.lit(""))
+        return let(before, lambda b: F.struct(F.concat(b["kinds"], listed(p["kind"])).alias("kinds"), F.concat(b["text"], own).alias("out")))
+
+    def zone(f: Column) -> Column:
+        whole_zone = let(F.transform(parted(f), piece), lambda a: F.struct(F.flatten(F.transform(a, lambda x: x["kinds"])).alias("kinds"), F.array_join(F.transform(a, lambda x: x["out"]), "").alias("out")))
+        return F.when(F.length(f) < 7, F.struct(none.alias("kinds"), f.alias("out"))).otherwise(whole_zone)
 
     def numbers(s: Column) -> Column:
-        found = rewritten(s["text"], NUMBERS, number)
+        found = rewritten(s["text"], ZONE, zone)
         both = let(found, lambda v: F.struct(v["text"].alias("text"), F.concat(s["kinds"], v["kinds"]).alias("kinds")))
         return F.when(s["text"].rlike("[0-9]"), both).otherwise(s)
 
-    mails = rewritten(text, EMAIL, lambda f: F.struct(F.lit("email").alias("kind"), email_pseudonym(f, key).alias("out")))
+    mails = rewritten(text, EMAIL, lambda f: F.struct(F.array(F.lit("email")).alias("kinds"), email_pseudonym(f, key).alias("out")))
     first = F.when(F.contains(text, F.lit("@")), mails).otherwise(F.struct(text.alias("text"), none.alias("kinds")))
     return let(first, numbers)
 

@@ -249,6 +249,27 @@ def test_pseudonyms_keep_form_validity_and_links(spark):
     assert pseudonyms(spark, ["4539148803436467"], "other")[0].text != got[0].text
 
 
+def test_pseudonyms_of_finds_side_by_side(spark):
+    card, grouped, bank = "4539148803436467", "4539 1488 0343 6467", "AT61 1904 3002 3457 3201"
+    alone = pseudonyms(spark, [card, grouped, bank, "+33 1 23 45 67 89", "+49 30 1234567", "123-45-6789", "1980-02-29", "+1 743-555-3824"])
+    new = {r: alone[k].text for k, r in enumerate([card, grouped, bank, "+33 1 23 45 67 89", "+49 30 1234567", "123-45-6789", "1980-02-29", "+1 743-555-3824"])}
+    assert all(old != text for old, text in new.items()) and iban(new[bank])
+    assert re.fullmatch(r"\+33 \d \d\d \d\d \d\d \d\d", new["+33 1 23 45 67 89"]) and re.fullmatch(r"\+49 \d\d \d{7}", new["+49 30 1234567"])
+    forms = [
+        f"card {card} 12/27", f"row 7 {card}", f"{bank} EUR", f"{grouped} 123", f"7 1234 {grouped} 55", f"{card} 123-45-6789", f"{card} 1980-02-29 {bank} EUR 4 {grouped}",
+        f"AB12 {grouped}", f"+49 30 1234567 {grouped}", f"+49 30 1234567 1980-02-29", "+33 1 23 45 67 89 12", f"{card}/{card}", f"{bank} {bank} {card}", f"12th {card}, in 1999. {card} The",
+    ]
+    got = pseudonyms(spark, forms + ["+1 743 555 3824", "1 " * 20_000 + card])
+    for k, form in enumerate(forms):
+        want = form
+        for old in sorted(new, key=len, reverse=True):
+            want = want.replace(old, "\0".join(new[old]))
+        assert got[k].text == want.replace("\0", ""), form
+    assert got[6].n_card == 2 and got[6].n_iban == 1 and got[6].n_date == 1
+    assert re.sub(r"\D", "", got[len(forms)].text) == re.sub(r"\D", "", new["+1 743-555-3824"])
+    assert got[len(forms) + 1].text == "1 " * 20_000 + new[card]
+
+
 def test_permutation_is_one_to_one(spark):
     frame = spark.range(17 * 43).select("id", pii.permuted(F.col("id"), 17, 43, "k", "t").alias("p"))
     assert sorted(r.p for r in frame.collect()) == list(range(17 * 43))
