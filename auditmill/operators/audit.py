@@ -31,8 +31,11 @@ def queue_summary(visits: DataFrame, done: DataFrame) -> DataFrame:
     return total.join(left).select("total", (F.col("total") - F.col("audited")).alias("skipped"), "audited", "unmatched")
 
 
-def rule_findings(visits: DataFrame) -> DataFrame:
-    """visits (nested, with visit_type) with ``findings``: the checks of the default rules that need no model."""
+def rule_findings(visits: DataFrame, structure: bool = True) -> DataFrame:
+    """visits (nested, with visit_type) with ``findings``: the checks of the default rules that need no model.
+
+    structure: with CONFLICT, last. NO_FOLLOW_UP needs a model and is not judged; no rule table is read.
+    """
     kind = F.col("visit_type")
     none = json_text.empty(json_text.FINDINGS)
     blank = lambda fields: rules.missing_fields(fields)
@@ -46,6 +49,8 @@ def rule_findings(visits: DataFrame) -> DataFrame:
         each("MISSING_META", meta, always), each("MISSING_CORE", body, kind == "primary"), each("MISSING_REPEAT_CORE", only, kind == "repeat"),
         each("MISSING_DIAGNOSIS", only, always), rules.placeholder_findings(F.col("inspection")), symptom,
     ]
+    if structure:
+        parts.append(F.coalesce(rules.conflict_findings(F.col("inspection")), none))
     return visits.withColumn("findings", F.concat(*parts))
 
 
@@ -68,14 +73,14 @@ def check_offline(code: Column, name: Column, guideline: Column) -> Column:
     return F.when(codes.token_overlap(name, guideline) == 0, issue).otherwise("[]")
 
 
-def audit_visits(visits: DataFrame, manifest: DataFrame, done: DataFrame) -> DataFrame:
+def audit_visits(visits: DataFrame, manifest: DataFrame, done: DataFrame, structure: bool = True) -> DataFrame:
     """The whole audit: visits that are due, rule findings, a guideline and three checks per diagnosis, one row per visit.
 
     visits: as in plans.views.visits. Result: visit, visit_id, visit_type, findings, results
     (struct of guideline_id, icd_code and the issues of each checker, per diagnosis), errors.
     """
     due = pending(visits, done).withColumn("visit_type", rules.visit_type(F.col("services"))).withColumn("visit_id", visit_id(F.col("guid"), F.col("date"), F.col("visit") - 1))
-    found = rule_findings(due)
+    found = rule_findings(due, structure)
     each = due.select("visit", F.posexplode("diagnoses").alias("pos", "d")).select("visit", "pos", F.concat_ws("#", "visit", "pos").alias("dx"), "d.code", "d.name")
     picked = codes.resolve(each.select("dx", "code", "name"), manifest, "dx")
     names = manifest.select(F.col("id").alias("guideline_id"), F.col("name").alias("guideline"))

@@ -111,6 +111,13 @@ def conflicts(visits: DataFrame, key: str = "visit") -> DataFrame:
     return pairs.groupBy(key, "param").agg(F.count_distinct("value").alias("values")).where("values > 1")
 
 
+def conflict_findings(inspection: Column) -> Column:
+    """A finding for each field of a visit (array of param, value) that is filled with different values, in order of first use."""
+    params = F.array_distinct(F.transform(inspection, lambda p: p["param"]))
+    values = lambda name: F.array_distinct(F.transform(F.filter(inspection, lambda p: (p["param"] == name) & p["value"].isNotNull()), lambda p: p["value"]))
+    return F.transform(F.filter(params, lambda name: F.size(values(name)) > 1), lambda name: finding("CONFLICT", name))
+
+
 def symptom_beside_main(diagnoses: Column, symptom: str = "R") -> Column:
     """Whether a symptom code stands beside a diagnosis of another class."""
     is_symptom = lambda d: F.upper(d["code"]).startswith(symptom)

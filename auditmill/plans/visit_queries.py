@@ -127,12 +127,17 @@ def rule_consistency(spark: SparkSession, sf: str) -> DataFrame:
     return visits.where(F.size("diagnoses") > 0).select("visit", symptom.alias("symptom_beside_main"))
 
 
-def check_rules(spark: SparkSession, sf: str) -> DataFrame:
+def check_rules(spark: SparkSession, sf: str, structure: bool = False) -> DataFrame:
+    """The findings without CONFLICT, which the SQL does not list; check_rules_conflicts has it."""
     visits = views.visits(spark, sf).withColumn("visit_type", rules.visit_type(F.col("services")))
-    found = audit.rule_findings(visits).select("visit", F.posexplode("findings").alias("pos", "f"))
+    found = audit.rule_findings(visits, structure).select("visit", F.posexplode("findings").alias("pos", "f"))
     return found.select("visit", "pos", "f.flag", "f.issue")
 
 
+def check_rules_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    return check_rules(spark, sf, structure=True).select("visit", "flag", "issue")
+
+
 def format_inspection(spark: SparkSession, sf: str) -> DataFrame:
     pairs = F.transform("inspection", lambda p: F.struct(F.concat(F.lit(" "), p["param"]).alias("param"), F.when(p["value"] != "ECONOMY", p["value"]).alias("value")))
     return views.visits(spark, sf).select("visit", F.md5(render.format_inspection(pairs)).alias("text_md5"))
@@ -159,13 +164,18 @@ def fold_visit_result(spark: SparkSession, sf: str) -> DataFrame:
     return folded.select("visit", F.size("results").alias("n"), F.array_join(F.transform("results", lambda r: r["code"]), ",").alias("codes"))
 
 
-def audit_visits(spark: SparkSession, sf: str) -> DataFrame:
-    audited = audit.audit_visits(views.visits(spark, sf), views.manifest(spark, sf), done(spark, sf))
+def audit_visits(spark: SparkSession, sf: str, structure: bool = False) -> DataFrame:
+    """The audit without CONFLICT, which the SQL does not count; audit_visits_conflicts and report_rows have it."""
+    audited = audit.audit_visits(views.visits(spark, sf), views.manifest(spark, sf), done(spark, sf), structure)
     picked = F.array_join(F.transform("results", lambda r: F.coalesce(r["guideline_id"], F.lit("-"))), ",")
     issues = F.aggregate("results", F.lit(0), lambda n, r: n + F.size(audit.all_issues(r)))
     return audited.select("visit", "visit_id", "visit_type", F.size("findings").alias("findings"), F.size("results").alias("diagnoses"), picked.alias("guidelines"), issues.alias("issues"))
 
 
+def audit_visits_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    return audit_visits(spark, sf, structure=True)
+
+
 def report_rows(spark: SparkSession, sf: str) -> DataFrame:
     visits = views.visits(spark, sf)
     return audit.report_rows(audit.audit_visits(visits, views.manifest(spark, sf), done(spark, sf)), visits)
@@ -193,6 +203,9 @@ _FOUND = """
   UNION ALL SELECT visit, 0, 'SYMPTOM_CODE', 'symptom code beside a main diagnosis' FROM visit_lines JOIN typed USING (visit) WHERE visit_type IN ('primary', 'repeat')
     GROUP BY visit HAVING bool_or(code LIKE 'R%') AND bool_or(code NOT LIKE 'R%')"""
 
+_FOUND_ALL = f"""SELECT visit, flag, issue FROM ({_FOUND})
+  UNION ALL SELECT visit, 'CONFLICT', param FROM visit_lines GROUP BY visit, param HAVING count(DISTINCT value) > 1"""
+
 #: Codes repeat in visits: each pair of code and name is resolved once.
 _AUDIT = with_views(
     f"""parts AS (SELECT row_number() OVER (ORDER BY code, name) AS dx, code, name FROM (SELECT DISTINCT code, name FROM visit_lines)
@@ -260,7 +273,9 @@ QUERIES = {
         fold_visit_result,
         with_views("SELECT o_orderkey AS visit, count(pos)::INTEGER AS n, coalesce(string_agg(code, ',' ORDER BY pos), '') AS codes FROM orders LEFT JOIN visit_lines ON visit = o_orderkey GROUP BY o_orderkey", SQL_LINES),
     ),
+    "check_rules_conflicts": (check_rules_conflicts, with_views(_FOUND_ALL, SQL_HEADS, SQL_LINES, SQL_RULES)),
     "audit_visits": (audit_visits, _AUDIT),
+    "audit_visits_conflicts": (audit_visits_conflicts, _AUDIT.replace(_FOUND, _FOUND_ALL)),
     "report_rows": (report_rows, None),
     "report_row_count": (report_row_count, "SELECT count(*) + 1 AS rows FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 4 <> 0"),
     "format_value": (

@@ -192,3 +192,12 @@ def test_ingest_pages(spark):
     got = ingest.ingest_pages(pages, dimension=16).orderBy("content_type", "chunk_index").collect()
     assert [(r.file_id, r.content_type, r.chunk_index) for r in got] == [("1", "table", 0), ("1", "table", 1), ("1", "text", 0)]
     assert got[2].section == "1.1 Title" and got[2].q.fact.startswith("1.1 Title") and abs(sum(x * x for x in got[2].fact) - 1) < 1e-9
+
+
+def test_rule_findings_name_conflicts(spark):
+    visits = spark.sql(
+        """SELECT 1L AS visit, 'g' AS guid, '2024-01-01' AS date, map('name', 'A') AS patient, array(named_struct('name', 'x')) AS services, 'other' AS visit_type,
+        array(named_struct('param', 'pulse', 'value', '60'), named_struct('param', 'mood', 'value', 'good'), named_struct('param', 'pulse', 'value', '75'), named_struct('param', 'mood', 'value', 'good'), named_struct('param', 'mood', 'value', NULL)) AS inspection,
+        array(named_struct('code', 'A00', 'name', 'n')) AS diagnoses"""
+    )
+    assert [tuple(f) for f in audit.rule_findings(visits).first().findings] == [("CONFLICT", "pulse")]
