@@ -233,11 +233,19 @@ def chunk_questions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def embed_three(spark: SparkSession, sf: str) -> DataFrame:
+    """The first chunk of each document, as the SQL lists it; embed_three_chunks takes all chunks."""
     chunks = doc_chunks(spark, sf).where("n = 0").select("doc_id", scoring.chunk_questions(F.col("chunk")).alias("q"))
     made = scoring.embed_three(chunks, ["doc_id"], 64)
     return made.select("doc_id", *[F.size(k).alias(k) for k in ("fact", "procedure", "constraint")])
 
 
+def embed_three_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Three vectors of every chunk."""
+    chunks = doc_chunks(spark, sf).select("doc_id", "n", scoring.chunk_questions(F.col("chunk")).alias("q"))
+    made = scoring.embed_three(chunks, ["doc_id", "n"], 64)
+    return made.select("doc_id", "n", *[F.size(k).alias(k) for k in ("fact", "procedure", "constraint")])
+
+
 def check_diagnosis(spark: SparkSession, sf: str) -> DataFrame:
     """Each query's three checks: a section search, its context, the offline scorer, the parsed issues."""
     docs, queries = views.docs(spark, sf), views.search_queries(spark, sf)
@@ -369,6 +377,7 @@ QUERIES = {
         ),
     ),
     "embed_three": (embed_three, 'SELECT doc_id, 64 AS fact, 64 AS procedure, 64 AS "constraint" FROM documents WHERE length(text) > 0'),
+    "embed_three_chunks": (embed_three_chunks, with_views('SELECT doc_id, n::INTEGER AS n, 64 AS fact, 64 AS procedure, 64 AS "constraint" FROM chunks', SQL_CHUNKS)),
     "check_diagnosis": (check_diagnosis, None),
     "ingest_corpus": (ingest_corpus, None),
     "incremental_audit": (incremental_audit, with_views(f"SELECT visit, guid, {visit_queries.KIND_SQL} AS visit_type FROM visit_heads", SQL_HEADS)),

@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pytest
 from auditmill.operators import audit, codes, ingest, layout, retrieval, rules, scoring
+from auditmill.plans import ingest_queries
 from auditmill.sources import files
 from pyspark.sql import functions as F
 
@@ -201,3 +202,9 @@ def test_rule_findings_name_conflicts(spark):
         array(named_struct('code', 'A00', 'name', 'n')) AS diagnoses"""
     )
     assert [tuple(f) for f in audit.rule_findings(visits).first().findings] == [("CONFLICT", "pulse")]
+
+
+def test_every_chunk_of_a_long_document_is_embedded(spark, tmp_path):
+    spark.createDataFrame([(1, "s", "One. Two. " * 500), (2, "s", "Short."), (3, "s", "")], "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = ingest_queries.embed_three_chunks(spark, str(tmp_path))
+    assert sorted((r.doc_id, r.n, r.fact) for r in got.collect()) == [(1, 0, 64), (1, 1, 64), (1, 2, 64), (2, 0, 64)]
