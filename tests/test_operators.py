@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 from auditmill.operators import audit, codes, ingest, layout, retrieval, rules, scoring
-from auditmill.plans import ingest_queries
+from auditmill.plans import ingest_queries, search_queries
 from auditmill.sources import files
 from pyspark.sql import functions as F
 
@@ -208,3 +208,12 @@ def test_every_chunk_of_a_long_document_is_embedded(spark, tmp_path):
     spark.createDataFrame([(1, "s", "One. Two. " * 500), (2, "s", "Short."), (3, "s", "")], "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = ingest_queries.embed_three_chunks(spark, str(tmp_path))
     assert sorted((r.doc_id, r.n, r.fact) for r in got.collect()) == [(1, 0, 64), (1, 1, 64), (1, 2, 64), (2, 0, 64)]
+
+
+def test_lookup_reaches_all_ids_in_short_lists(spark, tmp_path):
+    spark.range(5_000).selectExpr("id AS doc_id", "'s' AS source").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.range(5_000).selectExpr("id AS doc_id").write.parquet(str(tmp_path / "labels.parquet"))
+    got = search_queries.lookup_in_order_blocks(spark, str(tmp_path)).collect()
+    assert max(r.doc_id for r in got) > 4_900 and len({r.ask for r in got}) == 50 and max(r.pos for r in got) < 200
+    block = [r.doc_id for r in sorted((r for r in got if r.ask == 7), key=lambda r: r.pos)]
+    assert block == [x for i in range(700, 800) for x in (i + i * 37 % 101, i * 2)]
