@@ -68,13 +68,16 @@ def all_issues(result: Column) -> Column:
 
 
 def check_offline(code: Column, name: Column, guideline: Column) -> Column:
-    """The offline checkers' answers, a JSON text each: one issue if the name and guideline share no word."""
+    """The offline anamnesis checker's answers, a JSON text each: one issue if the name and guideline share no word."""
     issue = F.to_json(F.array(F.struct(F.concat(F.lit("no common word: "), name).alias("issue"), F.array(F.struct(guideline.alias("doc_title"), code.alias("section"))).alias("sources"))))
     return F.when(codes.token_overlap(name, guideline) == 0, issue).otherwise("[]")
 
 
 def audit_visits(visits: DataFrame, manifest: DataFrame, done: DataFrame, structure: bool = True) -> DataFrame:
-    """The whole audit: visits that are due, rule findings, a guideline and three checks per diagnosis, one row per visit.
+    """The audit: visits that are due, rule findings, a guideline and the offline anamnesis check per diagnosis, one row per visit.
+
+    The inspection and treatment checkers are not built: their issues are always empty. The
+    anamnesis check compares two names, without section searches.
 
     visits: as in plans.views.visits. Result: visit, visit_id, visit_type, findings, results
     (struct of guideline_id, icd_code and the issues of each checker, per diagnosis), errors.

@@ -247,7 +247,10 @@ def embed_three_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def check_diagnosis(spark: SparkSession, sf: str) -> DataFrame:
-    """Each query's three checks: a section search, its context, the offline scorer, the parsed issues."""
+    """Each benchmark query's three contexts: a section search, its context, a fixed answer, the parsed issues.
+
+    The answer only names the context's length; no scorer is called and no diagnosis is judged.
+    """
     docs, queries = views.docs(spark, sf), views.search_queries(spark, sf)
     parts = []
     for checker, keyword in CHECKER_KEYWORDS.items():
