@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -19,12 +20,15 @@ BLANKS = " \t\n\x0b\f\r"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where that is unset (tests on one machine) a temporary folder takes its place.
+    Only where that is unset and driver and tasks are one process (tests), a temporary folder
+    takes its place; on a cluster the setting is required.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.conf.get("auditmill.shared.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("auditmill.shared.dir", found)
     return found.rstrip("/")
@@ -39,7 +43,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._written_to = path
+    return written
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that materialize() wrote, once everything read from them is itself written."""
+    for t in tables:
+        path = t.__dict__.pop("_written_to", None)
+        if path:
+            spark = t.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +87,14 @@ def group_salted(
     return part.select(*keys, salt).join(total, keys)
 
 
+def lookup_salted(rows: DataFrame, key: str, salt: str, answers: DataFrame) -> DataFrame:
+    """rows with the columns of answers (one row for each key), nulls where there is none.
+
+    The answers go to each (key, salt) that rows has, so a hot key is dealt over its salts.
+    """
+    return rows.join(rows.select(key, salt).distinct().join(answers, key), [key, salt], "left")
+
+
 def ascii_lower(c: Column) -> Column:
     """Only A to Z change, unlike lower()."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
