@@ -50,37 +50,51 @@ def mix(
     share: float = 1.5,
     cap: float = 2.0,
     seed: str = "mix-1",
+    draw: str = "hash",
 ) -> DataFrame:
     """How often each document goes into the mix: doc_id, source, size, source_size, target, copies, row_hash.
 
     A source's repetition rate is target / source_size. Each document is taken floor(rate) times
-    and once more by a draw that succeeds with probability equal to the rate's fraction. The
-    draws of a source come from one hash-seeded uniform start and step through its documents in
-    order of size, so each document has that probability and the words taken differ from the
-    target by about one document, not by the noise of separate draws. The same rows and seed give
-    the same mix.
-
-    Null text has size 0. Null sources are one source. A source of size 0 is not taken.
-    Repeated rows are separate documents. An empty table gives no rows.
+    and once more by a draw that succeeds with probability equal to the rate's fraction. The same
+    rows and seed give the same mix. How a document is drawn:
+
+    * "hash" (the default): by a uniform number from the hash of seed and id (of the text where
+      the id is null). Draws are independent of the other documents, so no sort is needed, and the
+      words taken differ from the target by the noise of separate draws.
+    * "spread": from one hash-seeded start for each source, stepping through its documents in
+      order of size. Each document has the same probability, and the words taken differ from
+      the target by about one document; all rows are sorted by range for it.
+
+    Null text has size 0. Null sources are one source. A source of size 0 is not taken. Repeated
+    rows are separate documents; with "hash" rows of one id are drawn alike. An empty table gives
+    no rows.
     """
+    if draw not in ("hash", "spread"):
+        raise ValueError(f'draw must be "hash" or "spread", got {draw!r}')
     text = F.col(text_col)
+    unit = lambda c: F.conv(F.substring(F.md5(F.concat(F.lit(seed + "|"), c)), 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
     sized = materialize(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("row_hash")),
+        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("row_hash"),
+            unit(F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(text, F.lit(""))))).alias("u")),
         "sizes",
     )
     targets = materialize(source_targets(sized, weights, share, cap), "targets")
-    order = [F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id"), F.col("row_hash")]
-    placed = ranked(sized, order, "placed").withColumn("salt", salt_of(F.col("doc_id"), F.col("row_hash")))
-    starts = placed.groupBy("source").agg(F.min("rank").alias("start"))
-    plan = targets.alias("t").join(starts.alias("s"), F.expr("t.source <=> s.source")).select("t.*", "s.start")
+    if draw == "spread":
+        order = [F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id"), F.col("row_hash")]
+        placed = ranked(sized, order, "placed")
+        starts = placed.groupBy("source").agg(F.min("rank").alias("start"))
+        plan = targets.alias("t").join(starts.alias("s"), F.expr("t.source <=> s.source")).select("t.*", "s.start")
+    else:
+        placed, plan = sized.withColumn("rank", F.lit(0)), targets.withColumn("start", F.lit(0))
+    placed = placed.withColumn("salt", salt_of(F.col("doc_id"), F.col("row_hash")))
     plan = plan.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     joined = placed.alias("d").join(plan.alias("p"), F.expr("d.source <=> p.source AND d.salt = p.salt"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    start = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col("source"), F.lit("\x00")))), 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
-    joined = joined.select("d.doc_id", "d.source", "d.size", "d.row_hash", "source_size", "target", (F.col("rank") - F.col("start")).alias("k"), rate.alias("rate"))
+    joined = joined.select("d.doc_id", "d.source", "d.size", "d.row_hash", "d.u", "source_size", "target", (F.col("rank") - F.col("start")).alias("k"), rate.alias("rate"))
     part = F.col("rate") - F.floor("rate")
-    draw = F.floor((F.col("k") + 1) * part + start) - F.floor(F.col("k") * part + start)
-    return joined.select("doc_id", "source", "size", "source_size", "target", (F.floor("rate") + draw).cast("int").alias("copies"), "row_hash")
+    start = unit(F.coalesce(F.col("source"), F.lit("\x00")))
+    drawn = F.floor((F.col("k") + 1) * part + start) - F.floor(F.col("k") * part + start) if draw == "spread" else (F.col("u") < part).cast("int")
+    return joined.select("doc_id", "source", "size", "source_size", "target", (F.floor("rate") + drawn).cast("int").alias("copies"), "row_hash")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
