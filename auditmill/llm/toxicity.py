@@ -173,7 +173,9 @@ def fit(labelled: DataFrame, seed: int = 7, rounds: int = 20, depth: int = 3) ->
     trees = GBTClassifier(labelCol="label", featuresCol="features", maxIter=rounds, maxDepth=depth, stepSize=0.3, minInstancesPerNode=3, seed=seed, checkpointInterval=-1)
     # A fixed order of rows and parts makes reruns agree.
     model = trees.fit(grown.repartitionByRange(6, "doc_id").sortWithinPartitions("doc_id"))
-    curve = IsotonicRegression(labelCol="label", featuresCol="margin", predictionCol="score").fit(_margin(model, held if both(held) else known))
+    # Rows of one margin count as one point with their number as its weight: the same curve.
+    points = _margin(model, held if both(held) else known).groupBy("margin").agg(F.avg("label").alias("label"), F.count("*").cast("double").alias("weight"))
+    curve = IsotonicRegression(labelCol="label", featuresCol="margin", predictionCol="score", weightCol="weight").fit(points)
     return Model(lexicons[-1], model, curve, share)
 
 
