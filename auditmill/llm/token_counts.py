@@ -16,11 +16,15 @@ REMEMBERED, REMEMBERED_CHARS = 500_000, 64
 
 
 def read_vocabulary(path: str) -> list[tuple[str, float]]:
-    """The (piece, score) pairs of a sentencepiece model file, by id."""
+    """The (piece, score) pairs of a sentencepiece model file, by id, without reserved pieces.
+
+    Control, unknown, unused and byte pieces have no text: a text that spells one does not hold it.
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
+    reserved = (model.is_control, model.is_unknown, model.is_unused, model.is_byte)
+    return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size()) if not any(f(i) for f in reserved)]
 
 
 class Counter(dict):
