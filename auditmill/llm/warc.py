@@ -30,15 +30,23 @@ INDEX = "file string, offset long, length long, url string, digest string, recor
 RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, date: str) -> tuple[bytes, str]:
-    """One record as its own gzip member, and the payload's digest."""
-    digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+def digest_of(payload: bytes) -> str:
+    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
+
+
+def record_id(page_id: int | None, url: str | None, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}|{url}|{digest}')}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, refers_url: str | None, revisit: bool, date: str) -> tuple[bytes, str]:
+    """One record as its own gzip member, and the payload's digest. A revisit names the record that has the payload."""
+    digest = digest_of(payload)
     uri = quote(url or "", safe=SAFE)
     body = b"" if revisit else payload
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}|{url}|{digest}')}>",
+        f"WARC-Record-ID: {record_id(page_id, url, digest)}",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {uri}",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -48,27 +56,41 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
         f"X-Payload-Length: {len(payload)}",
     ]
     if revisit:
-        head += [f"WARC-Profile: {REVISIT}", f"X-Refers-To-Page-Id: {refers_to}"]
+        head += [
+            f"WARC-Profile: {REVISIT}",
+            f"WARC-Refers-To: {record_id(refers_to, refers_url, digest)}",
+            f"WARC-Refers-To-Target-URI: {quote(refers_url or '', safe=SAFE)}",
+            f"X-Refers-To-Page-Id: {refers_to}",
+        ]
     plain = "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
     pack = zlib.compressobj(6, zlib.DEFLATED, 31)
     return pack.compress(plain) + pack.flush(), digest
 
 
 def parse(member: bytes) -> dict:
-    """The fields of one record, from its gzip member."""
+    """The fields of one record, from its gzip member.
+
+    Length and digest of a response are made from the payload that was read; a digest that differs
+    from the header's is an error. A revisit has no payload: they are its header's. URLs come
+    back as written, with spaces and controls percent-encoded.
+    """
     plain = zlib.decompress(member, 31)
     head, _, rest = plain.partition(b"\r\n\r\n")
     fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
     body = rest[: int(fields["Content-Length"])]
     number = lambda name: int(fields[name]) if fields.get(name) else None
+    said = fields["WARC-Payload-Digest"].removeprefix("sha1:")
+    response = fields["WARC-Type"] == "response"
+    if response and digest_of(body) != said:
+        raise ValueError(f"payload of {fields['WARC-Record-ID']} does not have its digest")
     return {
         "page_id": number("X-Page-Id"),
         "url": fields["WARC-Target-URI"],
         "record_type": fields["WARC-Type"],
-        "payload_bytes": number("X-Payload-Length"),
-        "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"),
+        "payload_bytes": len(body) if response else number("X-Payload-Length"),
+        "payload_digest": said,
         "refers_to": number("X-Refers-To-Page-Id"),
-        "payload": body if fields["WARC-Type"] == "response" else None,
+        "payload": body if response else None,
     }
 
 
@@ -86,7 +108,7 @@ def _writer(folder: str, date: str, file_bytes: int):
                     # The name is new for each attempt: what a lost attempt wrote is never in the index.
                     name, at = f"{uuid.uuid4().hex}.warc.gz", 0
                     out = fs.open_output_stream(f"{base}/{name}", compression=None)
-                member, digest = record(r["page_id"], r["url"], r["payload"], r["keep"], r["revisit"], date)
+                member, digest = record(r["page_id"], r["url"], r["payload"], r["keep"], r["keep_url"], r["revisit"], date)
                 out.write(member)
                 rows.append((f"{folder}/{name}", at, len(member), r["url"], digest, "revisit" if r["revisit"] else "response", r["page_id"]))
                 at += len(member)
@@ -132,12 +154,12 @@ def write_warc(
         F.unhex(F.sha2(payload, 256)).alias("sha"),
         salt_of(F.col(id_col)).alias("salt"),
     )
-    digests = rows.where(F.length("payload") >= min_revisit_bytes).select("page_id", "sha", "salt")
-    keeps = group_salted(digests, ["sha"], "salt", {"hi": F.max("page_id")}, {"keep": F.max("hi")})
-    keeps = materialize(keeps.select("sha", "salt", "keep"), "keeps")
+    digests = rows.where(F.length("payload") >= min_revisit_bytes).select("page_id", "url", "sha", "salt")
+    keeps = group_salted(digests, ["sha"], "salt", {"hi": F.max(F.struct("page_id", "url"))}, {"k": F.max("hi")})
+    keeps = materialize(keeps.select("sha", "salt", F.col("k.page_id").alias("keep"), F.col("k.url").alias("keep_url")), "keeps")
     large = F.length("payload") >= min_revisit_bytes
     joined = rows.join(keeps, ["sha", "salt"], "left").select(
-        "page_id", "url", "payload", "keep", (large & ~F.col("page_id").eqNullSafe(F.col("keep"))).alias("revisit")
+        "page_id", "url", "payload", "keep", "keep_url", (large & ~F.col("page_id").eqNullSafe(F.col("keep"))).alias("revisit")
     )
     return materialize(joined.mapInArrow(_writer(folder, date, file_bytes), INDEX), "index")
 
