@@ -132,24 +132,30 @@ def mod97(text: Column) -> Column:
     return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0), step)
 
 
-def day_of(text: Column) -> Column:
-    """The date that a find spells: ISO, or day first with a dot, or month first with a slash."""
-    pattern = F.when(F.substring(text, 5, 1) == "-", "yyyy-MM-dd").when(F.substring(text, 3, 1) == ".", "dd.MM.yyyy").otherwise("MM/dd/yyyy")
-    return F.to_date(F.try_to_timestamp(text, pattern))
+def date_form(text: Column, day_first: bool) -> Column:
+    """The form of a date: ISO, day first with a dot; with a slash as day_first says, unless one of the two is above 12."""
+    first = F.substring(text, 4, 2) <= "12" if day_first else F.substring(text, 1, 2) > "12"
+    return F.when(F.substring(text, 5, 1) == "-", "yyyy-MM-dd").when(F.substring(text, 3, 1) == ".", "dd.MM.yyyy").when(first, "dd/MM/yyyy").otherwise("MM/dd/yyyy")
 
 
-def kind_of(find: Column) -> Column:
+def day_of(text: Column, day_first: bool = False) -> Column:
+    """The date that a find spells, null for none."""
+    return F.to_date(F.try_to_timestamp(text, date_form(text, day_first)))
+
+
+def kind_of(find: Column, day_first: bool = False) -> Column:
     """The kind of a find if it is valid, else null.
 
     card: 13 to 19 digits, Luhn. iban: mod 97. date: a day of 1900 to 2099. ip: octets up to 255.
-    phone: the exchange code starts with 2 to 9, or a country code is given. ssn: area
-    001 to 899 but not 666, group and serial not zero.
+    phone: the exchange code (the first of the last seven digits) starts with 2 to 9, or a country
+    code is given; the area code is not judged. ssn: area 001 to 899 but not 666, group and serial
+    not zero.
     """
     full = lambda name: find.rlike(f"^(?:{FORMS[name]})$")
     digits = digits_of(find)
     plain = F.replace(find, F.lit(" "), F.lit(""))
     octets = F.transform(F.split(find, r"\."), lambda x: x.cast("int"))
-    day = day_of(find)
+    day = day_of(find, day_first)
     area, group, serial = F.substring(find, 1, 3), F.substring(find, 5, 2), F.substring(find, 8, 4)
     local = F.substring(digits, -7, 1)
     return (
@@ -162,7 +168,7 @@ def kind_of(find: Column) -> Column:
     )
 
 
-def pseudonym(find: Column, kind: Column, key: str) -> Column:
+def pseudonym(find: Column, kind: Column, key: str, day_first: bool = False) -> Column:
     """The pseudonym of a valid find, in its form.
 
     Cards keep the first digit, IBANs the country and letters, phones country and area code;
@@ -172,12 +178,11 @@ def pseudonym(find: Column, kind: Column, key: str) -> Column:
     n = F.length(digits)
     card = refilled(find, with_luhn(F.concat(F.substring(digits, 1, 1), permuted_digits(F.substring(digits, F.lit(2), n - 2), key, "card"))))
     origin = F.lit(FIRST_DAY).cast("date")
-    day = F.date_add(origin, permuted(F.datediff(day_of(find), origin).cast("long"), *DAYS, key, "date").cast("int"))
-    date = (
-        F.when(F.substring(find, 5, 1) == "-", F.date_format(day, "yyyy-MM-dd"))
-        .when(F.substring(find, 3, 1) == ".", F.date_format(day, "dd.MM.yyyy"))
-        .otherwise(F.date_format(day, "MM/dd/yyyy"))
-    )
+    day = F.date_add(origin, permuted(F.datediff(day_of(find, day_first), origin).cast("long"), *DAYS, key, "date").cast("int"))
+    form = date_form(find, day_first)
+    date = F.date_format(day, "MM/dd/yyyy")
+    for pattern in ("yyyy-MM-dd", "dd.MM.yyyy", "dd/MM/yyyy"):
+        date = F.when(form == pattern, F.date_format(day, pattern)).otherwise(date)
     packed = F.aggregate(F.split(find, r"\."), F.lit(0).cast("long"), lambda s, x: s * 256 + x.cast("long"))
     ip = let(
         permuted(packed, 65536, 65536, key, "ip"),
@@ -231,14 +236,14 @@ def listed(kind: Column) -> Column:
     return F.when(kind.isNotNull(), F.array(kind)).otherwise(F.array().cast("array<string>"))
 
 
-def specific(text: Column) -> Column:
+def specific(text: Column, day_first: bool) -> Column:
     """struct(kind, find) of the first specific form that text starts with and that is valid, or null."""
     finds = F.filter(F.array(*[F.regexp_extract(text, f"^(?:{p})", 0) for p in SPECIFIC]), lambda x: x != "")
-    valid = F.filter(F.transform(finds, lambda x: F.struct(kind_of(x).alias("kind"), x.alias("find"))), lambda v: v["kind"].isNotNull())
+    valid = F.filter(F.transform(finds, lambda x: F.struct(kind_of(x, day_first).alias("kind"), x.alias("find"))), lambda v: v["kind"].isNotNull())
     return F.when(text.rlike("^(?:[0-9+(]|[A-Z]{2}[0-9]{2})"), F.get(valid, F.lit(0)))
 
 
-def parted(zone: Column) -> Column:
+def parted(zone: Column, day_first: bool) -> Column:
     """A zone as an array of struct(open, kind, find): valid specific finds, each with the text before it; the last has only text.
 
     Every start is tried, from left to right, so a form that is not valid takes nothing from the next one.
@@ -249,7 +254,7 @@ def parted(zone: Column) -> Column:
 
         def step(s: Column, i: Column) -> Column:
             token = F.element_at(tokens, i)
-            got = F.when(s["skip"] == 0, specific(F.array_join(F.slice(tokens, i, REACH), "")))
+            got = F.when(s["skip"] == 0, specific(F.array_join(F.slice(tokens, i, REACH), ""), day_first))
 
             def after(v: Column) -> Column:
                 new = v["got"].isNotNull()
@@ -267,20 +272,20 @@ def parted(zone: Column) -> Column:
     return let(F.split(zone, STARTS, -1), over)
 
 
-def pseudonymised(text: Column, key: str) -> Column:
+def pseudonymised(text: Column, key: str, day_first: bool = False) -> Column:
     """struct(text, kinds) of a text: addresses first, then numbers and dates, zone by zone; open forms last."""
     none = F.array().cast("array<string>")
 
     def number(f: Column) -> Column:
-        return let(F.struct(f.alias("f"), kind_of(f).alias("k")), lambda v: F.struct(listed(v["k"]).alias("kinds"), F.coalesce(pseudonym(v["f"], v["k"], key), v["f"]).alias("out")))
+        return let(F.struct(f.alias("f"), kind_of(f, day_first).alias("k")), lambda v: F.struct(listed(v["k"]).alias("kinds"), F.coalesce(pseudonym(v["f"], v["k"], key, day_first), v["f"]).alias("out")))
 
     def piece(p: Column) -> Column:
         before = F.when(F.length(p["open"]) < 7, F.struct(p["open"].alias("text"), none.alias("kinds"))).otherwise(rewritten(p["open"], NUMBERS, number))
-        own = F.coalesce(pseudonym(p["find"], p["kind"], key), F.lit(""))
+        own = F.coalesce(pseudonym(p["find"], p["kind"], key, day_first), F.lit(""))
         return let(before, lambda b: F.struct(F.concat(b["kinds"], listed(p["kind"])).alias("kinds"), F.concat(b["text"], own).alias("out")))
 
     def zone(f: Column) -> Column:
-        whole_zone = let(F.transform(parted(f), piece), lambda a: F.struct(F.flatten(F.transform(a, lambda x: x["kinds"])).alias("kinds"), F.array_join(F.transform(a, lambda x: x["out"]), "").alias("out")))
+        whole_zone = let(F.transform(parted(f, day_first), piece), lambda a: F.struct(F.flatten(F.transform(a, lambda x: x["kinds"])).alias("kinds"), F.array_join(F.transform(a, lambda x: x["out"]), "").alias("out")))
         return F.when(F.length(f) < 7, F.struct(none.alias("kinds"), f.alias("out"))).otherwise(whole_zone)
 
     def numbers(s: Column) -> Column:
@@ -293,14 +298,16 @@ def pseudonymised(text: Column, key: str) -> Column:
     return let(first, numbers)
 
 
-def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", day_first: bool = False) -> DataFrame:
     """doc_id, text with pseudonyms, and the number of finds of each kind (n_email, n_card, ...).
 
     One pass without a shuffle. A value has one pseudonym for one key, in whatever document it
-    stands and however its digits are spaced, and two values of a form never share one. Null
-    text stays null with counts of 0. Repeated rows repeat; other columns are not read.
+    stands and however its digits are spaced, and two numbers or days of one kind never share
+    one. Addresses are the exception: 48 bits of a keyed hash, so two of one domain may meet. Dates
+    with a slash are read month first, or with day_first day first; where that is no date the other
+    way round, and they come out in the order in which they were read. Null text stays null with counts of 0. Repeated rows repeat; other columns are not read.
     """
     text = F.col(text_col)
-    done = docs.select(F.col(id_col).alias("doc_id"), F.when(text.isNotNull(), pseudonymised(text, key)).alias("p"))
+    done = docs.select(F.col(id_col).alias("doc_id"), F.when(text.isNotNull(), pseudonymised(text, key, day_first)).alias("p"))
     count = lambda k: F.coalesce(F.size(F.filter("p.kinds", lambda x: x == k)), F.lit(0)).cast("long")
     return done.select("doc_id", F.col("p.text").alias("text"), *[F.greatest(count(k), F.lit(0)).alias(f"n_{k}") for k in KINDS])
