@@ -29,7 +29,7 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = decontaminate.split_items(table(spark, sf_dir, "benchmark"))
     found = decontaminate.find_contaminated(table(spark, sf_dir, "documents"), items)
-    return found.select("doc_id", (F.size("matches") > 0).alias("contaminated"), F.transform("matches", lambda m: m["item_id"]).alias("item_ids"))
+    return found.select("doc_id", (F.size("matches") > 0).alias("contaminated"), F.transform("matches", lambda m: m["item_id"]).alias("item_ids"), F.transform("matches", lambda m: m["by"]).alias("matched_by"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,12 +119,18 @@ FROM comps LEFT JOIN sizes USING (doc_id)
 """
 
 OP3_SQL = r"""
-WITH item_words AS (
-  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark
+WITH item_texts AS (
+  SELECT item_id, text, regexp_extract(text, '(?s)^(.*[.!?])\s+(\S.*)$', 1) AS asked, regexp_extract(text, '(?s)^(.*[.!?])\s+(\S.*)$', 2) AS answer FROM benchmark
+), sides AS (
+  SELECT item_id, 'whole' AS side, text AS t FROM item_texts
+  UNION ALL SELECT item_id, 'question', CASE WHEN answer = '' THEN text ELSE asked END FROM item_texts
+  UNION ALL SELECT item_id, 'answer', answer FROM item_texts
+), side_words AS (
+  SELECT item_id, side, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM sides
 ), item_grams AS (
-  SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i : i + 4], ' '))) AS gram
-  FROM item_words WHERE len(w) > 0
-), sizes AS (SELECT item_id, count(*) AS n FROM item_grams GROUP BY item_id
+  SELECT DISTINCT item_id, side, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i : i + 4], ' '))) AS gram
+  FROM side_words WHERE len(w) >= CASE WHEN side = 'whole' THEN 1 ELSE 13 END
+), sizes AS (SELECT item_id, side, count(*) AS n FROM item_grams GROUP BY ALL
 ), doc_words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), doc_grams AS (
@@ -133,13 +139,18 @@ WITH item_words AS (
   FROM doc_words
 ), hits AS (
   -- A match lies in one passage of 128 words; no item here is longer than half of that.
-  SELECT doc_id, item_id, gram, (pos - 1) // 64 + k AS passage FROM doc_grams JOIN item_grams USING (gram), (VALUES (0), (-1)) AS v(k)
+  SELECT doc_id, item_id, side, gram, (pos - 1) // 64 + k AS passage FROM doc_grams JOIN item_grams USING (gram), (VALUES (0), (-1)) AS v(k)
+), held AS (
+  SELECT DISTINCT doc_id, item_id, side FROM (
+    SELECT doc_id, item_id, side, passage, count(DISTINCT gram) AS c FROM hits GROUP BY ALL
+  ) JOIN sizes USING (item_id, side) WHERE 5 * c >= 4 * n
 ), matched AS (
-  SELECT DISTINCT doc_id, item_id FROM (
-    SELECT doc_id, item_id, passage, count(DISTINCT gram) AS c FROM hits GROUP BY ALL
-  ) JOIN sizes USING (item_id) WHERE 5 * c >= 4 * n
+  SELECT doc_id, item_id, CASE WHEN bool_or(side = 'question') AND bool_or(side = 'answer') THEN 'both' WHEN bool_or(side = 'question') THEN 'question'
+                               WHEN bool_or(side = 'answer') THEN 'answer' ELSE 'whole' END AS by
+  FROM held GROUP BY ALL
 )
-SELECT doc_id, count(m.item_id) > 0 AS contaminated, coalesce(list(m.item_id ORDER BY m.item_id) FILTER (m.item_id IS NOT NULL), []) AS item_ids
+SELECT doc_id, count(m.item_id) > 0 AS contaminated, coalesce(list(m.item_id ORDER BY m.item_id) FILTER (m.item_id IS NOT NULL), []) AS item_ids,
+       coalesce(list(m.by ORDER BY m.item_id) FILTER (m.item_id IS NOT NULL), []) AS matched_by
 FROM documents LEFT JOIN matched m USING (doc_id) GROUP BY doc_id
 """
 
@@ -164,18 +175,14 @@ WITH sized AS (
   FROM ordered
 ), found AS (SELECT level FROM levels WHERE cap > weight * level ORDER BY n LIMIT 1
 ), targets AS (
-  SELECT source, source_size, least(cap, weight * (SELECT level FROM found)) AS target,
-         ('0x' || md5('mix-1|' || coalesce(source, chr(0)))[:12])::BIGINT / 281474976710656.0::DOUBLE AS start
-  FROM ordered
-), placed AS (
-  SELECT doc_id, size, source_size, target, start,
-         CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
-         row_number() OVER (PARTITION BY s.source ORDER BY size, doc_id) - 1 AS k
+  SELECT source, source_size, least(cap, weight * (SELECT level FROM found)) AS target FROM ordered
+), drawn AS (
+  SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
+         ('0x' || md5('mix-1|' || doc_id)[:12])::BIGINT / 281474976710656.0::DOUBLE AS u
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 )
-SELECT doc_id, size, source_size, target,
-       (size * (floor(rate) + floor((k + 1) * (rate - floor(rate)) + start) - floor(k * (rate - floor(rate)) + start)))::BIGINT AS taken
-FROM placed
+SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM drawn
 """
 
 OP7_SQL = r"""
