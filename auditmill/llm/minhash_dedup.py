@@ -144,6 +144,18 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def nearby(links: DataFrame) -> DataFrame:
+    """(node, comp) of the nodes in links (a, b): the smallest node of two steps down from each.
+
+    Nodes of one comp are of one component; a component may still have several comps. That
+    is enough to leave out pairs that need no test, at the cost of one job.
+    """
+    both = links.select("a", "b").union(links.select("b", "a"))
+    low = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("low")).withColumn("salt", salt_of(F.col("node")))
+    lower = lookup_salted(low, "low", "salt", low.select(F.col("node").alias("low"), F.col("low").alias("comp")))
+    return materialize(lower.select("node", "comp"), "labels")
+
+
 def _linked(hub_pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b, salt) of classes a and hubs b, those with 100 * intersection >= percent * union."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga"), F.col("n").alias("na"))
@@ -185,8 +197,8 @@ def _rest(state: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of components among all members of the stars in state: the exact prefix filter.
 
     x and y are linked if their differences from the hub share at least
-    need = (|Dx| + |Dy| - (100 - percent) * (nx + ny) / (100 + percent)) / 2 elements. Of members
-    of different components at most one is linked with the hub, and then need is at least 1. With
+    need = (|Dx| + |Dy| - (100 - percent) * (nx + ny) / (100 + percent)) / 2 elements. If one of the
+    two is not linked with the hub, need is at least 1; if both are, there is nothing to find. With
     elements in order of frequency the first one that they share stands at most at place
     |D| - need of both.
     """
@@ -218,7 +230,7 @@ def _rest(state: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
 
 
 def _joined_stars(stars: DataFrame, percent: int) -> list[DataFrame]:
-    """Tables of links (a, b) of components among the members of each star (hub, doc_id, salt, comp, n, d).
+    """Tables of links (a, b) of components among the members of each star (hub, doc_id, salt, comp, n, d, and the hub's n and comp).
 
     The first round tests PROBES members of each star against all its others. While a round joins
     at least one in SLOW of a star's components, the next one tests four times as many members of
@@ -226,18 +238,20 @@ def _joined_stars(stars: DataFrame, percent: int) -> list[DataFrame]:
     number of tests in proportion to its size, however many links it has. What is left (small
     stars are done by then) goes through _rest().
     """
-    found: list[DataFrame] = []
-    state = materialize(stars.select("hub", "doc_id", "salt", "comp", F.lit(True).alias("active"), F.lit(None).cast("long").alias("major")), "state")
-    most = PROBES
+    # Not every member was tested with its star's hub.
+    close = F.size("d") * (100 + percent) <= F.lit(100 - percent) * (F.col("n") + F.col("h_n"))
+    hubs = materialize(stars.where(close).where("comp <> h_comp").select(F.col("comp").alias("a"), F.col("h_comp").alias("b")).distinct(), "confirmed")
+    found: list[DataFrame] = [hubs]
+    state = materialize(stars.select("hub", "doc_id", "salt", F.when(close, F.col("h_comp")).otherwise(F.col("comp")).alias("comp"), F.lit(True).alias("active"), F.lit(None).cast("long").alias("major")), "state")
+    most, first = PROBES, True
     while True:
         asking = state.where("active")
-        first = not found
         probes = _first(asking if first else asking.where("comp = major"), F.xxhash64(F.lit(most), F.col("doc_id")), most)
         probes = materialize(probes.join(state.select("hub", "doc_id", "comp"), ["hub", "doc_id"]), "probes")
         links = materialize(_probed(asking if first else asking.where("comp <> major"), probes, stars, percent), "confirmed")
         found.append(links)
         some = links.limit(1).count() > 0
-        moved = components(links) if some else None
+        moved = nearby(links) if some else None
         left = state.join(probes.select("hub", "doc_id"), ["hub", "doc_id"], "left_anti") if first else state
         now = left.withColumnRenamed("comp", "old")
         if some:
@@ -251,7 +265,7 @@ def _joined_stars(stars: DataFrame, percent: int) -> list[DataFrame]:
         newer = now.join(spread, ["hub", "salt"]).select("hub", "doc_id", "salt", "comp", (F.col("active") & F.col("quick")).alias("active"), F.col("largest").alias("major"))
         newer = materialize(newer, "state")
         release(state, probes, *([moved] if some else []))
-        state, most = newer, min(4 * most, MOST_PROBES)
+        state, most, first = newer, min(4 * most, MOST_PROBES), False
         if state.where("active").limit(1).count() == 0:
             break
     if state.limit(1).count():
@@ -278,8 +292,7 @@ def near_duplicates(
        its smallest id; copies go no further.
     2. In each bucket of equal band keys every class is paired with one hub, the class whose
        buckets are largest over all bands (in a group of edited copies, mostly the text that was
-       edited). Pairs are confirmed on full sets and make first components. A bucket of m
-       classes gives m - 1 pairs.
+       edited). Pairs are confirmed on full sets. A bucket of m classes gives m - 1 pairs.
     3. Buckets whose other members are still of more than one component make stars: a hub and
        those members, each as its difference from the hub, from which links follow exactly. Stars
        are joined in rounds of probes and at last by a prefix filter over the differences (see
@@ -322,20 +335,28 @@ def near_duplicates(
     # Pairs with a hub are tested: only buckets with two more members of different components stay open.
     state = placed.where("total > 2").join(first.select(F.col("node").alias("doc_id"), "comp"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
     mixed = group_salted(state, ["key"], "salt", {"lo": F.min("comp"), "hi": F.max("comp")}, {"low": F.min("lo"), "high": F.max("hi")}, F.col("low") < F.col("high"))
-    stars = state.join(mixed, ["key", "salt"]).select("hub", "doc_id", "salt", "comp").distinct()
-    stars = lookup_salted(stars.join(sets, "doc_id"), "hub", "salt", sets.select(F.col("doc_id").alias("hub"), F.col("grams").alias("h")))
+    state = state.join(mixed, ["key", "salt"]).select("doc_id", "salt", "comp", F.col("hub").alias("near")).distinct()
+    # Hubs of one component share one hub, so that a class is in one star instead of several.
+    ranks = placed.select(F.col("hub").alias("doc_id"), "total").groupBy("doc_id").agg(F.sum("total").alias("weight")).join(first.select(F.col("node").alias("doc_id"), "comp"), "doc_id", "left")
+    heads = ranks.groupBy(F.coalesce("comp", "doc_id").alias("c")).agg(F.max_by(F.col("doc_id"), F.struct(F.col("weight"), -F.col("doc_id"))).alias("hub"))
+    heads = lookup_salted(ranks.select(F.col("doc_id").alias("near"), F.coalesce("comp", "doc_id").alias("c"), salt_of(F.col("doc_id")).alias("salt")), "c", "salt", heads).select("near", "hub", F.col("c").alias("h_comp"))
+    stars = lookup_salted(state, "near", "salt", heads).select("hub", "doc_id", "salt", "comp", "h_comp").where("doc_id <> hub").distinct()
+    stars = lookup_salted(stars.join(sets, "doc_id"), "hub", "salt", sets.select(F.col("doc_id").alias("hub"), F.col("grams").alias("h"), F.col("n").alias("h_n")))
     apart = F.concat(F.array_except("grams", "h"), F.array_except("h", "grams"))
-    stars = materialize(stars.select("hub", "doc_id", "salt", "comp", "n", apart.alias("d")), "stars")
+    stars = materialize(stars.select("hub", "doc_id", "salt", "comp", "n", "h_n", "h_comp", apart.alias("d")), "stars")
     release(placed, sets)
     more = _joined_stars(stars, percent) if stars.limit(1).count() else []
     release(stars)
 
-    named = lookup_salted(member, "rep", "salt", first.select(F.col("node").alias("rep"), "comp")).select("doc_id", "salt", F.coalesce("comp", "rep").alias("comp"))
-    moved = components(functools.reduce(DataFrame.unionByName, more)) if more else None
-    if moved is not None:
-        named = lookup_salted(named, "comp", "salt", moved.select(F.col("node").alias("comp"), F.col("comp").alias("top"))).withColumn("comp", F.coalesce("top", "comp"))
+    # comps are nodes too, so they and the later links together give the components.
+    later = functools.reduce(DataFrame.unionByName, more) if more else None
+    if later is not None and later.limit(1).count():
+        final = components(first.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b")).union(later))
+    else:
+        final = first
+    named = lookup_salted(member, "rep", "salt", final.select(F.col("node").alias("rep"), "comp")).select("doc_id", F.coalesce("comp", "rep").alias("comp"))
     named = materialize(named.groupBy(F.col("doc_id").alias("_id")).agg(F.min("comp").alias("comp")), "named")
-    release(member, first, *more, *([moved] if moved is not None else []))
+    release(member, first, final, *more)
     out = sketch.join(named, F.col("doc_id") == F.col("_id"), "left")
     comp = F.coalesce("comp", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.col("doc_id").eqNullSafe(comp).alias("kept"))
