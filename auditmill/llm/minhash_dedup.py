@@ -20,7 +20,8 @@ SHINGLE, BANDS, ROWS = 5, 24, 4
 #: Members of a star that the first round of probes tests, the most that a later one does, and the
 #: share of a star's components (one in SLOW) that a round must join for another one to follow.
 PROBES, MOST_PROBES, SLOW = 8, 512, 16
-#: Rows of one key that go to one part of it.
+#: Links of a graph from which on its joins are salted, and rows of one key that go to one part of it.
+SALTED_LINKS = 1 << 20
 PART_ROWS = 2048
 
 _G, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -127,16 +128,18 @@ def components(links: DataFrame) -> DataFrame:
 
     Labels spread to neighbours and jump to their label's label until none changes, so the
     number of rounds grows with the logarithm of the longest path. Each round is written to
-    the shared folder and replaces the one before. The centre of a star and the label of a large
-    component are dealt over salts.
+    the shared folder and replaces the one before. In graphs of more than SALTED_LINKS rows the
+    centre of a star and the label of a large component are dealt over salts, at the cost of a
+    second join for each.
     """
     both = materialize(links.select("a", "b").union(links.select("b", "a")).distinct().withColumn("salt", salt_of(F.col("a"))), "links")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("comp")), "labels")
+    lookup = lookup_salted if both.count() > SALTED_LINKS else lambda rows, key, _, answers: rows.join(answers, key, "left")
     while True:
-        near = lookup_salted(both, "b", "salt", labels.select(F.col("node").alias("b"), "comp")).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
+        near = lookup(both, "b", "salt", labels.select(F.col("node").alias("b"), "comp")).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         best = labels.join(near, "node").select("node", F.least("comp", "near").alias("comp"), F.col("comp").alias("old"), salt_of(F.col("node")).alias("salt"))
         over = labels.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-        jumped = materialize(lookup_salted(best, "comp", "salt", over).select("node", F.least("comp", "top").alias("comp"), "old"), "labels")
+        jumped = materialize(lookup(best, "comp", "salt", over).select("node", F.least("comp", "top").alias("comp"), "old"), "labels")
         release(labels)
         labels = jumped
         if labels.where("comp <> old").limit(1).count() == 0:
