@@ -12,10 +12,8 @@ from pyspark.sql import functions as F
 #: Words of letters and digits, or one sign; white space separates.
 TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
 
-#: A numbered section: its header line has a number like 1.2, a letter and no run of two dots. It
-#: ends before the next numbered line. (?d): only \n ends lines; (?U): Unicode classes.
-SECTION = r"(?dmsU)^\d+\.\d+\s+(?=[^\n]*[A-Za-zА-Яа-я])(?![^\n]*\.{2,}).*?(?=^\d+\.\d+\s+|\z)"
-TITLE = r"(?dmU)^\d+\.\d+\s+(?=[^\n]*[A-Za-zА-Яа-я])(?![^\n]*\.{2,})[^\n]+"
+#: What a numbered line begins with, and what its text must have to be a header instead of a line of contents.
+NUMBER, LETTER, LEADERS = r"(?U)^\d+\.\d+(?:\s+|$)", "[A-Za-zА-Яа-я]", ".."
 
 GUID = r"(?U)\bGUID:\s*([0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12})\b"
 
@@ -38,13 +36,27 @@ def tokenize(c: Column) -> Column:
 def split_sections(c: Column) -> Column:
     """array<struct<title, text>> of the numbered sections of a text.
 
-    Text before the first section, and under a contents-like line (with dots) between sections,
-    is left out. Without any section the whole text is one, with a null title.
+    Every numbered line (see NUMBER) begins a block, which ends before the next one. A block is a
+    section if the first line of text after its number has a letter and no two dots in a row; the
+    title is the number and that line. Text before the first block and blocks of other kinds are
+    left out. Without any section the whole text is one, with a null title.
     """
-    found = F.filter(F.transform(F.regexp_extract_all(c, F.lit(SECTION), F.lit(0)), stripped), lambda s: s != "")
-    titled = F.transform(found, lambda s: F.struct(not_blank(stripped(F.regexp_extract(s, TITLE, 0))).alias("title"), s.alias("text")))
+
+    def blocks(lines: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.element_at(lines, i).rlike(NUMBER))
+        ends = F.concat(F.slice(starts, 2, F.size(lines)), F.array(F.size(lines) + 1))
+        return F.zip_with(starts, ends, lambda s, e: stripped(F.array_join(F.slice(lines, s, e - s), "\n")))
+
+    def section(block: Column) -> Column:
+        rest = F.regexp_replace(block, NUMBER, "")
+        line = F.substring_index(rest, "\n", 1)
+        title = F.substring(block, F.lit(1), F.length(block) - F.length(rest) + F.length(line))
+        header = line.rlike(LETTER) & ~F.contains(line, F.lit(LEADERS))
+        return F.struct(F.when(header, stripped(title)).alias("title"), block.alias("text"))
+
+    found = F.filter(F.transform(blocks(F.split(c, "\n", -1)), section), lambda s: s["title"].isNotNull())
     whole = F.array(F.struct(F.lit(None).cast("string").alias("title"), c.alias("text")))
-    return F.when(F.size(found) > 0, titled).otherwise(whole)
+    return F.when(F.size(found) > 0, found).otherwise(whole)
 
 
 def strip_front_matter(c: Column, anchor: str) -> Column:
