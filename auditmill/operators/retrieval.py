@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from auditmill.functions.text import tokenize
+from auditmill.functions.vectors import cosine_distance
 from auditmill.sources.scratch import stored
 
 #: Candidates for each result, fusion constant, and BM25's constants.
@@ -19,11 +20,15 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Which vector column answers which type of query.
 VECTOR_COLUMNS = {"fact": "fact_vec", "procedure": "procedure_vec", "constraint": "constraint_vec"}
 
-#: Queries whose vectors are broadcast together.
-QUERY_BLOCK = 4096
+#: Queries that one pass over the corpus answers, and the queries and rows that are multiplied at once.
+QUERIES_A_PASS, QUERY_BLOCK, ROW_BLOCK = 16_384, 4_096, 2_048
+#: A corpus of more bytes than this is searched in one of SAMPLE parts first, to bound what its tasks return.
+LARGE, SAMPLE = 64 << 30, 64
 #: Digits that distances and scores are rounded to before they are ranked.
 DIGITS = 9
 
+FOUND = "query_id long, doc_id long, distance double"
+
 
 def vector_column(query_type: str) -> str:
     """The vector column of a query type; ValueError for others."""
@@ -44,90 +49,143 @@ def section_like(metadata: Column, keyword: Column) -> Column:
     return F.contains(F.lower(F.get_json_object(metadata, "$.section")), keyword)
 
 
-def _top(k: int, ids: np.ndarray, matrix: np.ndarray, groups: list[str] | None):
-    """A task: the k nearest rows of each query among the rows of a partition."""
+class _Block:
+    """Queries that are multiplied together: ids, unit vectors, the file of each, and the largest distance of use."""
+
+    def __init__(self, rows: list[Row], same_file: bool, bounds: dict[int, float]) -> None:
+        self.ids = [r["query_id"] for r in rows]
+        self.matrix = np.array([r["embedding"] for r in rows], float)
+        self.matrix /= np.linalg.norm(self.matrix, axis=1, keepdims=True)
+        self.by_file: dict[str, list[int]] | None = {} if same_file else None
+        for n, r in enumerate(rows if same_file else []):
+            self.by_file.setdefault(r["file_id"], []).append(n)
+        self.bounds = np.array([bounds.get(i, np.inf) for i in self.ids])
+
+
+def _top(k: int, blocks: list[_Block]):
+    """A task: of each query the k nearest rows of a partition that are within the query's bound."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[list[tuple[float, int]]] = [[] for _ in ids]
+        best: list[list[list[tuple[float, int]]]] = [[[] for _ in b.ids] for b in blocks]
+        worst = [b.bounds.copy() for b in blocks]
         for batch in batches:
-            column = batch.column("vector")
-            if not len(column):
-                continue
-            block = np.stack(column.to_numpy(zero_copy_only=False)).astype(float)
-            block /= np.linalg.norm(block, axis=1, keepdims=True)
-            far = np.round(1.0 - matrix @ block.T, DIGITS) + 0.0  # no negative zero
-            names = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            files = np.array(batch.column("file_id").to_pylist(), object) if groups else None
-            for q in range(len(ids)):
-                own = np.flatnonzero(files == groups[q]) if groups else np.arange(len(names))
-                if not len(own):
-                    continue
-                if len(own) > k:
-                    edge = np.partition(far[q, own], k - 1)[k - 1]
-                    own = own[far[q, own] <= edge]
-                best[q] = sorted(best[q] + list(zip(far[q, own].tolist(), names[own].tolist(), strict=True)))[:k]
-        for q, found in enumerate(best):
-            if found:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[q]] * len(found), pa.int64()), pa.array([i for _, i in found], pa.int64()), pa.array([d for d, _ in found], pa.float64())],
-                    ["query_id", "doc_id", "distance"],
-                )
+            for at in range(0, len(batch), ROW_BLOCK):
+                part = batch.slice(at, ROW_BLOCK)
+                vectors = part.column("vector").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(part), -1)
+                size = np.linalg.norm(vectors, axis=1)
+                some = np.flatnonzero(size > 0)
+                vectors = vectors[some] / size[some, None]
+                names = part.column("doc_id").to_numpy(zero_copy_only=False)[some]
+                held: dict[str, list[int]] = {}
+                if blocks[0].by_file is not None:
+                    files = part.column("file_id").to_pylist()
+                    for n, i in enumerate(some):
+                        held.setdefault(files[i], []).append(n)
+                for b, block in enumerate(blocks):
+                    if block.by_file is None:
+                        groups = [(np.arange(len(block.ids)), np.arange(len(names)))]
+                    else:
+                        groups = [(np.array(block.by_file[f]), np.array(rows)) for f, rows in held.items() if f in block.by_file]
+                    for asked, rows in groups:
+                        far = np.round(1.0 - block.matrix[asked] @ vectors[rows].T, DIGITS) + 0.0  # no negative zero
+                        for q in np.flatnonzero((far <= worst[b][asked, None]).any(axis=1)):
+                            own, n = np.flatnonzero(far[q] <= worst[b][asked[q]]), asked[q]
+                            if len(own) > k:
+                                own = own[far[q, own] <= np.partition(far[q, own], k - 1)[k - 1]]
+                            best[b][n] = sorted(best[b][n] + list(zip(far[q, own].tolist(), names[rows[own]].tolist(), strict=True)))[:k]
+                            if len(best[b][n]) == k:
+                                worst[b][n] = min(worst[b][n], best[b][n][-1][0])
+        for block, own_best in zip(blocks, best, strict=True):
+            for query, found in zip(block.ids, own_best, strict=True):
+                if found:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([query] * len(found), pa.int64()), pa.array([i for _, i in found], pa.int64()), pa.array([d for d, _ in found], pa.float64())],
+                        ["query_id", "doc_id", "distance"],
+                    )
 
     return run
 
 
-def nearest(queries: DataFrame, docs: DataFrame, k: int, vector: str = "fact_vec", same_file: bool = False) -> DataFrame:
-    """(query_id, doc_id, distance, vector_rank): the k docs nearest to each query by cosine distance.
-
-    queries has query_id, embedding and, with same_file, file_id: only that file's docs count.
-    Each task multiplies its rows with a block of at most QUERY_BLOCK query vectors and keeps its
-    own k best; only those meet for the final rank. Equal distances rank by doc_id. Docs without
-    a vector are not candidates.
-    """
-    rows = docs.where(F.col(vector).isNotNull()).select("doc_id", F.col(vector).alias("vector"), *(["file_id"] if same_file else []))
-    wanted = queries.select("query_id", "embedding", *(["file_id"] if same_file else []))
-    blocks = -(-wanted.count() // QUERY_BLOCK)
-    parts = None
-    for k_block in range(blocks):
-        own = wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k_block).collect()
-        if not own:
-            continue
-        matrix = np.array([r["embedding"] for r in own], float)
-        matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
-        task = _top(k, np.array([r["query_id"] for r in own], np.int64), matrix, [r["file_id"] for r in own] if same_file else None)
-        part = rows.mapInArrow(task, "query_id long, doc_id long, distance double")
-        parts = part if parts is None else parts.unionByName(part)
-    if parts is None:
-        parts = docs.sparkSession.createDataFrame([], "query_id long, doc_id long, distance double")
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy("distance", "doc_id")
-    return parts.withColumn("vector_rank", F.row_number().over(order)).where(F.col("vector_rank") <= k)
+    return found.withColumn("vector_rank", F.row_number().over(order)).where(F.col("vector_rank") <= k)
+
 
+def nearest(queries: DataFrame, docs: DataFrame, k: int, vector: str = "fact_vec", same_file: bool = False) -> DataFrame:
+    """(query_id, doc_id, distance, vector_rank): the k docs nearest to each query by cosine distance.
 
-def bm25_stats(candidates: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Statistics of candidate sets (query_id, doc_id, chunk), one set for each query.
+    queries has query_id (long), embedding and, with same_file, file_id: only that file's docs
+    count. docs has doc_id (long) and the vector column. Equal distances rank by doc_id. Docs whose
+    vector is null or all zero are no candidates, and queries with such an embedding find nothing.
 
-    (query_id, doc_id, len), (query_id, doc_id, term, f) and (query_id, term, idf, n, docs, avg_len).
-    An idf below zero becomes EPSILON times the mean idf of the set's distinct terms.
+    One pass over docs answers QUERIES_A_PASS queries, which are all that is broadcast at a time;
+    with more queries each pass is written before the next one begins. A task multiplies its rows
+    with blocks of queries and returns k rows for each query at most. For a corpus over LARGE
+    bytes one of SAMPLE parts of it is searched first: no task then returns a row farther than the
+    k-th of that part, so about k * SAMPLE rows a query are shuffled, however many tasks there are.
+    More than QUERIES_A_PASS queries within files are joined with their file's rows instead.
+    """
+    keys = ["file_id"] if same_file else []
+    rows = docs.where(F.col(vector).isNotNull()).select("doc_id", F.col(vector).alias("vector"), *keys)
+    wanted = queries.where(F.exists("embedding", lambda x: x != 0)).select("query_id", "embedding", *keys)
+    passes = -(-wanted.count() // QUERIES_A_PASS)
+    if same_file and passes > 1:
+        far = F.round(cosine_distance(F.col("vector"), F.col("embedding")), DIGITS)
+        return _ranked(wanted.join(rows, "file_id").select("query_id", "doc_id", far.alias("distance")).where("distance IS NOT NULL"), k)
+    large = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > LARGE
+    parts = []
+    for n in range(passes):
+        own = wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == n).collect()
+        search = lambda of, bounds: of.mapInArrow(_top(k, [_Block(own[i : i + QUERY_BLOCK], same_file, bounds) for i in range(0, len(own), QUERY_BLOCK)]), FOUND)  # noqa: B023, E731
+        bounds = {}
+        if own and large:
+            sample = search(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0), {})
+            bounds = {r["query_id"]: r["distance"] for r in _ranked(sample, k).where(F.col("vector_rank") == k).select("query_id", "distance").collect()}
+        if own:
+            found = search(rows, bounds)
+            parts.append(stored(found, "nearest") if passes > 1 else found)
+    found = parts[0] if parts else docs.sparkSession.createDataFrame([], FOUND)
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return _ranked(found, k)
+
+
+def term_counts(texts: DataFrame) -> DataFrame:
+    """(doc_id, term, f) of texts (doc_id, chunk); a text without tokens has one row, with a null term. Written once."""
+    tokens = texts.select("doc_id", F.explode_outer(tokenize(F.col("chunk"))).alias("term"))
+    return stored(tokens.groupBy("doc_id", "term").agg(F.count("*").alias("f")), "terms")
+
+
+def bm25_stats(candidates: DataFrame, counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Statistics of candidate sets (query_id, doc_id), one set for each query.
+
+    (query_id, doc_id, len), (doc_id, term, f) and (query_id, term, idf, n, docs, avg_len). An idf
+    below zero becomes EPSILON times the mean idf of the set's distinct terms. counts are the
+    term_counts() of the candidates' texts; without them candidates has chunk.
     """
-    tokens = candidates.select("query_id", "doc_id", tokenize(F.col("chunk")).alias("tokens"))
-    lengths = tokens.select("query_id", "doc_id", F.size("tokens").alias("len"))
-    counts = tokens.select("query_id", "doc_id", F.explode("tokens").alias("term")).groupBy("query_id", "doc_id", "term").agg(F.count("*").alias("f"))
+    if counts is None:
+        counts = term_counts(candidates.select("doc_id", "chunk").dropDuplicates(["doc_id"]))
+    sizes = counts.groupBy("doc_id").agg(F.sum(F.when(F.col("term").isNotNull(), F.col("f")).otherwise(0)).alias("len"))
+    counts = counts.where("term IS NOT NULL")
+    lengths = candidates.select("query_id", "doc_id").join(sizes, "doc_id").select("query_id", "doc_id", "len")
     sets = lengths.groupBy("query_id").agg(F.count("*").alias("docs"), F.avg("len").alias("avg_len"))
-    terms = counts.groupBy("query_id", "term").agg(F.count("*").alias("n")).join(sets, "query_id")
-    idf = F.log(F.col("docs") - F.col("n") + 0.5) - F.log(F.col("n") + 0.5)
-    terms = terms.withColumn("raw", idf).withColumn("mean", F.avg("raw").over(Window.partitionBy("query_id")))
-    terms = terms.select("query_id", "term", F.when(F.col("raw") < 0, F.col("mean") * EPSILON).otherwise(F.col("raw")).alias("idf"), "n", "docs", "avg_len")
-    return lengths, counts, terms
+    known = candidates.select("query_id", "doc_id").join(counts, "doc_id").groupBy("query_id", "term").agg(F.count("*").alias("n"))
+    terms = known.join(sets, "query_id").withColumn("raw", F.log(F.col("docs") - F.col("n") + 0.5) - F.log(F.col("n") + 0.5))
+    means = terms.groupBy("query_id").agg(F.avg("raw").alias("mean"))
+    idf = F.when(F.col("raw") < 0, F.col("mean") * EPSILON).otherwise(F.col("raw"))
+    return lengths, counts, terms.join(means, "query_id").select("query_id", "term", idf.alias("idf"), "n", "docs", "avg_len")
 
 
-def bm25_scores(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+def bm25_scores(queries: DataFrame, candidates: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, bm25) of every candidate, rounded; a candidate without a query term scores 0.
 
-    queries has query_id and query_text; repeated words of a query count as often.
+    queries has query_id and query_text; repeated words of a query count as often. Texts are
+    tokenised once for each document, not for each query that has it as a candidate.
     """
-    lengths, counts, terms = bm25_stats(candidates)
+    lengths, counts, terms = bm25_stats(candidates, counts)
     asked = queries.select("query_id", F.explode(tokenize(F.col("query_text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    hits = counts.join(asked, ["query_id", "term"]).join(terms, ["query_id", "term"]).join(lengths, ["query_id", "doc_id"])
+    asked = asked.join(terms, ["query_id", "term"]).select("query_id", "term", "times", "idf", "avg_len")
+    hits = lengths.join(asked, "query_id").join(counts, ["doc_id", "term"])
     share = F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     scored = hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("times") * F.col("idf") * share).alias("bm25"))
     return lengths.select("query_id", "doc_id").join(scored, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.round(F.coalesce("bm25", F.lit(0.0)), DIGITS).alias("bm25"))
@@ -144,21 +202,28 @@ def rrf_fuse(ranked: DataFrame, k: int = RRF_K) -> DataFrame:
     return ranked.groupBy("query_id", "doc_id").agg(F.sum(F.lit(1.0) / (F.lit(k) + F.col("rank"))).alias("rrf_score"))
 
 
-def hybrid_search(queries: DataFrame, docs: DataFrame, top_k: int = 10, query_type: str = "fact", same_file: bool = False) -> DataFrame:
-    """The top_k docs of each query by fused vector and BM25 rank.
+def candidates(queries: DataFrame, docs: DataFrame, k: int, query_type: str = "fact", same_file: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The k nearest docs of each query, written once, and the term counts of the distinct docs among them."""
+    near = stored(nearest(queries, docs, k, vector_column(query_type), same_file), "candidates")
+    return near, term_counts(docs.select("doc_id", "chunk").join(near.select("doc_id").distinct(), "doc_id", "left_semi"))
+
 
-    queries: query_id, query_text, embedding (and file_id). docs: doc_id, file_id, chunk,
-    metadata and the vector columns. The result has query_id, rank, doc_id, rrf_score and the
-    docs' file_id, chunk and metadata. Equal scores keep the vector order.
+def hybrid_ranks(queries: DataFrame, docs: DataFrame, top_k: int = 10, query_type: str = "fact", same_file: bool = False) -> DataFrame:
+    """(query_id, rank, doc_id, rrf_score) of the top_k docs of each query by fused vector and BM25 rank.
+
+    queries: query_id, query_text, embedding (and file_id). docs: doc_id, chunk, the vector columns
+    (and file_id). Equal scores keep the vector order.
     """
-    near = nearest(queries, docs, top_k * CANDIDATE_FACTOR, vector_column(query_type), same_file)
-    # Written once: what follows reads the candidates several times, and the corpus must be searched once.
-    found = stored(near.join(docs.select("doc_id", "file_id", "chunk", "metadata"), "doc_id"), "candidates")
-    places = found.select("query_id", "doc_id", "vector_rank")
-    ranked = bm25_rank(bm25_scores(queries, found).join(places, ["query_id", "doc_id"]))
-    lists = ranked.select("query_id", "doc_id", F.explode(F.array("vector_rank", "bm25_rank")).alias("rank"))
-    fused = rrf_fuse(lists).join(places, ["query_id", "doc_id"])
+    near, counts = candidates(queries, docs, top_k * CANDIDATE_FACTOR, query_type, same_file)
+    places = near.select("query_id", "doc_id", "vector_rank")
+    ranked = bm25_rank(bm25_scores(queries, places, counts).join(places, ["query_id", "doc_id"]))
+    # Two lists: a document's fused score needs both of its ranks only, which stand in one row.
+    fused = ranked.withColumn("rrf_score", sum((F.lit(1.0) / (F.lit(RRF_K) + F.col(c)) for c in ("vector_rank", "bm25_rank")), F.lit(0.0)))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("rrf_score", DIGITS)), "vector_rank")
-    best = fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
-    kept = found.select("query_id", "doc_id", "file_id", "chunk", "metadata")
-    return best.join(kept, ["query_id", "doc_id"]).select("query_id", "rank", "doc_id", F.round("rrf_score", 6).alias("rrf_score"), "file_id", "chunk", "metadata")
+    return fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("query_id", "rank", "doc_id", F.round("rrf_score", 6).alias("rrf_score"))
+
+
+def hybrid_search(queries: DataFrame, docs: DataFrame, top_k: int = 10, query_type: str = "fact", same_file: bool = False) -> DataFrame:
+    """hybrid_ranks() with the docs' file_id, chunk and metadata. Texts are read for the results only."""
+    best = hybrid_ranks(queries, docs, top_k, query_type, same_file)
+    return docs.select("doc_id", "file_id", "chunk", "metadata").join(best, "doc_id").select("query_id", "rank", "doc_id", "rrf_score", "file_id", "chunk", "metadata")

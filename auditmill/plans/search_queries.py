@@ -9,7 +9,6 @@ from auditmill.functions import text, vectors
 from auditmill.operators import retrieval
 from auditmill.plans import views
 from auditmill.plans.views import SQL_DOCS, SQL_QUERIES, with_views
-from auditmill.sources.scratch import stored
 
 PHRASES = ["idiot", "License"]
 #: Languages stand for sections, and so do these parts of their names for section keywords.
@@ -110,32 +109,29 @@ def knn_topk_filtered(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.nearest(views.search_queries(spark, sf), docs, 4, same_file=True)
 
 
-def _candidates(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    docs, queries = views.docs(spark, sf), views.search_queries(spark, sf)
-    found = stored(retrieval.nearest(queries, docs, 60).join(docs.select("doc_id", "chunk"), "doc_id"), "candidates")
-    return queries, found.select("query_id", "doc_id", "vector_rank"), found
-
-
 def bm25_stats(spark: SparkSession, sf: str) -> DataFrame:
-    _, _, terms = retrieval.bm25_stats(_candidates(spark, sf)[2])
+    near, counts = retrieval.candidates(views.search_queries(spark, sf), views.docs(spark, sf), 60)
+    _, _, terms = retrieval.bm25_stats(near, counts)
     return terms.select("query_id", "term", "n", "docs", F.round("avg_len", 6).alias("avg_len"), F.round("idf", 6).alias("idf"))
 
 
+def _scored(spark: SparkSession, sf: str) -> DataFrame:
+    """query_id, doc_id, vector_rank and bm25 of each query's 60 candidates."""
+    queries = views.search_queries(spark, sf)
+    near, counts = retrieval.candidates(queries, views.docs(spark, sf), 60)
+    return retrieval.bm25_scores(queries, near, counts).join(near.select("query_id", "doc_id", "vector_rank"), ["query_id", "doc_id"])
+
+
 def bm25_score(spark: SparkSession, sf: str) -> DataFrame:
-    queries, _, found = _candidates(spark, sf)
-    return retrieval.bm25_scores(queries, found).select("query_id", "doc_id", F.round("bm25", 6).alias("bm25"))
+    return _scored(spark, sf).select("query_id", "doc_id", F.round("bm25", 6).alias("bm25"))
 
 
 def bm25_rank(spark: SparkSession, sf: str) -> DataFrame:
-    queries, near, found = _candidates(spark, sf)
-    scored = retrieval.bm25_scores(queries, found).join(near, ["query_id", "doc_id"])
-    return retrieval.bm25_rank(scored).select("query_id", "doc_id", "vector_rank", "bm25_rank")
+    return retrieval.bm25_rank(_scored(spark, sf)).select("query_id", "doc_id", "vector_rank", "bm25_rank")
 
 
 def rrf_fuse(spark: SparkSession, sf: str) -> DataFrame:
-    queries, near, found = _candidates(spark, sf)
-    scored = retrieval.bm25_scores(queries, found).join(near, ["query_id", "doc_id"])
-    lists = retrieval.bm25_rank(scored).select("query_id", "doc_id", F.explode(F.array("vector_rank", "bm25_rank")).alias("rank"))
+    lists = retrieval.bm25_rank(_scored(spark, sf)).select("query_id", "doc_id", F.explode(F.array("vector_rank", "bm25_rank")).alias("rank"))
     return retrieval.rrf_fuse(lists).select("query_id", "doc_id", F.round("rrf_score", 9).alias("rrf_score"))
 
 
