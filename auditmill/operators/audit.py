@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditmill.functions import json_text, render
-from auditmill.functions.text import not_blank
-from auditmill.operators import codes, rules
+from auditmill.functions.text import not_blank, stripped
+from auditmill.operators import checks, codes, rules, scoring
+from auditmill.sources.scratch import stored
 
-CHECKERS = ("anamnesis", "inspection", "treatment")
+CHECKERS = tuple(checks.SECTIONS)
 
 
 def visit_id(guid: Column, date: Column, ordinal: Column) -> Column:
@@ -17,10 +20,15 @@ def visit_id(guid: Column, date: Column, ordinal: Column) -> Column:
     return F.coalesce(not_blank(guid), not_blank(date), F.concat(F.lit("#"), (ordinal + 1).cast("string")))
 
 
+def guid_key(guid: Column) -> Column:
+    """What guids are compared by: lower case, null where blank."""
+    return F.lower(not_blank(stripped(guid)))
+
+
 def pending(visits: DataFrame, done: DataFrame) -> DataFrame:
     """visits (guid) that done (guid) does not name; case does not count, and visits without a guid stay."""
-    key = F.lower(not_blank(F.col("guid")))
-    named = done.select(F.lower("guid").alias("_done")).where(F.col("_done").isNotNull()).distinct()
+    key = guid_key(F.col("guid"))
+    named = done.select(guid_key(F.col("guid")).alias("_done")).where(F.col("_done").isNotNull()).distinct()
     return visits.withColumn("_key", key).join(named, F.col("_key") == F.col("_done"), "left_anti").drop("_key")
 
 
@@ -31,27 +39,16 @@ def queue_summary(visits: DataFrame, done: DataFrame) -> DataFrame:
     return total.join(left).select("total", (F.col("total") - F.col("audited")).alias("skipped"), "audited", "unmatched")
 
 
-def rule_findings(visits: DataFrame, structure: bool = True) -> DataFrame:
-    """visits (nested, with visit_type) with ``findings``: the checks of the default rules that need no model.
+def rule_findings(visits: DataFrame, structure: bool = True, listed: DataFrame | None = None) -> DataFrame:
+    """visits (nested, with visit_type) with ``findings`` of a rule table (see rules.check_visits()).
 
-    structure: with CONFLICT, last. NO_FOLLOW_UP needs a model and is not judged; no rule table is read.
+    Without a table: the default rules but NO_FOLLOW_UP, and CONFLICT last if structure.
     """
-    kind = F.col("visit_type")
-    none = json_text.empty(json_text.FINDINGS)
-    blank = lambda fields: rules.missing_fields(fields)
-    meta = {"date": F.col("date"), "patient": F.size("patient"), "service": F.get("services", F.lit(0))["name"]}
-    body = {"inspection": F.size("inspection"), "diagnosis": F.size("diagnoses")}
-    each = lambda flag, fields, when: F.when(when, F.transform(blank(fields), lambda name: rules.finding(flag, name))).otherwise(none)
-    only = {"diagnosis": body["diagnosis"]}
-    always = F.lit(True)
-    symptom = F.when(kind.isin("primary", "repeat") & rules.symptom_beside_main(F.col("diagnoses")), F.array(rules.finding("SYMPTOM_CODE", F.lit("symptom code beside a main diagnosis")))).otherwise(none)
-    parts = [
-        each("MISSING_META", meta, always), each("MISSING_CORE", body, kind == "primary"), each("MISSING_REPEAT_CORE", only, kind == "repeat"),
-        each("MISSING_DIAGNOSIS", only, always), rules.placeholder_findings(F.col("inspection")), symptom,
-    ]
-    if structure:
-        parts.append(F.coalesce(rules.conflict_findings(F.col("inspection")), none))
-    return visits.withColumn("findings", F.concat(*parts))
+    if listed is not None:
+        return rules.check_visits(visits, listed)
+    base = rules.default_rules(visits.sparkSession).where("flag_code <> 'NO_FOLLOW_UP'")
+    base = base.withColumn("pos", F.when(F.col("flag_code") == "CONFLICT", 99).otherwise(F.col("pos")))
+    return rules.check_visits(visits, base if structure else base.where("flag_code <> 'CONFLICT'"))
 
 
 def fold_visits(visits: DataFrame, diagnoses: DataFrame, key: str = "visit") -> DataFrame:
@@ -73,27 +70,66 @@ def check_offline(code: Column, name: Column, guideline: Column) -> Column:
     return F.when(codes.token_overlap(name, guideline) == 0, issue).otherwise("[]")
 
 
-def audit_visits(visits: DataFrame, manifest: DataFrame, done: DataFrame, structure: bool = True) -> DataFrame:
-    """The audit: visits that are due, rule findings, a guideline and the offline anamnesis check per diagnosis, one row per visit.
-
-    The inspection and treatment checkers are not built: their issues are always empty. The
-    anamnesis check compares two names, without section searches.
-
-    visits: as in plans.views.visits. Result: visit, visit_id, visit_type, findings, results
-    (struct of guideline_id, icd_code and the issues of each checker, per diagnosis), errors.
+def audit_visits(
+    visits: DataFrame,
+    manifest: DataFrame,
+    done: DataFrame,
+    structure: bool = True,
+    listed: DataFrame | None = None,
+    docs: DataFrame | None = None,
+    embed: Callable[[DataFrame], DataFrame] | None = None,
+    make_checker: Callable[[], scoring.Scorer] = checks.offline_checker,
+    sections: dict[str, str] = checks.SECTIONS,
+    per_visit: bool = False,
+) -> DataFrame:
+    """The audit: visits that are due, rule findings, a guideline and three checks per diagnosis, one row per visit.
+
+    visits: as in plans.views.visits. listed: the rule table (the default rules without one).
+    docs: the guidelines' chunks, with the manifest's ids as file_id; embed adds ``embedding`` to
+    rows with query_text. Each checker of a diagnosis judges what a section search and a general
+    search of its guideline find (see checks). Guidelines and searches depend on code and name only
+    and are made once for each pair of them; so are the answers, unless per_visit sends every
+    visit's own record to the scorer. Without docs only the names of diagnosis and guideline are
+    compared, as the anamnesis check.
+
+    Result: visit, visit_id, visit_type, findings, results (struct of guideline_id, icd_code and the
+    issues of each checker, per diagnosis), errors: what a visit lacks that the audit takes as empty
+    (diagnoses, services), and checks that failed.
     """
+    gaps = F.array(F.when(F.col("diagnoses").isNull(), F.lit("no diagnoses")), F.when(F.coalesce(F.size("services"), F.lit(0)) <= 0, F.lit("no service")))
     due = pending(visits, done).withColumn("visit_type", rules.visit_type(F.col("services"))).withColumn("visit_id", visit_id(F.col("guid"), F.col("date"), F.col("visit") - 1))
-    found = rule_findings(due, structure)
-    each = due.select("visit", F.posexplode("diagnoses").alias("pos", "d")).select("visit", "pos", F.concat_ws("#", "visit", "pos").alias("dx"), "d.code", "d.name")
-    picked = codes.resolve(each.select("dx", "code", "name"), manifest, "dx")
+    due = due.withColumn("_gaps", F.filter(gaps, lambda x: x.isNotNull()))
+    found = rule_findings(due, structure, listed).select("visit", "visit_id", "visit_type", "findings", "_gaps")
+    pair = F.concat_ws("\n", F.coalesce(F.concat(F.lit("="), "d.code"), F.lit("")), F.coalesce(F.concat(F.lit("="), "d.name"), F.lit("")))
+    each = due.select("visit", "patient", "inspection", F.posexplode("diagnoses").alias("pos", "d")).withColumn("pair", pair)
+    pairs = stored(each.select("pair", "d.code", "d.name").dropDuplicates(["pair"]).withColumn("dx", F.monotonically_increasing_id()), "pairs")
     names = manifest.select(F.col("id").alias("guideline_id"), F.col("name").alias("guideline"))
-    checked = each.join(picked, "dx").join(names, "guideline_id", "left")
-    answer = F.when(F.col("guideline_id").isNotNull(), check_offline(F.col("code"), F.col("name"), F.col("guideline")))
-    issues = json_text.parse_issues(F.coalesce(answer, F.lit("[]")))
+    known = stored(pairs.join(codes.resolve(pairs, manifest, "dx"), "dx").join(names, "guideline_id", "left"), "resolved")
     nothing = json_text.empty(json_text.ISSUES)
-    result = F.struct("guideline_id", F.coalesce("code", F.concat(F.lit("#"), (F.col("pos") + 1).cast("string"))).alias("icd_code"), issues.alias("anamnesis"), nothing.alias("inspection"), nothing.alias("treatment"))
-    folded = fold_visits(found, checked.select("visit", "pos", result.alias("result")))
-    return folded.select("visit", "visit_id", "visit_type", "findings", "results")
+    none = F.array().cast("array<string>")
+    rows = each.select("visit", "pos", "d", "pair")
+    if docs is None:
+        answer = F.when(F.col("guideline_id").isNotNull(), check_offline(F.col("code"), F.col("name"), F.col("guideline")))
+        issues = {"anamnesis": json_text.parse_issues(F.coalesce(answer, F.lit("[]"))), "inspection": nothing, "treatment": nothing}
+        checked = rows.join(known.select("pair", "guideline_id", *[c.alias(n) for n, c in issues.items()], none.alias("errors")), "pair")
+    else:
+        cases = known.where("guideline_id IS NOT NULL").select("dx", "pair", F.coalesce("name", "code").alias("query_text"), F.col("guideline_id").alias("file_id"), F.struct("code", "name").alias("d"))
+        contexts = checks.contexts(embed(cases), docs, sections)
+        if per_visit:
+            own = each.join(cases.select("pair", "dx"), "pair").select(F.concat_ws("#", "visit", "pos").alias("case"), "dx", render.compose_context(F.col("patient"), F.col("d"), F.col("inspection")).alias("message"))
+            case = F.concat_ws("#", "visit", "pos")
+        else:
+            detail = F.struct("d.code", "d.name", F.lit(None).cast("string").alias("detail"), F.lit(None).cast("boolean").alias("first_time"))
+            own = cases.select(F.col("pair").alias("case"), "dx", F.concat(F.lit("## Диагноз\n"), render.format_diagnosis(detail)).alias("message"))
+            case = F.col("pair")
+        judged = stored(checks.check(own, contexts, make_checker), "checked")
+        checked = rows.join(known.select("pair", "guideline_id"), "pair").withColumn("case", case).join(judged, "case", "left")
+        checked = checked.select("*", *[F.coalesce(F.col(f"checks.{c}"), nothing).alias(c) for c in CHECKERS], F.coalesce("checks.errors", none).alias("errors"))
+    result = F.struct("guideline_id", F.coalesce("d.code", F.concat(F.lit("#"), (F.col("pos") + 1).cast("string"))).alias("icd_code"), *CHECKERS)
+    folded = checked.select("visit", "pos", F.struct(result.alias("r"), "errors").alias("result"))
+    folded = fold_visits(found, folded)
+    errors = F.concat("_gaps", F.flatten(F.transform("results", lambda x: x["errors"])))
+    return folded.select("visit", "visit_id", "visit_type", "findings", F.transform("results", lambda x: x["r"]).alias("results"), errors.alias("errors"))
 
 
 def report_rows(audited: DataFrame, visits: DataFrame) -> DataFrame:

@@ -29,6 +29,27 @@ DEFAULT_RULES = (
     ("follow_up", "followup_check", ["primary", "repeat"], ["diagnosis"], "If three or more conditions are found.", "a further visit is planned.", "NO_FOLLOW_UP", "major"),
 )
 
+#: More rules, of the other types; with those above every type has one.
+MORE_RULES = (
+    ("complaints", "required_field", ["primary", "prophylactic"], ["complaints"], None, "Complaints are stated.", "MISSING_COMPLAINTS", "major"),
+    ("dynamics", "conditional_required", ["repeat"], ["dynamics", "clinical_context"], None, "A repeat visit states a course or a context.", "NO_DYNAMICS", "major"),
+    ("service", "consistency", ["all"], ["service", "visit_type"], None, "All services are of one visit type.", "SERVICE_MISMATCH", "major"),
+    ("prescription", "content_analysis", ["all"], ["treatment_plan"], None, "Prescriptions have dose, frequency and duration.", "INCOMPLETE_PRESCRIPTION", "major"),
+    ("no_complaints", "prophylactic_exception", ["prophylactic"], ["complaints"], None, "No complaints are needed.", "ALLOW_NO_COMPLAINTS", "minor"),
+    ("no_treatment", "allowed_missing", ["prophylactic"], ["treatment_plan"], None, "No treatment is needed.", "ALLOW_NO_TREATMENT", "minor"),
+    ("supported", "diagnosis_check", ["primary", "repeat"], ["diagnosis", "complaints"], None, "The diagnosis follows from the record.", "NOT_SUPPORTED", "major"),
+)
+
+#: What the name of a patient's or inspection's field holds that fills a target.
+TARGET_WORDS = {
+    "complaints": ("жалоб",), "anamnesis": ("анамнез",), "objective_exam": ("объектив", "осмотр"), "recommendations": ("рекоменд",), "treatment_plan": ("лечен", "назначен"),
+    "investigation_plan": ("обследован", "исследован"), "results": ("результат",), "dynamics": ("динамик",), "clinical_context": ("контекст", "течени"), "state": ("состояни",),
+    "follow_up": ("повторн", "контрол", "наблюден"), "companion_info": ("сопровожд", "представител"), "diagnosis_justification": ("обоснован",), "specialty": ("специальн",),
+    "patient_age": ("возраст",), "patient_sex": ("пол",),
+}
+#: Types of rules that let targets be missing.
+EXCEPTIONS = ("prophylactic_exception", "allowed_missing")
+
 
 def load_rules(spark: SparkSession, path: str) -> DataFrame:
     """Rules of a JSON array, with pos in file order."""
@@ -41,14 +62,20 @@ RULE_STRUCT = ", ".join(part.replace(" ", ":", 1) for part in RULE.replace("stru
 )
 
 
-def default_rules(spark: SparkSession) -> DataFrame:
+def default_rules(spark: SparkSession, listed: tuple = DEFAULT_RULES) -> DataFrame:
     rows = [
         (pos, i, "house", kind, (types, ["general"], "any"), targets, condition, expectation, flag, severity)
-        for pos, (i, kind, types, targets, condition, expectation, flag, severity) in enumerate(DEFAULT_RULES)
+        for pos, (i, kind, types, targets, condition, expectation, flag, severity) in enumerate(listed)
     ]
     return spark.createDataFrame(rows, "pos int, " + RULE)
 
 
+def save_rules(rules: DataFrame, path: str) -> None:
+    """Write rules as the JSON array that load_rules() reads."""
+    one = rules.agg(F.array_sort(F.collect_list(F.struct("pos", F.struct(*[c for c in rules.columns if c != "pos"]).alias("r")))).alias("l"))
+    one.select(F.to_json(F.transform("l", lambda x: x["r"])).alias("value")).coalesce(1).write.text(path)
+
+
 def visit_type(services: Column) -> Column:
     """The type that the first service's name shows; other without one."""
     name = F.lower(F.get(services, F.lit(0))["name"])
@@ -58,16 +85,20 @@ def visit_type(services: Column) -> Column:
     return out.otherwise("other")
 
 
+def _typed(rules: DataFrame, *columns: str) -> DataFrame:
+    """A row for each rule and visit type that it applies to."""
+    kinds = [k for _, k in VISIT_TYPES] + ["other"]
+    typed = rules.select(*columns, F.explode(F.array_distinct("applies_to.visit_types")).alias("visit_type"))
+    return typed.withColumn("visit_type", F.explode(F.when(F.col("visit_type") == "all", F.array(*map(F.lit, kinds))).otherwise(F.array("visit_type")))).distinct()
+
+
 def rules_for(visits: DataFrame, rules: DataFrame) -> DataFrame:
     """visits (visit, visit_type) with each rule for that type or for all, by equi-joins.
 
     The rules are one small table; each type's rules are joined on the type, so a visit never
     meets a rule of another type.
     """
-    typed = rules.select("pos", "rule_id", "flag_code", "condition", "expectation", F.explode(F.array_distinct("applies_to.visit_types")).alias("visit_type"))
-    kinds = [k for _, k in VISIT_TYPES] + ["other"]
-    wide = typed.withColumn("visit_type", F.explode(F.when(F.col("visit_type") == "all", F.array(*map(F.lit, kinds))).otherwise(F.array("visit_type")))).distinct()
-    return visits.join(wide, "visit_type")
+    return visits.join(_typed(rules, "pos", "rule_id", "flag_code", "condition", "expectation"), "visit_type")
 
 
 def rule_line(flag: Column, condition: Column, expectation: Column) -> Column:
@@ -130,3 +161,76 @@ def incomplete_prescription(text: Column) -> Column:
     often = text.rlike(r"(?iU)\d+\s*(?:times|раза?|x)\b|daily|ежедневно")
     lasting = text.rlike(r"(?iU)\d+\s*(?:days?|weeks?|дн\w*|недел\w*)\b")
     return ~(dose & often & lasting)
+
+
+def _filled(words: tuple[str, ...]) -> Column:
+    """Whether a field of the inspection or the patient whose name has one of the words holds something."""
+    named = lambda name: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(name), w))
+    some = lambda v: F.coalesce(F.regexp_replace(v, r"(?U)\s+", ""), F.lit("")) != ""
+    held = F.exists("inspection", lambda p: named(p["param"]) & some(p["value"]))
+    return F.coalesce(held, F.lit(False)) | F.coalesce(F.exists(F.map_entries("patient"), lambda e: named(e["key"]) & some(e["value"])), F.lit(False))
+
+
+def missing_targets() -> Column:
+    """The targets that a nested visit (date, patient, services, diagnoses, inspection) leaves blank."""
+    service, diagnosis = F.get("services", F.lit(0))["name"], F.size("diagnoses")
+    fields = {"date": F.col("date"), "visit_date": F.col("date"), "patient": F.size("patient"), "service": service, "service_name": service, "inspection": F.size("inspection")}
+    fields |= {"diagnosis": diagnosis, "diagnosis_code": diagnosis, "diagnosis_text": diagnosis}
+    worded = F.array(*[F.when(~_filled(words), F.lit(name)) for name, words in TARGET_WORDS.items()])
+    return F.concat(missing_fields(fields), F.filter(worded, lambda x: x.isNotNull()))
+
+
+def predicates() -> dict[str, Column]:
+    """The issues of a nested visit (with visit_type) by the flags of rules that need no model."""
+    none = F.array().cast("array<string>")
+    one = lambda when, issue: F.when(when, F.array(issue)).otherwise(none)
+    issues = lambda findings: F.coalesce(F.transform(findings, lambda f: f["issue"]), none)
+    kinds = F.array_distinct(F.filter(F.transform("services", lambda s: visit_type(F.array(s))), lambda k: k != "other"))
+    treated = F.filter("inspection", lambda p: F.exists(F.array(*map(F.lit, TARGET_WORDS["treatment_plan"])), lambda w: F.contains(F.lower(p["param"]), w)))
+    return {
+        "PLACEHOLDER": issues(placeholder_findings(F.col("inspection"))),
+        "CONFLICT": issues(conflict_findings(F.col("inspection"))),
+        "SYMPTOM_CODE": one(symptom_beside_main(F.col("diagnoses")), F.lit("symptom code beside a main diagnosis")),
+        "SERVICE_MISMATCH": one(F.size(kinds) > 1, F.array_join(kinds, ", ")),
+        "INCOMPLETE_PRESCRIPTION": F.coalesce(F.transform(F.filter(treated, lambda p: incomplete_prescription(p["value"])), lambda p: p["param"]), none),
+        "NO_FOLLOW_UP": one((F.size("diagnoses") >= 3) & ~_filled(TARGET_WORDS["follow_up"]), F.lit("follow_up")),
+    }
+
+
+def check_visits(visits: DataFrame, rules: DataFrame, flags: dict[str, Column] | None = None) -> DataFrame:
+    """visits (nested, with visit_type) with ``findings`` of the rules that apply to them, in the order of the rules.
+
+    By rule_type: required_field finds each blank target; conditional_required finds that all its
+    targets are blank; the exceptions let their targets be blank; rules of other types find what
+    the predicate of their flag does (see predicates(); callers may give their own) and nothing
+    without one (see model_rules()). Each visit meets one row: the rules of its type, one of four.
+    """
+    by_type = _typed(rules, "pos", "rule_type", "targets", "flag_code").groupBy("visit_type").agg(F.array_sort(F.collect_list(F.struct("pos", "rule_type", "targets", "flag_code"))).alias("_rules"))
+    made = flags if flags is not None else predicates()
+    facts = F.map_from_arrays(F.array(*map(F.lit, made)), F.array(*made.values()))
+    joined = visits.join(F.broadcast(by_type), "visit_type", "left")  # one row for each visit type
+    none = F.array().cast("array<struct<flag:string,issue:string>>")
+
+    def found(v: Column) -> Column:
+        allowed = F.flatten(F.transform(F.filter(v["rules"], lambda r: r["rule_type"].isin(*EXCEPTIONS)), lambda r: r["targets"]))
+        blank = F.array_except(v["missing"], allowed)
+
+        def one(r: Column) -> Column:
+            each = lambda items: F.transform(items, lambda i: finding(r["flag_code"], i))
+            all_blank = F.when(F.size(F.array_except(r["targets"], blank)) == 0, F.array(F.array_join(r["targets"], ", "))).otherwise(F.array().cast("array<string>"))
+            return (
+                F.when(r["rule_type"] == "required_field", each(F.filter(r["targets"], lambda t: F.array_contains(blank, t))))
+                .when(r["rule_type"] == "conditional_required", each(all_blank))
+                .when(r["rule_type"].isin(*EXCEPTIONS), none)
+                .otherwise(F.coalesce(each(F.element_at(v["facts"], r["flag_code"])), none))
+            )
+
+        return F.flatten(F.transform(v["rules"], one))
+
+    value = F.struct(F.col("_rules").alias("rules"), missing_targets().alias("missing"), facts.alias("facts"))
+    return joined.withColumn("findings", F.coalesce(F.transform(F.array(value), found)[0], none)).drop("_rules")
+
+
+def model_rules(rules: DataFrame, flags: tuple[str, ...] = ("PLACEHOLDER", "CONFLICT", "SYMPTOM_CODE", "SERVICE_MISMATCH", "INCOMPLETE_PRESCRIPTION", "NO_FOLLOW_UP")) -> DataFrame:
+    """The rules that check_visits() cannot judge: they go to a scorer as text (see render_rules())."""
+    return rules.where(~F.col("rule_type").isin("required_field", "conditional_required", *EXCEPTIONS) & ~F.col("flag_code").isin(*flags))

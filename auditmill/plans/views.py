@@ -95,6 +95,20 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def guideline_docs(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks with vectors of the manifest's guidelines: the docs, dealt over them by id."""
+    listed = manifest(spark, sf)
+    place = F.col("doc_id") % listed.count() + 1
+    return docs(spark, sf).drop("file_id").join(listed.select(F.col("id").alias("file_id"), "pos"), F.col("pos") == place).drop("pos")
+
+
+def pair_vectors(spark: SparkSession, sf: str, cases: DataFrame) -> DataFrame:
+    """cases (d: code, name) with ``embedding``, a test vector chosen by a hash of the two."""
+    vectors = table(spark, sf, "embeddings")
+    place = F.conv(F.substring(F.md5(F.concat("d.code", "d.name")), 1, 8), 16, 10).cast("long") % vectors.count()
+    return cases.join(vectors.select("vec_id", "embedding"), F.col("vec_id") == place).drop("vec_id")
+
+
 def search_queries(spark: SparkSession, sf: str) -> DataFrame:
     """query_id, query_text, embedding, file_id."""
     joined = table(spark, sf, "benchmark").join(table(spark, sf, "embeddings"), F.col("item_id") == F.col("vec_id"))

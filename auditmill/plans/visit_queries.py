@@ -6,16 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditmill.functions import render
-from auditmill.operators import audit, rules
-from auditmill.plans import views
-from auditmill.plans.code_queries import SQL_CODES, SQL_EXACT, SQL_OVERLAP, SQL_PREFIX, resolved_sql
+from auditmill.operators import audit, checks, codes, rules
+from auditmill.plans import code_queries, views
+from auditmill.plans.code_queries import SKIP, SQL_CODES, SQL_EXACT, SQL_PARTS, SQL_PREFIX, resolved_sql
+from auditmill.plans.search_queries import BM25_SQL, near_sql
 from auditmill.plans.views import SQL_HEADS, SQL_LINES, SQL_MANIFEST, with_views
 from auditmill.sources import files
+from auditmill.sources.scratch import scratch_path
 
 KIND_SQL = (
     "CASE WHEN lower(service) LIKE '%первичн%' THEN 'primary' WHEN lower(service) LIKE '%повторн%' THEN 'repeat' "
     "WHEN lower(service) LIKE '%профилактическ%' THEN 'prophylactic' ELSE 'other' END"
 )
+#: Words of the checkers' section searches, as parts of the languages that stand for sections.
+SECTIONS = {"anamnesis": "e", "inspection": "s", "treatment": "f"}
 TEMPLATE = "Check these rules:\n{rules}\nAnswer in JSON."
 
 
@@ -76,10 +80,17 @@ def scan_period(spark: SparkSession, sf: str) -> DataFrame:
     return files.period(orders, "d", "01.03.1996", "15.04.1996").select("o_orderkey", F.date_format("d", "yyyy-MM-dd").alias("d"))
 
 
+def stored_rules(spark: SparkSession, listed: tuple) -> DataFrame:
+    """Rules, written as a JSON file and loaded from it."""
+    path = scratch_path(spark, "rules")
+    rules.save_rules(rules.default_rules(spark, listed), path)
+    return rules.load_rules(spark, path)
+
+
 def scan_rules(spark: SparkSession, sf: str) -> DataFrame:
-    """The rules that apply to each visit type that occurs."""
+    """The rules of a file that apply to each visit type that occurs."""
     kinds = typed(spark, sf).select(F.col("visit_type")).distinct().withColumn("visit", F.lit(0))
-    return rules.rules_for(kinds, rules.default_rules(spark)).select("visit_type", "pos", "rule_id", "flag_code")
+    return rules.rules_for(kinds, stored_rules(spark, rules.DEFAULT_RULES)).select("visit_type", "pos", "rule_id", "flag_code")
 
 
 def visit_id(spark: SparkSession, sf: str) -> DataFrame:
@@ -138,6 +149,33 @@ def check_rules_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     return check_rules(spark, sf, structure=True).select("visit", "flag", "issue")
 
 
+def check_rules_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules of every type, from a file, for visits with treatments, complaints and courses of which some are missing or incomplete."""
+    visits, n = views.visits(spark, sf), F.col("visit")
+    more = [
+        F.when(n % 5 <= 1, F.struct(F.lit("Лечение").alias("param"), F.when(n % 5 == 0, "Take 5 mg 3 times a day for 7 days").otherwise("Take 5 mg").alias("value"))),
+        F.when(n % 3 == 0, F.struct(F.lit("Динамика").alias("param"), F.lit("better").alias("value"))),
+        F.when(n % 2 == 0, F.struct(F.lit("Жалобы").alias("param"), F.lit("cough").alias("value"))),
+    ]
+    second = F.when(n % 7 == 0, F.array(F.struct(F.lit("Повторный приём").alias("name")))).otherwise(F.array().cast("array<struct<name:string>>"))
+    visits = visits.withColumn("inspection", F.concat("inspection", F.filter(F.array(*more), lambda x: x.isNotNull()))).withColumn("services", F.concat("services", second))
+    typed_visits = visits.withColumn("visit_type", rules.visit_type(F.col("services")))
+    found = rules.check_visits(typed_visits, stored_rules(spark, rules.DEFAULT_RULES + rules.MORE_RULES)).select("visit", F.posexplode("findings").alias("pos", "f"))
+    return found.select("visit", "pos", "f.flag", "f.issue")
+
+
+def check_diagnosis(spark: SparkSession, sf: str) -> DataFrame:
+    """The three checkers of every diagnosis with a guideline: number of issues and what the searches found."""
+    found = code_queries.diagnoses(spark, sf)
+    cases = found.join(codes.resolve(found, views.manifest(spark, sf), "dx", SKIP).where("guideline_id IS NOT NULL"), "dx")
+    cases = cases.select("dx", F.struct("code", "name").alias("d"), F.col("name").alias("query_text"), F.col("guideline_id").alias("file_id"))
+    said = checks.contexts(views.pair_vectors(spark, sf, cases), views.guideline_docs(spark, sf), SECTIONS)
+    detail = F.struct("d.code", "d.name", F.lit(None).cast("string").alias("detail"), F.lit(None).cast("boolean").alias("first_time"))
+    judged = checks.check(cases.select(F.col("dx").cast("string").alias("case"), "dx", render.format_diagnosis(detail).alias("message")), said, checks.offline_checker)
+    each = judged.select(F.col("case").cast("long").alias("dx"), F.explode(F.array(*[F.struct(F.lit(c).alias("checker"), F.size(f"checks.{c}").alias("issues")) for c in SECTIONS])).alias("x"))
+    return each.select("dx", "x.*").join(said, ["dx", "checker"]).select("dx", "checker", "issues", F.md5("section").alias("section_md5"), F.md5("general").alias("general_md5"))
+
+
 def format_inspection(spark: SparkSession, sf: str) -> DataFrame:
     pairs = F.transform("inspection", lambda p: F.struct(F.concat(F.lit(" "), p["param"]).alias("param"), F.when(p["value"] != "ECONOMY", p["value"]).alias("value")))
     return views.visits(spark, sf).select("visit", F.md5(render.format_inspection(pairs)).alias("text_md5"))
@@ -164,12 +202,24 @@ def fold_visit_result(spark: SparkSession, sf: str) -> DataFrame:
     return folded.select("visit", F.size("results").alias("n"), F.array_join(F.transform("results", lambda r: r["code"]), ",").alias("codes"))
 
 
+def _audited(spark: SparkSession, sf: str, structure: bool) -> DataFrame:
+    embed = lambda cases: views.pair_vectors(spark, sf, cases)
+    listed = rules.default_rules(spark)
+    listed = listed if structure else listed.where("flag_code NOT IN ('CONFLICT', 'NO_FOLLOW_UP')")
+    return audit.audit_visits(views.visits(spark, sf), views.manifest(spark, sf), done(spark, sf), listed=listed, docs=views.guideline_docs(spark, sf), embed=embed, sections=SECTIONS)
+
+
 def audit_visits(spark: SparkSession, sf: str, structure: bool = False) -> DataFrame:
-    """The audit without CONFLICT, which the SQL does not count; audit_visits_conflicts and report_rows have it."""
-    audited = audit.audit_visits(views.visits(spark, sf), views.manifest(spark, sf), done(spark, sf), structure)
+    """The audit without CONFLICT and NO_FOLLOW_UP, which audit_visits_conflicts and report_rows have."""
+    audited = _audited(spark, sf, structure)
     picked = F.array_join(F.transform("results", lambda r: F.coalesce(r["guideline_id"], F.lit("-"))), ",")
-    issues = F.aggregate("results", F.lit(0), lambda n, r: n + F.size(audit.all_issues(r)))
-    return audited.select("visit", "visit_id", "visit_type", F.size("findings").alias("findings"), F.size("results").alias("diagnoses"), picked.alias("guidelines"), issues.alias("issues"))
+    count = lambda checker: F.aggregate("results", F.lit(0), lambda n, r: n + F.size(r[checker]))
+    issues = [count(c).alias(c) for c in audit.CHECKERS]
+    total = F.aggregate("results", F.lit(0), lambda n, r: n + F.size(audit.all_issues(r)))
+    return audited.select(
+        "visit", "visit_id", "visit_type", F.size("findings").alias("findings"), F.size("results").alias("diagnoses"), picked.alias("guidelines"),
+        total.alias("issues"), *issues, F.size("errors").alias("errors"),
+    )
 
 
 def audit_visits_conflicts(spark: SparkSession, sf: str) -> DataFrame:
@@ -177,8 +227,7 @@ def audit_visits_conflicts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def report_rows(spark: SparkSession, sf: str) -> DataFrame:
-    visits = views.visits(spark, sf)
-    return audit.report_rows(audit.audit_visits(visits, views.manifest(spark, sf), done(spark, sf)), visits)
+    return audit.report_rows(_audited(spark, sf, True), views.visits(spark, sf))
 
 
 def report_row_count(spark: SparkSession, sf: str) -> DataFrame:
@@ -206,17 +255,81 @@ _FOUND = """
 _FOUND_ALL = f"""SELECT visit, flag, issue FROM ({_FOUND})
   UNION ALL SELECT visit, 'CONFLICT', param FROM visit_lines GROUP BY visit, param HAVING count(DISTINCT value) > 1"""
 
-#: Codes repeat in visits: each pair of code and name is resolved once.
-_AUDIT = with_views(
-    f"""parts AS (SELECT row_number() OVER (ORDER BY code, name) AS dx, code, name FROM (SELECT DISTINCT code, name FROM visit_lines)
-    ), {SQL_EXACT}, {SQL_PREFIX}, resolved AS ({resolved_sql("Z00.1")}
-    ), judged AS (
-      SELECT l.visit, l.pos, r.guideline_id, CASE WHEN m.id IS NOT NULL AND {SQL_OVERLAP.format("l.name", "m.name")} = 0 THEN 1 ELSE 0 END AS issue
-      FROM visit_lines l JOIN parts p USING (code, name) JOIN resolved r USING (dx) LEFT JOIN manifest m ON m.id = r.guideline_id
-    ), folded AS (SELECT visit, count(*)::INTEGER AS diagnoses, string_agg(coalesce(guideline_id, '-'), ',' ORDER BY pos) AS guidelines, sum(issue)::INTEGER AS issues FROM judged GROUP BY visit
-    ), found AS ({_FOUND}), counted AS (SELECT visit, count(*)::INTEGER AS findings FROM found GROUP BY visit)
-    SELECT visit, guid AS visit_id, visit_type, coalesce(findings, 0) AS findings, coalesce(diagnoses, 0) AS diagnoses, coalesce(guidelines, '') AS guidelines, coalesce(issues, 0) AS issues
+#: With NO_FOLLOW_UP, and the order of the findings: rule (o), then place in it (p).
+_FOUND_ORDERED = """
+  SELECT visit, 1 AS o, n AS p, 'MISSING_CORE' AS flag, issue FROM typed, (VALUES (1, 'inspection'), (2, 'diagnosis')) AS v(n, issue) WHERE visit_type = 'primary' AND visit NOT IN (SELECT visit FROM visit_lines)
+  UNION ALL SELECT visit, 2, 1, 'MISSING_REPEAT_CORE', 'diagnosis' FROM typed WHERE visit_type = 'repeat' AND visit NOT IN (SELECT visit FROM visit_lines)
+  UNION ALL SELECT visit, 3, 1, 'MISSING_DIAGNOSIS', 'diagnosis' FROM typed WHERE visit NOT IN (SELECT visit FROM visit_lines)
+  UNION ALL SELECT visit, 5, min(pos), 'CONFLICT', param FROM visit_lines GROUP BY visit, param HAVING count(DISTINCT value) > 1
+  UNION ALL SELECT visit, 6, 1, 'SYMPTOM_CODE', 'symptom code beside a main diagnosis' FROM visit_lines JOIN typed USING (visit) WHERE visit_type IN ('primary', 'repeat')
+    GROUP BY visit HAVING bool_or(code LIKE 'R%') AND bool_or(code NOT LIKE 'R%')
+  UNION ALL SELECT visit, 7, 1, 'NO_FOLLOW_UP', 'follow_up' FROM visit_lines JOIN typed USING (visit) WHERE visit_type IN ('primary', 'repeat') GROUP BY visit HAVING count(*) >= 3"""
+
+#: Rules of every type over visits with added fields (see check_rules_table).
+_FOUND_TABLE = f"""ordered AS (
+  SELECT * FROM ({_FOUND_ORDERED}) WHERE issue <> 'inspection' OR (visit % 5 > 1 AND visit % 3 <> 0 AND visit % 2 <> 0)
+  UNION ALL SELECT visit, 8, 1, 'MISSING_COMPLAINTS', 'complaints' FROM typed WHERE visit_type = 'primary' AND visit % 2 <> 0
+  UNION ALL SELECT visit, 9, 1, 'NO_DYNAMICS', 'dynamics, clinical_context' FROM typed WHERE visit_type = 'repeat' AND visit % 3 <> 0
+  UNION ALL SELECT visit, 10, 1, 'SERVICE_MISMATCH', visit_type || ', repeat' FROM typed WHERE visit % 7 = 0 AND visit_type IN ('primary', 'prophylactic')
+  UNION ALL SELECT visit, 11, 1, 'INCOMPLETE_PRESCRIPTION', 'Лечение' FROM typed WHERE visit % 5 = 1)
+  SELECT visit, (row_number() OVER (PARTITION BY visit ORDER BY o, p) - 1)::INTEGER AS pos, flag, issue FROM ordered"""
+
+
+def searched_sql() -> str:
+    """Views of the checkers' searches for resolved (dx, guideline_id) and parts (dx, code, name): contexts (dx, n, text) and judged (dx, n, issue)."""
+    groups = ", ".join(f"({n}, '{word}')" for n, word in enumerate(["", *SECTIONS.values()]))
+    return f"""base AS (
+  SELECT doc_id, text AS chunk, lang AS section, embedding::DOUBLE[] AS fact_vec, m.id AS guideline
+  FROM documents JOIN embeddings ON doc_id = vec_id JOIN manifest m ON m.pos = doc_id % (SELECT count(*) FROM manifest) + 1
+), kinds AS (SELECT * FROM (VALUES {groups}) AS v(n, word)
+), docs AS (SELECT doc_id * 4 + n AS doc_id, guideline || '/' || n AS file_id, chunk, section, fact_vec FROM base, kinds WHERE section LIKE '%' || word || '%'
+), queries AS (
+  SELECT dx * 4 + n AS query_id, name AS query_text, embedding::DOUBLE[] AS embedding, guideline_id || '/' || n AS file_id
+  FROM resolved JOIN parts USING (dx) JOIN embeddings ON vec_id = ('0x' || md5(code || name)[:8])::BIGINT % (SELECT count(*) FROM embeddings), kinds WHERE guideline_id IS NOT NULL
+), {near_sql(24, where="d.file_id = q.file_id")}, {BM25_SQL}, shown AS (
+  SELECT query_id, string_agg('--- Источник ' || rank || ' ---' || chr(10) || '[' || section || ']' || chr(10) || chunk, chr(10) || chr(10) ORDER BY rank) AS text
+  FROM best JOIN docs USING (doc_id) WHERE rank <= 4 GROUP BY query_id
+), contexts AS (SELECT query_id // 4 AS dx, query_id % 4 AS n, coalesce(text, 'Ничего не найдено.') AS text FROM queries LEFT JOIN shown USING (query_id)
+), judged AS (
+  SELECT dx, n, CASE WHEN text = 'Ничего не найдено.' THEN 'no text of the section'
+                     WHEN NOT list_bool_or(list_transform(string_split(lower(name), ' '), lambda w: contains(lower(text), w[:3]))) THEN 'not mentioned: ' || name END AS issue
+  FROM contexts JOIN parts USING (dx) WHERE n > 0)"""
+
+
+#: Codes repeat in visits: each pair of code and name is resolved and checked once.
+_CHECKED = f"""parts AS (SELECT row_number() OVER (ORDER BY code, name) AS dx, code, name FROM (SELECT DISTINCT code, name FROM visit_lines)
+    ), {SQL_EXACT}, {SQL_PREFIX}, resolved AS ({resolved_sql("Z00.1")}), {searched_sql()}
+    , issues AS (SELECT dx, max(issue) FILTER (n = 1) AS anamnesis, max(issue) FILTER (n = 2) AS inspection, max(issue) FILTER (n = 3) AS treatment FROM judged GROUP BY dx
+    ), diagnosed AS (SELECT l.visit, l.pos, l.code, r.guideline_id, i.* FROM visit_lines l JOIN parts p USING (code, name) JOIN resolved r USING (dx) LEFT JOIN issues i USING (dx))"""
+
+
+def _audit_sql(found: str) -> str:
+    return with_views(
+        f"""{_CHECKED}, folded AS (
+      SELECT visit, count(*)::INTEGER AS diagnoses, string_agg(coalesce(guideline_id, '-'), ',' ORDER BY pos) AS guidelines,
+             count(anamnesis)::INTEGER AS anamnesis, count(inspection)::INTEGER AS inspection, count(treatment)::INTEGER AS treatment FROM diagnosed GROUP BY visit
+    ), flagged AS ({found}), counted AS (SELECT visit, count(*)::INTEGER AS findings FROM flagged GROUP BY visit)
+    SELECT visit, guid AS visit_id, visit_type, coalesce(findings, 0) AS findings, coalesce(diagnoses, 0) AS diagnoses, coalesce(guidelines, '') AS guidelines,
+           coalesce(anamnesis + inspection + treatment, 0)::INTEGER AS issues, coalesce(anamnesis, 0) AS anamnesis, coalesce(inspection, 0) AS inspection, coalesce(treatment, 0) AS treatment, 0 AS errors
     FROM typed LEFT JOIN folded USING (visit) LEFT JOIN counted USING (visit) WHERE visit % 4 <> 0""",
+        SQL_HEADS, SQL_LINES, SQL_RULES, SQL_MANIFEST, SQL_CODES,
+    )
+
+
+def _section_sql(label: str, column: str) -> str:
+    return f"'  {label}:' || CASE WHEN {column} IS NULL THEN ' OK' ELSE chr(10) || '    • ' || {column} END"
+
+
+_REPORT = with_views(
+    f"""{_CHECKED}, cells AS (
+      SELECT visit, string_agg(pos || '.' || chr(10) || CASE WHEN guideline_id IS NULL THEN 'Для такого МКБ кода нет прямых клинических рекоммендаций (' || code || ')'
+        ELSE 'Результат аудита диагноза(icd_code=' || code || ', номер клин.рек.=' || guideline_id || ')' || chr(10) || {_section_sql("Анамнез", "anamnesis")} || chr(10)
+             || {_section_sql("Осмотр", "inspection")} || chr(10) || {_section_sql("Лечение", "treatment")} END, chr(10) || chr(10) ORDER BY pos) AS diagnosis FROM diagnosed GROUP BY visit
+    ), formal AS (SELECT visit, string_agg('    [' || flag || '] ' || issue, chr(10) ORDER BY o, p) AS t FROM ({_FOUND_ORDERED}) GROUP BY visit
+    ), dx AS (SELECT visit, string_agg({_DX_VALUE}, chr(10) ORDER BY pos) AS t FROM visit_lines GROUP BY visit)
+    SELECT visit, coalesce(diagnosis, '—') AS diagnosis, CASE WHEN formal.t IS NULL THEN '  Formal structure: OK' ELSE '  Formal structure:' || chr(10) || formal.t END AS formal_structure,
+           'guid: ' || guid || chr(10) || 'date: ' || date || chr(10) || 'patient:' || chr(10) || '  Имя: ' || patient_name || chr(10) || '  Группа: ' || segment || chr(10) || 'services:' || chr(10) || '  1.' || chr(10) || '    name: ' || service || chr(10) || 'diagnoses:' || chr(10) || coalesce(dx.t, '  —') AS input
+    FROM visit_heads LEFT JOIN cells USING (visit) LEFT JOIN formal USING (visit) LEFT JOIN dx USING (visit) WHERE visit % 4 <> 0""",
     SQL_HEADS, SQL_LINES, SQL_RULES, SQL_MANIFEST, SQL_CODES,
 )
 
@@ -274,9 +387,19 @@ QUERIES = {
         with_views("SELECT o_orderkey AS visit, count(pos)::INTEGER AS n, coalesce(string_agg(code, ',' ORDER BY pos), '') AS codes FROM orders LEFT JOIN visit_lines ON visit = o_orderkey GROUP BY o_orderkey", SQL_LINES),
     ),
     "check_rules_conflicts": (check_rules_conflicts, with_views(_FOUND_ALL, SQL_HEADS, SQL_LINES, SQL_RULES)),
-    "audit_visits": (audit_visits, _AUDIT),
-    "audit_visits_conflicts": (audit_visits_conflicts, _AUDIT.replace(_FOUND, _FOUND_ALL)),
-    "report_rows": (report_rows, None),
+    "check_rules_table": (check_rules_table, with_views(_FOUND_TABLE, SQL_HEADS, SQL_LINES, SQL_RULES)),
+    "check_diagnosis": (
+        check_diagnosis,
+        with_views(
+            f"""resolved AS ({resolved_sql(SKIP[0])}), {searched_sql()}
+            SELECT c.dx, ['anamnesis', 'inspection', 'treatment'][c.n] AS checker, CASE WHEN issue IS NULL THEN 0 ELSE 1 END AS issues, md5(c.text) AS section_md5, md5(g.text) AS general_md5
+            FROM contexts c JOIN contexts g ON g.dx = c.dx AND g.n = 0 JOIN judged j ON j.dx = c.dx AND j.n = c.n""",
+            SQL_MANIFEST, SQL_CODES, SQL_PARTS, SQL_EXACT, SQL_PREFIX,
+        ),
+    ),
+    "audit_visits": (audit_visits, _audit_sql(_FOUND)),
+    "audit_visits_conflicts": (audit_visits_conflicts, _audit_sql(_FOUND_ORDERED)),
+    "report_rows": (report_rows, _REPORT),
     "report_row_count": (report_row_count, "SELECT count(*) + 1 AS rows FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 4 <> 0"),
     "format_value": (
         format_value,
