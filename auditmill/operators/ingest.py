@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditmill.functions import text
+from auditmill.functions import json_text, text
 from auditmill.operators import layout, scoring
-from auditmill.sources.files import pages_to_blocks
+from auditmill.sources.files import pages_to_blocks, write_docs
+from auditmill.sources.scratch import exists, stored
 
 
 def not_ingested(manifest: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
@@ -25,15 +26,18 @@ def summary(chunks: DataFrame) -> DataFrame:
     return chunks.rollup("file_id").agg(F.count_if(F.col("error").isNull()).alias("inserted"), F.count_if(F.col("error").isNotNull()).alias("failed"))
 
 
-def ingest_pages(pages: DataFrame, dimension: int = 64, size: int = 2000, overlap: int = 200, rows: int = 8) -> DataFrame:
+def ingest_pages(pages: DataFrame, dimension: int = 64, size: int = 2000, overlap: int = 200, rows: int = 8, anchor: str | None = None) -> DataFrame:
     """Chunks of pages (page_id, html): file_id, content_type, chunk_index, section, chunk, questions, vectors, error.
 
     Text blocks of a page are joined and split into numbered sections and pieces; its rows go
     into batches as JSON. Chunks are numbered over the whole page, text and table rows apart.
-    A chunk without questions has an error and no vectors; the others are not held up by it.
+    A chunk without questions has an error and no vectors; the others are not held up by it. With
+    an anchor, what comes before its second occurrence in a page's text is cut first.
     """
     blocks = pages_to_blocks(pages)
     texts = layout.assemble(blocks.where("kind <> 'row'"), "page_id", ["pos"])
+    if anchor:
+        texts = texts.withColumn("text", text.strip_front_matter(F.col("text"), anchor))
     sections = texts.select("page_id", F.posexplode(text.split_sections(F.col("text"))).alias("section_pos", "s"))
     pieces = sections.select("page_id", "section_pos", F.col("s.title").alias("section"), F.posexplode(text.chunk_recursive(size, overlap)(F.col("s.text"))).alias("sub_pos", "chunk"))
     pieces = layout.chunk_ordinals(pieces, "page_id", ["section_pos", "sub_pos"]).select("page_id", F.lit("text").alias("content_type"), "chunk_index", "section", "chunk")
@@ -45,3 +49,40 @@ def ingest_pages(pages: DataFrame, dimension: int = 64, size: int = 2000, overla
     vectors = scoring.embed_three(chunks.where("q.fact IS NOT NULL"), key, dimension)
     error = F.when(F.col("q.fact").isNull(), "no question")
     return chunks.join(vectors, key, "left").select(F.col("page_id").cast("string").alias("file_id"), *key[1:], "section", "chunk", "q", "fact", "procedure", "constraint", error.alias("error"))
+
+
+def done_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(id) of the files whose last ingest in folder had no failed chunk; a file with failures is not done."""
+    if not exists(spark, f"{folder}/summary"):
+        return spark.createDataFrame([], "id string")
+    last = spark.read.parquet(f"{folder}/summary").groupBy("file_id").agg(F.max_by("failed", "run").alias("failed"))
+    return last.where("failed = 0").select(F.col("file_id").alias("id"))
+
+
+def ingest(manifest: DataFrame, pages: DataFrame, folder: str, run: str, anchor: str | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """One ingest: the summary of this run (file_id or null for the total, inserted, failed) and the manifest's rows without a file.
+
+    manifest: id and columns of strings; pages: page_id, html, by the same ids. Files that are done
+    are skipped, the others' chunks are made (see ingest_pages()) with the manifest's row as
+    metadata. Under folder: ``docs``, in which a file is replaced as a whole; ``errors``, the
+    chunks that failed, by run; ``summary``, by run, from which done_files() knows what is done.
+    The summary is written last, and a run that is repeated replaces its own rows.
+    """
+    spark = manifest.sparkSession
+    new = not_ingested(manifest, done_files(spark, folder))
+    found, missing = with_files(new, pages.select(F.col("page_id").cast("string").alias("id")))
+    own = pages.join(found.select(F.col("id").cast("long").alias("page_id")), "page_id", "left_semi")
+    made = ingest_pages(own, anchor=anchor, **options)
+    base = F.create_map(*[x for c in manifest.columns for x in (F.lit(c), F.col(f"m.{c}").cast("string"))])
+    place = {"section": F.col("section"), "content_type": F.col("content_type"), "chunk_index": F.col("chunk_index").cast("string")}
+    over = F.map_filter(F.create_map(*[x for k, v in place.items() for x in (F.lit(k), v)]), lambda _, v: v.isNotNull())
+    chunks = made.join(found.select(F.col("id").alias("file_id"), F.struct(*manifest.columns).alias("m")), "file_id")
+    chunks = stored(chunks.withColumn("metadata", F.to_json(json_text.merge_metadata(base, over))).drop("m"), "chunks")
+    by_run = lambda df, name: df.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(f"{folder}/{name}")
+    write_docs(chunks.where("error IS NULL").drop("error"), f"{folder}/docs")
+    by_run(chunks.where("error IS NOT NULL").select("file_id", "content_type", "chunk_index", "chunk", "error"), "errors")
+    # A file without a chunk is ingested too.
+    empty = found.select(F.col("id").alias("file_id")).join(chunks.select("file_id").distinct(), "file_id", "left_anti").select("file_id", F.lit(0).cast("long").alias("inserted"), F.lit(0).cast("long").alias("failed"))
+    counted = summary(chunks)
+    by_run(counted.where("file_id IS NOT NULL").unionByName(empty), "summary")
+    return counted.unionByName(empty), missing

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditmill.functions import json_text, render, text
-from auditmill.operators import ingest, layout, retrieval, rules, scoring
+from auditmill.functions import json_text, text
+from auditmill.operators import ingest, layout, rules, scoring
 from auditmill.plans import views, visit_queries
+from auditmill.plans.search_queries import TOKENS
 from auditmill.plans.views import LINE_ORDER, SQL_HEADS, SQL_LINES, SQL_MANIFEST, with_views
 from auditmill.sources import files
 from auditmill.sources.scratch import scratch_path
@@ -15,8 +16,6 @@ from auditmill.streaming.incremental import audit_new
 
 ANCHOR = "Список сокращений"
 DAY = 86_400
-#: Keywords of the checkers' section searches, as parts of the languages that stand for sections.
-CHECKER_KEYWORDS = {"anamnesis": "e", "inspection": "s", "treatment": "f"}
 
 
 def doc_chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -25,10 +24,11 @@ def doc_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select(F.col("source").alias("file_id"), "doc_id", F.posexplode(text.chunk_fixed(F.col("text"))).alias("n", "chunk"))
 
 
-def sources(spark: SparkSession, sf: str, below: int) -> DataFrame:
-    """The sources with numbers under ``below``, as (id)."""
-    number = F.substring("source", 4, 5).cast("int")
-    return views.table(spark, sf, "documents").where(number < below).select(F.col("source").alias("id")).distinct()
+def sources(spark: SparkSession, sf: str, below: int | None = None) -> DataFrame:
+    """All sources, or those with numbers under ``below``, as (id)."""
+    docs = views.table(spark, sf, "documents")
+    docs = docs if below is None else docs.where(F.substring("source", 4, 5).cast("int") < below)
+    return docs.select(F.col("source").alias("id")).distinct()
 
 
 def scan_manifest(spark: SparkSession, sf: str) -> DataFrame:
@@ -61,16 +61,19 @@ def write_docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def replace_file_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = doc_chunks(spark, sf)
-    return chunks.agg(F.count_if(F.col("file_id") == "src3").alias("deleted"), F.count_if(F.col("file_id") != "src3").alias("left"))
+    """All chunks are written, those of one file are deleted, and the rest is read back."""
+    path = scratch_path(spark, "docs")
+    files.write_docs(doc_chunks(spark, sf), path)
+    deleted = files.delete_file(spark, path, "src3")
+    return spark.read.parquet(path).agg(F.lit(deleted).cast("long").alias("deleted"), F.count("*").alias("left"))
 
 
 def anti_ingested(spark: SparkSession, sf: str) -> DataFrame:
-    return ingest.not_ingested(sources(spark, sf, 100), sources(spark, sf, 5))
+    return ingest.not_ingested(sources(spark, sf), sources(spark, sf, 5))
 
 
 def semi_file_exists(spark: SparkSession, sf: str) -> DataFrame:
-    found, missing = ingest.with_files(sources(spark, sf, 100), sources(spark, sf, 15))
+    found, missing = ingest.with_files(sources(spark, sf), sources(spark, sf, 15))
     return found.withColumn("found", F.lit(True)).unionByName(missing.withColumn("found", F.lit(False)))
 
 
@@ -135,7 +138,7 @@ def render_chunk_json(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fill_blank(spark: SparkSession, sf: str) -> DataFrame:
-    """Cells of which some are null, and empty tables skipped."""
+    """Cells of which some are null; a table without rows has no cells here."""
     cells = views.table(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") % 5 != 0, F.col("p_name")).alias("name"), F.when(F.col("p_size") % 3 != 0, F.col("p_brand")).alias("brand"))
     return cells.na.fill("")
 
@@ -224,7 +227,8 @@ def classify_visit_scored(spark: SparkSession, sf: str) -> DataFrame:
 
 def embed_text(spark: SparkSession, sf: str) -> DataFrame:
     docs = views.table(spark, sf, "documents").select("doc_id", scoring.embed_text(F.col("text"), 64).alias("v"))
-    return docs.select("doc_id", F.size("v").alias("dimension"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x), 6).alias("length"))
+    millionths = F.array_join(F.transform("v", lambda x: F.round(x * 1_000_000).cast("long").cast("string")), ",")
+    return docs.select("doc_id", F.size("v").alias("dimension"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x), 6).alias("length"), F.md5(millionths).alias("vector_md5"))
 
 
 def chunk_questions(spark: SparkSession, sf: str) -> DataFrame:
@@ -246,33 +250,30 @@ def embed_three_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("doc_id", "n", *[F.size(k).alias(k) for k in ("fact", "procedure", "constraint")])
 
 
-def check_diagnosis(spark: SparkSession, sf: str) -> DataFrame:
-    """Each benchmark query's three contexts: a section search, its context, a fixed answer, the parsed issues.
-
-    The answer only names the context's length; no scorer is called and no diagnosis is judged.
-    """
-    docs, queries = views.docs(spark, sf), views.search_queries(spark, sf)
-    parts = []
-    for checker, keyword in CHECKER_KEYWORDS.items():
-        own = docs.where(retrieval.section_like(F.col("metadata"), F.lit(keyword)))
-        parts.append(retrieval.hybrid_search(queries, own, 4, same_file=True).withColumn("checker", F.lit(checker)))
-    found = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    chunk = render.format_chunk(F.col("chunk"), json_text.parse_metadata(F.col("metadata")))
-    contexts = found.groupBy("query_id", "checker").agg(F.array_sort(F.collect_list(F.struct("rank", chunk.alias("c"), "file_id"))).alias("r"))
-    context = render.format_search_results(F.transform("r", lambda x: x["c"]))
-    short = F.to_json(F.array(F.struct(F.concat(F.lit("context of "), F.length("context"), F.lit(" characters")).alias("issue"), F.transform("r", lambda x: F.struct(x["file_id"].alias("doc_title"))).alias("sources"))))
-    answered = contexts.withColumn("context", context).withColumn("answer", short)
-    return answered.select("query_id", "checker", F.size(json_text.parse_issues(F.col("answer"))).alias("issues"), F.md5("context").alias("context_md5"))
-
-
 def ingest_corpus(spark: SparkSession, sf: str) -> DataFrame:
     chunks = ingest.ingest_pages(views.table(spark, sf, "pages"))
     return chunks.select("file_id", "content_type", "chunk_index", F.md5("chunk").alias("chunk_md5"), F.size("fact").alias("dimension"), "error")
 
 
+def ingest_job(spark: SparkSession, sf: str) -> DataFrame:
+    """Two runs of one ingest: the first has a part of the pages, the second all but some; what is stored then, and what is missing."""
+    pages, folder = views.table(spark, sf, "pages").select("page_id", "url", "html"), scratch_path(spark, "ingest")
+    manifest = pages.select(F.col("page_id").cast("string").alias("id"), F.col("url").alias("name"))
+    ingest.ingest(manifest.where("CAST(id AS BIGINT) % 4 = 0"), pages, folder, "run-1", anchor=ANCHOR)
+    _, missing = ingest.ingest(manifest, pages.where("page_id % 5 <> 1"), folder, "run-2", anchor=ANCHOR)
+    docs = spark.read.option("basePath", f"{folder}/docs").schema("file_id string, chunk string").parquet(f"{folder}/docs")
+    kept = docs.groupBy("file_id").agg(F.count("*").alias("chunks")).select("file_id", F.lit("stored").alias("state"), "chunks")
+    return kept.unionByName(missing.select(F.col("id").alias("file_id"), F.lit("missing").alias("state"), F.lit(0).cast("long").alias("chunks")))
+
+
 def incremental_audit(spark: SparkSession, sf: str) -> DataFrame:
-    """Visits arrive as files in two lots that share some; the second run audits only new ones, a third none."""
-    visits = views.visits(spark, sf).select("visit", "guid", "services")
+    """Visits arrive as files in two lots that share some; the second run audits only new ones, a third none.
+
+    The second lot spells guids in upper case. Visits without a guid (empty or null) cannot be
+    known again: those of both lots are audited with each.
+    """
+    guid = F.when(F.col("visit") % 10 == 3, "").when(F.col("visit") % 10 != 4, F.col("guid"))
+    visits = views.visits(spark, sf).select("visit", guid.alias("guid"), "services")
     folder, results, checkpoint = (scratch_path(spark, x) for x in ("visits", "audited", "offsets"))
 
     def audited(batch: DataFrame) -> DataFrame:
@@ -281,7 +282,7 @@ def incremental_audit(spark: SparkSession, sf: str) -> DataFrame:
     schema = "visit long, guid string, services array<struct<name:string>>"
     visits.where("visit % 3 <> 0").write.mode("append").parquet(folder)
     audit_new(spark, folder, schema, results, checkpoint, audited)
-    visits.where("visit % 3 <> 1").write.mode("append").parquet(folder)
+    visits.where("visit % 3 <> 1").withColumn("guid", F.upper("guid")).write.mode("append").parquet(folder)
     for _ in range(2):
         audit_new(spark, folder, schema, results, checkpoint, audited)
     return spark.read.parquet(results).select("visit", "guid", "visit_type")
@@ -306,8 +307,8 @@ QUERIES = {
     "pages_to_blocks": (pages_to_blocks, None),
     "write_docs": (write_docs, with_views(f"SELECT file_id, count(*) AS chunks, sum(length({SQL_CHUNK}))::BIGINT AS chars FROM chunks WHERE file_id <> 'src1' OR n = 0 GROUP BY file_id", SQL_CHUNKS)),
     "replace_file_chunks": (replace_file_chunks, with_views("SELECT count(*) FILTER (file_id = 'src3') AS deleted, count(*) FILTER (file_id <> 'src3') AS left FROM chunks", SQL_CHUNKS)),
-    "anti_ingested": (anti_ingested, f"SELECT DISTINCT source AS id FROM documents WHERE {_NUMBER} >= 5"),
-    "semi_file_exists": (semi_file_exists, f"SELECT DISTINCT source AS id, {_NUMBER} < 15 AS found FROM documents"),
+    "anti_ingested": (anti_ingested, f"SELECT DISTINCT source AS id FROM documents WHERE NOT coalesce({_NUMBER} < 5, false)"),
+    "semi_file_exists": (semi_file_exists, f"SELECT DISTINCT source AS id, coalesce({_NUMBER} < 15, false) AS found FROM documents"),
     "distinct_file_ids": (distinct_file_ids, "SELECT DISTINCT source AS file_id FROM documents"),
     "ordered_entries": (ordered_entries, with_views("SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY start, ord)::INTEGER AS place, start, title FROM entries", SQL_ENTRIES)),
     "section_asof": (
@@ -370,7 +371,14 @@ QUERIES = {
         CASE WHEN text LIKE '%idiot%' THEN 'ValueError: refused' WHEN length(text) >= 5000 THEN 'length' END AS error FROM documents""",
     ),
     "classify_visit_scored": (classify_visit_scored, with_views(f"SELECT visit, nullif({visit_queries.KIND_SQL}, 'other') AS visit_type FROM visit_heads", SQL_HEADS)),
-    "embed_text": (embed_text, r"SELECT doc_id, 64 AS dimension, CASE WHEN regexp_matches(coalesce(text, ''), '\S') THEN 1.0 ELSE 0.0 END::DOUBLE AS length FROM documents"),
+    "embed_text": (
+        embed_text,
+        rf"""WITH buckets AS (SELECT doc_id, ('0x' || md5(t)[:8])::BIGINT % 64 AS b, count(*) AS c FROM (SELECT doc_id, unnest({TOKENS.format("text")}) AS t FROM documents) GROUP BY ALL
+        ), held AS (SELECT doc_id, map_from_entries(list((b, c))) AS m, sqrt(sum(c * c)) AS size FROM buckets GROUP BY doc_id)
+        SELECT doc_id, 64 AS dimension, CASE WHEN size IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS length,
+               md5(array_to_string(list_transform(range(64), lambda i: round(coalesce(m[i] / size, 0) * 1000000)::BIGINT), ',')) AS vector_md5
+        FROM documents LEFT JOIN held USING (doc_id)""",
+    ),
     "chunk_questions": (
         chunk_questions,
         with_views(
@@ -381,7 +389,15 @@ QUERIES = {
     ),
     "embed_three": (embed_three, 'SELECT doc_id, 64 AS fact, 64 AS procedure, 64 AS "constraint" FROM documents WHERE length(text) > 0'),
     "embed_three_chunks": (embed_three_chunks, with_views('SELECT doc_id, n::INTEGER AS n, 64 AS fact, 64 AS procedure, 64 AS "constraint" FROM chunks', SQL_CHUNKS)),
-    "check_diagnosis": (check_diagnosis, None),
     "ingest_corpus": (ingest_corpus, None),
-    "incremental_audit": (incremental_audit, with_views(f"SELECT visit, guid, {visit_queries.KIND_SQL} AS visit_type FROM visit_heads", SQL_HEADS)),
+    "ingest_job": (ingest_job, None),
+    "incremental_audit": (
+        incremental_audit,
+        with_views(
+            f"""typed AS (SELECT visit, CASE WHEN visit % 10 = 3 THEN '' WHEN visit % 10 <> 4 THEN guid END AS guid, {visit_queries.KIND_SQL} AS visit_type FROM visit_heads)
+            SELECT visit, guid, visit_type FROM typed WHERE visit % 3 <> 0
+            UNION ALL SELECT visit, upper(guid), visit_type FROM typed WHERE visit % 3 = 0 OR (visit % 3 = 2 AND coalesce(guid, '') = '')""",
+            SQL_HEADS,
+        ),
+    ),
 }

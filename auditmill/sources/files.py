@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditmill.sources.scratch import remove
+
 VISIT = (
     "struct<`Прием`:struct<GUID:string,DATE:string>,`Пациент`:map<string,string>,`Услуги`:array<struct<`Наименование`:string>>,"
     "`Диагнозы`:array<struct<`КодМКБ`:string,`НаименованиеМКБ`:string,`Детализация`:string,`ВыявленВпервые`:boolean>>,"
@@ -50,6 +53,15 @@ def write_docs(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file_id").parquet(path)
 
 
+def delete_file(spark: SparkSession, path: str, file_id: str) -> int:
+    """Delete the chunks of one file from those that write_docs() wrote; the number of them."""
+    own = spark.read.parquet(path).where(F.col("file_id") == file_id)
+    parts = own.groupBy(F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("folder")).agg(F.count("*").alias("n")).collect()  # one folder a file
+    for part in parts:
+        remove(spark, unquote(part["folder"]))
+    return sum(part["n"] for part in parts)
+
+
 def write_results(results: DataFrame, path: str) -> None:
     """Append results (run_date, input, flags, issues)."""
     results.write.mode("append").partitionBy("run_date").parquet(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir); where that is unset, a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    base = base or "file://" + tempfile.mkdtemp(prefix="spark-")
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir).
+
+    Only where that is unset and driver and tasks are one process, a temporary folder of the
+    session takes its place; on a cluster the setting is required.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("auditmill.scratch.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("auditmill.scratch.dir", base)
     return f"{base.rstrip('/')}/auditmill-{label}-{uuid.uuid4().hex}"
 
 
@@ -19,4 +28,25 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """df, written once and read back."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written._written_to = path
+    return written
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that stored() wrote, once everything read from them is itself written."""
+    for t in tables:
+        path = t.__dict__.pop("_written_to", None)
+        if path:
+            remove(t.sparkSession, path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder in whatever store it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -217,3 +217,145 @@ def test_lookup_reaches_all_ids_in_short_lists(spark, tmp_path):
     assert max(r.doc_id for r in got) > 4_900 and len({r.ask for r in got}) == 50 and max(r.pos for r in got) < 200
     block = [r.doc_id for r in sorted((r for r in got if r.ask == 7), key=lambda r: r.pos)]
     assert block == [x for i in range(700, 800) for x in (i + i * 37 % 101, i * 2)]
+
+
+def test_nearest_without_null_or_zero_vectors_and_in_large_corpora(corpus, monkeypatch):
+    docs, queries, _ = corpus
+    spark = docs.sparkSession
+    whole = sorted(tuple(r) for r in retrieval.nearest(queries, docs, 7).collect())
+    zero = spark.createDataFrame([(900, "f0", "", "{}", [0.0] * 8), (901, "f0", "", "{}", None)], docs.schema)
+    odd = spark.createDataFrame([(7, "x", None, "f0"), (8, "x", [0.0] * 8, "f0")], queries.schema)
+    assert sorted(tuple(r) for r in retrieval.nearest(queries.union(odd), docs.union(zero), 7).collect()) == whole
+    monkeypatch.setattr(retrieval, "LARGE", 0)
+    monkeypatch.setattr(retrieval, "SAMPLE", 3)
+    assert sorted(tuple(r) for r in retrieval.nearest(queries, docs, 7).collect()) == whole
+    monkeypatch.setattr(retrieval, "QUERIES_A_PASS", 2)
+    assert sorted(tuple(r) for r in retrieval.nearest(queries, docs, 7).collect()) == whole
+    own = sorted(tuple(r) for r in retrieval.nearest(queries, docs, 7, same_file=True).collect())
+    monkeypatch.setattr(retrieval, "QUERIES_A_PASS", 100)
+    assert sorted(tuple(r) for r in retrieval.nearest(queries, docs, 7, same_file=True).collect()) == own
+
+
+def test_rules_of_every_type(spark, tmp_path):
+    visits = nested(
+        spark,
+        [
+            (1, "g", "2024-01-01", {"Имя": "A"}, [("Профилактический осмотр",)], [("A01", "cough", None, True)], []),
+            (2, "g", "2024-01-01", {"Имя": "A"}, [("Повторный приём",), ("Первичный приём",)], [("R05", "cough", None, True), ("J20", "b", None, None), ("K1", "c", None, None)], [("Лечение", "5 mg"), ("Жалобы", " ")]),
+            (3, "g", None, {"Жалобы": "cough"}, [("Первичный приём",)], [], [("Динамика", "-"), ("Контроль", "через неделю")]),
+            (4, "g", "2024-01-01", {}, None, None, None),
+        ],
+    ).withColumn("visit_type", rules.visit_type(F.col("services")))
+    path = str(tmp_path / "rules")
+    rules.save_rules(rules.default_rules(spark, rules.DEFAULT_RULES + rules.MORE_RULES), path)
+    table = rules.load_rules(spark, path)
+    assert table.count() == len(rules.DEFAULT_RULES + rules.MORE_RULES)
+    got = {r.visit: [tuple(f) for f in r.findings] for r in rules.check_visits(visits, table).collect()}
+    assert got[1] == []  # complaints may be missing at a prophylactic visit
+    assert got[2] == [("SYMPTOM_CODE", "symptom code beside a main diagnosis"), ("NO_FOLLOW_UP", "follow_up"), ("NO_DYNAMICS", "dynamics, clinical_context"), ("SERVICE_MISMATCH", "repeat, primary"), ("INCOMPLETE_PRESCRIPTION", "Лечение")]
+    assert got[3] == [("MISSING_META", "date"), ("MISSING_CORE", "diagnosis"), ("MISSING_DIAGNOSIS", "diagnosis"), ("PLACEHOLDER", "Динамика")]
+    assert {f for f, _ in got[4]} >= {"MISSING_META", "MISSING_DIAGNOSIS"}
+    assert [r.flag_code for r in rules.model_rules(table).collect()] == ["NOT_SUPPORTED"]
+    assert rules.check_visits(visits, table.limit(0)).where("size(findings) > 0").count() == 0
+
+
+def test_three_checkers_search_their_sections(spark):
+    visits = nested(spark, [(1, "G1", "2024-01-01", {"Имя": "A"}, [("Первичный приём",)], [("A01", "cough", None, True), ("Z9", "none", None, None)], [("Жалобы", "cough")]), (2, "G2", "2024-01-01", {}, [], None, [])])
+    manifest = spark.createDataFrame([("g1", "acute", "A01", 1)], "id string, name string, codes string, pos int")
+    docs = spark.createDataFrame(
+        [(1, "g1", "Cough for a week", '{"section":"Жалобы"}', [1.0, 0.0]), (2, "g1", "Look at the throat", '{"section":"Исследования"}', [0.0, 1.0]), (3, "g2", "cough", '{"section":"Лечение"}', [1.0, 0.0])],
+        "doc_id long, file_id string, chunk string, metadata string, fact_vec array<double>",
+    )
+    embed = lambda cases: cases.withColumn("embedding", F.array(F.lit(1.0), F.lit(0.5)))
+    done = spark.createDataFrame([], "guid string")
+
+    def broken():
+        def score(texts):
+            if any("inspection" in t.split("\n")[0] for t in texts):
+                raise RuntimeError("down")
+            return [('[{"issue":"%d","sources":[]}]' % ("Имя" in t), "stop") for t in texts]
+
+        return score
+
+    got = {r.visit: r for r in audit.audit_visits(visits, manifest, done, docs=docs, embed=embed).collect()}
+    first, second = got[1].results
+    assert ([i.issue for i in first.anamnesis], [i.issue for i in first.inspection], [i.issue for i in first.treatment]) == ([], ["not mentioned: cough"], ["no text of the section"])
+    assert (second.guideline_id, second.anamnesis, second.inspection, second.treatment) == (None, [], [], [])
+    assert got[1].errors == [] and got[2].errors == ["no diagnoses", "no service"]
+    for per_visit in (False, True):
+        own = {r.visit: r for r in audit.audit_visits(visits, manifest, done, docs=docs, embed=embed, make_checker=broken, per_visit=per_visit).collect()}
+        assert own[1].errors == ["inspection: RuntimeError: down"] and [i.issue for i in own[1].results[0].treatment] == [str(int(per_visit))]
+
+
+def test_sections_by_lines(spark):
+    texts = ["pre\n1.1 One\nbody\n1.2 .... 7\nlost\n2.10 Two. x\n\nmore\n", "no sections", "1.1 ...... 3\nx", "1.1\nTitle\ntext", "", None, "a 1.1 b\n 1.2 c"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    from auditmill.functions import text
+
+    got = {r.i: r.s and [tuple(x) for x in r.s] for r in frame.select("i", text.split_sections(F.col("t")).alias("s")).collect()}
+    assert got[0] == [("1.1 One", "1.1 One\nbody"), ("2.10 Two. x", "2.10 Two. x\n\nmore")]
+    assert got[1] == [(None, "no sections")] and got[2] == [(None, texts[2])] and got[3] == [("1.1\nTitle", texts[3])] and got[4] == [(None, "")] and got[6] == [(None, texts[6])]
+
+
+def test_incremental_audit_knows_visits_again(spark, tmp_path):
+    from auditmill.streaming.incremental import audit_new
+
+    schema = "guid string, n int"
+    paths = [str(tmp_path / x) for x in ("in", "out", "check")]
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(paths[0])
+    run = lambda: audit_new(spark, paths[0], schema, paths[1], paths[2], lambda b: b)
+    put([("ABCD", 1), ("abcd", 1), ("", 2), ("", 2), (" ", 3), (None, 2), (None, 4)])
+    run()
+    assert spark.read.parquet(paths[1]).count() == 6
+    put([("AbCd", 9), ("new", 5), (None, 4)])
+    for _ in range(2):
+        run()
+    got = sorted((r.guid or "", r.n) for r in spark.read.parquet(paths[1]).collect())
+    assert got == [("", 2), ("", 2), ("", 2), ("", 4), ("", 4), (" ", 3), ("ABCD", 1), ("new", 5)] or got == [("", 2), ("", 2), ("", 2), ("", 4), ("", 4), (" ", 3), ("abcd", 1), ("new", 5)]
+    # A batch that is run again (its offsets are known, its commit is not) adds nothing.
+    import glob
+    import os
+
+    last = max(glob.glob(paths[2] + "/commits/[0-9]*"), key=lambda p: int(os.path.basename(p)))
+    os.remove(last)
+    if os.path.exists(crc := os.path.join(os.path.dirname(last), f".{os.path.basename(last)}.crc")):
+        os.remove(crc)
+    run()
+    assert sorted((r.guid or "", r.n) for r in spark.read.parquet(paths[1]).collect()) == got
+
+
+def test_embedders_of_any_provider(spark):
+    def make():
+        def embed(texts):
+            if "bad" in texts:
+                raise RuntimeError("no")
+            return [[float(len(t)), 0.0] if t != "short" else [1.0] for t in texts]
+
+        return embed
+
+    rows = spark.createDataFrame([(1, "abc"), (2, "bad"), (3, None), (4, "short")], "id long, text string").coalesce(1)
+    got = {r.id: (r.vector, r.error) for r in scoring.embed_batches(rows, make, "id", 2).collect()}
+    assert got[1] == ([1.0, 0.0], None) and got[2] == (None, "RuntimeError: no") and got[3] == (None, None) and got[4][0] is None and "2 numbers" in got[4][1]
+
+
+def test_deleting_a_file_leaves_the_others(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    files.write_docs(spark.createDataFrame([("a b", "x"), ("a b", "y"), ("c", "z")], "file_id string, chunk string"), path)
+    assert files.delete_file(spark, path, "a b") == 2 and files.delete_file(spark, path, "no") == 0
+    assert [tuple(r) for r in spark.read.parquet(path).select("file_id", "chunk").collect()] == [("c", "z")]
+
+
+def test_ingest_from_manifest_to_summary(spark, tmp_path):
+    folder = str(tmp_path / "ingest")
+    page = "<p>cut</p><p>ANCHOR</p><p>front</p><p>ANCHOR</p><h1>1.1 Title</h1><p>Some text. More.</p>" + "".join(f"<li>row {i}</li>" for i in range(9))
+    pages = spark.createDataFrame([(1, page), (2, None), (3, "<p>Plain.</p>")], "page_id long, html string")
+    manifest = spark.createDataFrame([("1", "one"), ("2", "two"), ("3", "three"), ("9", "gone")], "id string, name string")
+    total, missing = ingest.ingest(manifest.where("id <> '3'"), pages, folder, "r1", anchor="ANCHOR", dimension=8)
+    assert sorted((r.file_id or "", r.inserted, r.failed) for r in total.collect()) == [("", 3, 0), ("1", 3, 0), ("2", 0, 0)] and [r.id for r in missing.collect()] == ["9"]
+    docs = spark.read.parquet(f"{folder}/docs").where("content_type = 'text'").collect()
+    assert [d.chunk for d in docs] == ["1.1 Title\nSome text. More."] and '"name":"one"' in docs[0].metadata and '"section":"1.1 Title"' in docs[0].metadata
+    assert sorted(r.id for r in ingest.done_files(spark, folder).collect()) == ["1", "2"]
+    for run in ("r2", "r2"):
+        total, _ = ingest.ingest(manifest, pages, folder, run, dimension=8)
+    assert {str(r.file_id) for r in spark.read.parquet(f"{folder}/docs").select("file_id").distinct().collect()} == {"1", "3"}
+    assert sorted(r.id for r in ingest.done_files(spark, folder).collect()) == ["1", "2", "3"]
