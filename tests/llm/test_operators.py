@@ -4,6 +4,7 @@ import base64
 import datetime
 import gzip
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -63,6 +64,39 @@ def test_near_duplicates_of_chains_and_many_edits(spark):
     assert got == h.near_components(list(enumerate(texts)), 85)
 
 
+def family(count, words, changes):
+    """Copies of one text that is not among them, each with a few other words."""
+    base = [f"b{i}" for i in range(words)]
+    for _ in range(count):
+        new = list(base)
+        for k in random.sample(range(words), changes):
+            new[k] = f"e{random.randrange(10**9)}"
+        yield " ".join(new)
+
+
+@pytest.mark.parametrize(("changes", "some"), [(4, True), (6, False)])
+def test_families_near_the_threshold(spark, monkeypatch, changes, some):
+    """Families of which few or no pairs are linked: components are exact, and tests grow with the texts, not with their pairs."""
+    tested, linked, probed = [], minhash_dedup._linked, minhash_dedup._probed
+
+    def count_hubs(pairs, *rest):
+        tested.append(pairs.count())
+        return linked(pairs, *rest)
+
+    def count_probes(asking, probes, *rest):
+        tested.append(asking.select("hub", "comp").join(probes.select("hub", F.col("comp").alias("other")), "hub").where("comp <> other").count())
+        return probed(asking, probes, *rest)
+
+    monkeypatch.setattr(minhash_dedup, "_linked", count_hubs)
+    monkeypatch.setattr(minhash_dedup, "_probed", count_probes)
+    random.seed(21)
+    texts = list(family(500, 400, changes))
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(simple(spark, texts), percent=85).collect()}
+    assert got == h.near_components(list(enumerate(texts)), 85)
+    assert (len(set(got.values())) < 250) == some
+    assert sum(tested) < 60 * len(texts)
+
+
 def test_drop_near_duplicates_keeps_columns_and_empty_texts(docs, none):
     kept = minhash_dedup.drop_near_duplicates(docs, percent=85)
     assert kept.columns == docs.columns
@@ -452,6 +486,63 @@ def test_toxicity_learns_and_calibrates(spark, none):
     assert toxicity.drop_toxic(none, model).count() == 0
 
 
+def plain_features(text, lexicon):
+    """The features of a text, word by word."""
+    words = (text or "").split()
+    if not words:
+        return [0.0] * len(toxicity.FEATURES)
+    n, seen = len(words), []
+    for w in words:
+        bare = re.sub(r"^[\W_]+|[\W_]+$", "", w).casefold()
+        weight = lexicon.get(bare, 0.0)
+        plain = re.sub(r"[\W_]", "", bare.translate(toxicity.LOOKALIKE))
+        hidden = not weight and (plain in lexicon or re.sub(r"([^\W\d_])\1\1", r"\1", plain) in lexicon)
+        letters, upper = sum(c.isalpha() for c in w), sum(c.isupper() for c in w)
+        seen.append((
+            weight, hidden, bare in toxicity.SECOND_PERSON, letters, upper, letters > 1 and letters == upper, sum(c in "!?" for c in w),
+            len(re.findall(r"[^\w\s]", w)), bool(re.search(r"[^\W\d_][\d*@$!|._\-]+[^\W\d_]", bare)), bool(re.search(r"([^\W\d_])\1\1", bare)), w,
+        ))
+    total = lambda k: sum(x[k] for x in seen)
+    hit, you = [i for i, x in enumerate(seen) if x[0] or x[1]], [i for i, x in enumerate(seen) if x[2]]
+    near = sum(any(abs(i - j) <= 5 for j in you) for i in hit) / len(hit) if hit and you else 0.0
+    known = [x for x in seen if x[0]]
+    return [
+        math.log1p(n), len(known) / n, len(known), len({x[-1] for x in known}), max(x[0] for x in seen), total(0), total(0) / n, total(1) / n, near, total(2) / n,
+        total(4) / max(1, total(3)), total(5) / n, total(6) / n, total(7) / n, total(8) / n, total(9) / n,
+    ]
+
+
+def plain_tree(lines, values):
+    """What a printed decision tree says for the values of the features."""
+    head = lines[0].strip()
+    if head.startswith("Predict:"):
+        return float(head.removeprefix("Predict:"))
+    depth = len(lines[0]) - len(lines[0].lstrip())
+    other = next(k for k in range(1, len(lines)) if len(lines[k]) - len(lines[k].lstrip()) == depth)
+    number, limit = re.match(r"If \(feature (\d+) <= (\S+)\)", head).groups()
+    return plain_tree(lines[1:other] if values[int(number)] <= float(limit) else lines[other + 1 :], values)
+
+
+def test_toxicity_agrees_with_a_plain_scorer(spark):
+    random.seed(14)
+    plain, rude = [f"p{i}" for i in range(100)] + ["you", "Your", "fooood", "a-b", "A1", "_x_", "NO!", "été,"], ["grub", "slime", "oaf"]
+    rows = []
+    for i in range(600):
+        words = random.choices(plain, k=random.randint(0, 40))
+        for _ in range(len(words) // 6 + 1 if i % 4 == 0 else 0):
+            words.insert(random.randint(0, len(words)), random.choice([*rude, "sl1me", "GRUB!!", "oaf.", "gruuub"]))
+        rows.append((i, " ".join(words), int(i % 4 == 0)))
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, label int"), rounds=4)
+    texts = [t for _, t, _ in rows[:150]] + [None, "", "!!! ???", "sl1me you"]
+    trees = [[line for line in t.toDebugString.split("\n")[1:] if line.strip()] for t in model.trees.trees]
+    got = {r.doc_id: r.score for r in toxicity.score(simple(spark, texts), model).collect()}
+    for k, text in enumerate(texts):
+        values = plain_features(text, model.lexicon)
+        margin = sum(w * plain_tree(t, values) for w, t in zip(model.trees.treeWeights, trees, strict=True))
+        want = float(np.interp(margin, model.curve.boundaries.toArray(), model.curve.predictions.toArray()))
+        assert got[k] == pytest.approx(min(1.0, max(0.0, want)), abs=1e-9), text
+
+
 def test_toxicity_without_labels(spark, docs):
     model = toxicity.fit(toxicity.training_rows(docs, spark.createDataFrame([], "doc_id long, toxic int")))
     assert {r.score for r in toxicity.score(docs, model).collect()} == {0.0}
