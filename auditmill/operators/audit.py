@@ -98,7 +98,8 @@ def audit_visits(
     """
     gaps = F.array(F.when(F.col("diagnoses").isNull(), F.lit("no diagnoses")), F.when(F.coalesce(F.size("services"), F.lit(0)) <= 0, F.lit("no service")))
     due = pending(visits, done).withColumn("visit_type", rules.visit_type(F.col("services"))).withColumn("visit_id", visit_id(F.col("guid"), F.col("date"), F.col("visit") - 1))
-    due = due.withColumn("_gaps", F.filter(gaps, lambda x: x.isNotNull()))
+    # Written once: rules, pairs and results all read the visits that are due.
+    due = stored(due.withColumn("_gaps", F.filter(gaps, lambda x: x.isNotNull())), "due")
     found = rule_findings(due, structure, listed).select("visit", "visit_id", "visit_type", "findings", "_gaps")
     pair = F.concat_ws("\n", F.coalesce(F.concat(F.lit("="), "d.code"), F.lit("")), F.coalesce(F.concat(F.lit("="), "d.name"), F.lit("")))
     each = due.select("visit", "patient", "inspection", F.posexplode("diagnoses").alias("pos", "d")).withColumn("pair", pair)
