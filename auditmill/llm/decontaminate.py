@@ -21,9 +21,11 @@ CANDIDATE, MATCH, SHINGLE = 0.5, 0.8, 5
 #: Words that a question or an answer must have to be a match on its own.
 SIDE = 13
 #: Entries in a block, words of items in one shard of the index, least words in half a passage.
-BLOCK, SHARD_WORDS, HALF = 16, 2_000_000, 64
+BLOCK, SHARD_WORDS, HALF = 4, 2_000_000, 64
 #: Passage positions that are scored at once.
 CHUNK = 1 << 18
+#: Bounds of passages and blocks that are held at once.
+CELLS = 1 << 22
 
 #: The last sentence of an item stands for its answer, what comes before for its question.
 ITEM = r"(?s)^(.*[.!?])\s+(\S.*)$"
@@ -88,6 +90,10 @@ class Shard:
         The bound of all blocks is tried first, then the bound of each block, for many passages
         at once; pivots() goes through the blocks that are left.
         """
+        step = max(1, CELLS // self.blocks)
+        return [(at + r, e, s) for at in range(0, len(passages), step) for r, e, s in self._candidates(passages[at : at + step])]
+
+    def _candidates(self, passages: np.ndarray) -> list[tuple[int, int, float]]:
         ids = np.sort(passages, axis=1)
         fresh = np.ones(ids.shape, bool)
         fresh[:, 1:] = ids[:, 1:] != ids[:, :-1]
