@@ -142,7 +142,7 @@ def components(links: DataFrame) -> DataFrame:
         jumped = materialize(lookup(best, "comp", "salt", over).select("node", F.least("comp", "top").alias("comp"), "old"), "labels")
         release(labels)
         labels = jumped
-        if labels.where("comp <> old").limit(1).count() == 0:
+        if labels.where("comp <> old").isEmpty():
             release(both)
             return labels
 
@@ -253,7 +253,7 @@ def _joined_stars(stars: DataFrame, percent: int) -> list[DataFrame]:
         probes = materialize(probes.join(state.select("hub", "doc_id", "comp"), ["hub", "doc_id"]), "probes")
         links = materialize(_probed(asking if first else asking.where("comp <> major"), probes, stars, percent), "confirmed")
         found.append(links)
-        some = links.limit(1).count() > 0
+        some = not links.isEmpty()
         moved = nearby(links) if some else None
         left = state.join(probes.select("hub", "doc_id"), ["hub", "doc_id"], "left_anti") if first else state
         now = left.withColumnRenamed("comp", "old")
@@ -269,9 +269,9 @@ def _joined_stars(stars: DataFrame, percent: int) -> list[DataFrame]:
         newer = materialize(newer, "state")
         release(state, probes, *([moved] if some else []))
         state, most, first = newer, min(4 * most, MOST_PROBES), False
-        if state.where("active").limit(1).count() == 0:
+        if state.where("active").isEmpty():
             break
-    if state.limit(1).count():
+    if not state.isEmpty():
         found.append(_rest(state, stars, percent))
     release(state)
     return found
@@ -337,29 +337,32 @@ def near_duplicates(
 
     # Pairs with a hub are tested: only buckets with two more members of different components stay open.
     state = placed.where("total > 2").join(first.select(F.col("node").alias("doc_id"), "comp"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+    state = crowded = materialize(state.select("key", "salt", "hub", "doc_id", "comp"), "crowded")
     mixed = group_salted(state, ["key"], "salt", {"lo": F.min("comp"), "hi": F.max("comp")}, {"low": F.min("lo"), "high": F.max("hi")}, F.col("low") < F.col("high"))
-    state = state.join(mixed, ["key", "salt"]).select("doc_id", "salt", "comp", F.col("hub").alias("near")).distinct()
+    state = materialize(state.join(mixed, ["key", "salt"]).select("doc_id", "salt", "comp", F.col("hub").alias("near")).distinct(), "open")
     # Hubs of one component share one hub, so that a class is in one star instead of several.
     ranks = placed.select(F.col("hub").alias("doc_id"), "total").groupBy("doc_id").agg(F.sum("total").alias("weight")).join(first.select(F.col("node").alias("doc_id"), "comp"), "doc_id", "left")
     heads = ranks.groupBy(F.coalesce("comp", "doc_id").alias("c")).agg(F.max_by(F.col("doc_id"), F.struct(F.col("weight"), -F.col("doc_id"))).alias("hub"))
     heads = lookup_salted(ranks.select(F.col("doc_id").alias("near"), F.coalesce("comp", "doc_id").alias("c"), salt_of(F.col("doc_id")).alias("salt")), "c", "salt", heads).select("near", "hub", F.col("c").alias("h_comp"))
+    heads = materialize(heads, "heads")
     stars = lookup_salted(state, "near", "salt", heads).select("hub", "doc_id", "salt", "comp", "h_comp").where("doc_id <> hub").distinct()
     stars = lookup_salted(stars.join(sets, "doc_id"), "hub", "salt", sets.select(F.col("doc_id").alias("hub"), F.col("grams").alias("h"), F.col("n").alias("h_n")))
     apart = F.concat(F.array_except("grams", "h"), F.array_except("h", "grams"))
     stars = materialize(stars.select("hub", "doc_id", "salt", "comp", "n", "h_n", "h_comp", apart.alias("d")), "stars")
-    release(placed, sets)
-    more = _joined_stars(stars, percent) if stars.limit(1).count() else []
+    release(placed, sets, crowded, state, heads)
+    more = _joined_stars(stars, percent) if not stars.isEmpty() else []
     release(stars)
 
-    # comps are nodes too, so they and the later links together give the components.
+    # The later links are of components: those of first are named anew, no node is spread to again.
+    named = lookup_salted(member, "rep", "salt", first.select(F.col("node").alias("rep"), "comp")).select("doc_id", "salt", F.coalesce("comp", "rep").alias("old"))
     later = functools.reduce(DataFrame.unionByName, more) if more else None
-    if later is not None and later.limit(1).count():
-        final = components(first.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b")).union(later))
+    merged = components(later) if later is not None and not later.isEmpty() else None
+    if merged is None:
+        named = named.withColumnRenamed("old", "comp")
     else:
-        final = first
-    named = lookup_salted(member, "rep", "salt", final.select(F.col("node").alias("rep"), "comp")).select("doc_id", F.coalesce("comp", "rep").alias("comp"))
+        named = lookup_salted(named, "old", "salt", merged.select(F.col("node").alias("old"), "comp")).withColumn("comp", F.coalesce("comp", "old"))
     named = materialize(named.groupBy(F.col("doc_id").alias("_id")).agg(F.min("comp").alias("comp")), "named")
-    release(member, first, final, *more)
+    release(member, first, *more, *([merged] if merged is not None else []))
     out = sketch.join(named, F.col("doc_id") == F.col("_id"), "left")
     comp = F.coalesce("comp", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.col("doc_id").eqNullSafe(comp).alias("kept"))
