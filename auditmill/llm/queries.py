@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, line_dedup, minhash_dedup, mixing, pii, token_counts, toxicity, warc
-from .shared import let, table
+from . import chat, decontaminate, exact_dedup, lexical, line_dedup, minhash_dedup, mixing, ngram_join, pii, repair, token_counts, toxicity, warc
+from .shared import let, materialize, release, table
 
 
 #: A demonstration key; a real one is a secret that the caller passes.
@@ -84,6 +84,29 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical.build_index(table(spark, sf_dir, "documents"))
+    found = materialize(lexical.search(index, table(spark, sf_dir, "benchmark")), "found")
+    release(index)
+    return found
+
+
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_links(table(spark, sf_dir, "documents"), percent=80)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = table(spark, sf_dir, "conversations")
+    rows = repair.damage(stored)
+    planned = materialize(repair.plans(rows), "plans")
+    named = [F.col(c).alias(f"_{c}") for c in ("conv_id",)]
+    found = planned.join(repair.digests(repair.repaired_turns(rows, planned)).select(*named, "repaired_sha256"), F.col("conv_id").eqNullSafe(F.col("_conv_id")), "left")
+    found = found.select(F.col("conv_id").alias("_conv_id"), F.struct("gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256").alias("p"))
+    every = stored.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("_conv_id")), "left")
+    numbers = [F.coalesce(f"p.{c}", F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *numbers, F.coalesce("p.audit", F.lit("")).alias("audit"), F.coalesce("p.repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii_pseudonyms": op1_pii_pseudonyms,
@@ -96,6 +119,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_chat_formatting": op9_chat_formatting,
         "op10_warc": op10_warc,
+        "op11_lexical_search": op11_lexical_search,
+        "op12_ngram_join": op12_ngram_join,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 
@@ -236,5 +262,28 @@ FROM bits
 """
 
 
+OP11_SQL = r"""
+WITH terms AS (
+  SELECT rowid_, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM (SELECT row_number() OVER () AS rowid_, doc_id, text FROM documents)
+), sizes AS (SELECT rowid_, doc_id, len(t)::BIGINT AS n FROM terms WHERE len(t) > 0
+), stats AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS tokens FROM sizes
+), asked AS (
+  SELECT q, item_id, term, count(*) AS times FROM (
+    SELECT q, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT row_number() OVER () AS q, item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark))) GROUP BY ALL
+), wanted AS (SELECT DISTINCT term FROM asked
+), postings AS (SELECT rowid_, term, count(*)::BIGINT AS tf FROM (SELECT rowid_, unnest(t) AS term FROM terms) JOIN wanted USING (term) GROUP BY ALL
+), weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), stats
+), scored AS (
+  SELECT q, item_id, doc_id, rowid_, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // tokens))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN postings USING (term) JOIN sizes USING (rowid_), stats GROUP BY ALL
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST)::INTEGER AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+OP12_SQL = OP2_SQL.replace("85 *", "80 *").replace(", doc_id = component_id AS kept", "")
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_near_dedup": OP2_SQL, "op3_decontamination": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op5_mixing": OP5_SQL, "op7_line_dedup": OP7_SQL, "op9_chat_formatting": OP9_SQL, "op10_warc": OP10_SQL}
+    return {"op11_lexical_search": OP11_SQL, "op12_ngram_join": OP12_SQL, "op2_minhash_near_dedup": OP2_SQL, "op3_decontamination": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op5_mixing": OP5_SQL, "op7_line_dedup": OP7_SQL, "op9_chat_formatting": OP9_SQL, "op10_warc": OP10_SQL}
