@@ -9,19 +9,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from auditmill.functions.text import tokenize
-from auditmill.functions.vectors import cosine_distance
+from auditmill.operators.bm25 import bm25_scores, bm25_stats, cells, lists, token_lists  # noqa: F401  offered here too
 from auditmill.sources.scratch import stored
 
-#: Candidates for each result, fusion constant, and BM25's constants.
+#: Candidates for each result, and the fusion constant.
 CANDIDATE_FACTOR, RRF_K = 6, 50
-K1, B, EPSILON = 1.5, 0.75, 0.25
 
 #: Which vector column answers which type of query.
 VECTOR_COLUMNS = {"fact": "fact_vec", "procedure": "procedure_vec", "constraint": "constraint_vec"}
 
 #: Queries that one pass over the corpus answers, and the queries and rows that are multiplied at once.
 QUERIES_A_PASS, QUERY_BLOCK, ROW_BLOCK = 16_384, 4_096, 2_048
+#: Rows of a file that meet a block of its queries in one task.
+FILE_ROWS = 1 << 16
 #: A corpus of more bytes than this is searched in one of SAMPLE parts first, to bound what its tasks return.
 LARGE, SAMPLE = 64 << 30, 64
 #: Digits that distances and scores are rounded to before they are ranked.
@@ -111,6 +111,47 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("vector_rank", F.row_number().over(order)).where(F.col("vector_rank") <= k)
 
 
+def _in_files(wanted: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """FOUND for queries (query_id, embedding, file_id) among their file's rows (doc_id, vector, file_id).
+
+    A file is cut into parts of FILE_ROWS rows and its queries into blocks of QUERY_BLOCK. Each
+    part meets each block in a task of its own, which multiplies them and returns k rows a query
+    at most; so a file that holds a third of all rows is many tasks, and none sees more than one cell.
+    """
+    blocks = wanted.groupBy("file_id").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
+    parts = rows.groupBy("file_id").agg(F.ceil(F.count("*") / FILE_ROWS).cast("int").alias("parts"))
+    sizes = blocks.join(parts, "file_id")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = wanted.join(sizes, "file_id").select("file_id", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int").alias("block"), each("parts").alias("part"), "query_id", "embedding")
+    held = rows.join(sizes, "file_id").select("file_id", each("blocks").alias("block"), F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"), "doc_id", "vector")
+
+    def unit(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        flat, ends = lists(column)
+        matrix = flat.to_numpy(zero_copy_only=False).astype(float).reshape(len(ends) - 1, -1) if len(ends) > 1 else np.empty((0, 0))
+        size = np.linalg.norm(matrix, axis=1)
+        some = np.flatnonzero(size > 0)
+        return matrix[some] / size[some, None], some
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]]
+        if len(left) and len(right):
+            (asked, some), (vectors, known) = unit(left.column("embedding")), unit(right.column("vector"))
+            names, queries = right.column("doc_id").to_numpy()[known], left.column("query_id").to_numpy()[some]
+            order = np.argsort(names, kind="stable")
+            names, vectors = names[order], vectors[order]
+            for at in range(0, len(queries) if len(names) else 0, 64):
+                far = np.round(1.0 - asked[at : at + 64] @ vectors.T, DIGITS) + 0.0  # no negative zero
+                for q, row in enumerate(far):
+                    own = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1]) if len(row) > k else np.arange(len(row))
+                    own = own[np.argsort(row[own], kind="stable")][:k]
+                    for column, values in zip(out, (np.full(len(own), queries[at + q]), names[own], row[own]), strict=True):
+                        column.append(values)
+        return pa.table(dict(zip(("query_id", "doc_id", "distance"), map(np.concatenate, out), strict=True)))
+
+    keys = ["file_id", "block", "part"]
+    return asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(run, FOUND)
+
+
 def nearest(queries: DataFrame, docs: DataFrame, k: int, vector: str = "fact_vec", same_file: bool = False) -> DataFrame:
     """(query_id, doc_id, distance, vector_rank): the k docs nearest to each query by cosine distance.
 
@@ -123,15 +164,14 @@ def nearest(queries: DataFrame, docs: DataFrame, k: int, vector: str = "fact_vec
     with blocks of queries and returns k rows for each query at most. For a corpus over LARGE
     bytes one of SAMPLE parts of it is searched first: no task then returns a row farther than the
     k-th of that part, so about k * SAMPLE rows a query are shuffled, however many tasks there are.
-    More than QUERIES_A_PASS queries within files are joined with their file's rows instead.
+    More than QUERIES_A_PASS queries within files go to their files instead (see _in_files()).
     """
     keys = ["file_id"] if same_file else []
     rows = docs.where(F.col(vector).isNotNull()).select("doc_id", F.col(vector).alias("vector"), *keys)
     wanted = queries.where(F.exists("embedding", lambda x: x != 0)).select("query_id", "embedding", *keys)
     passes = -(-wanted.count() // QUERIES_A_PASS)
     if same_file and passes > 1:
-        far = F.round(cosine_distance(F.col("vector"), F.col("embedding")), DIGITS)
-        return _ranked(wanted.join(rows, "file_id").select("query_id", "doc_id", far.alias("distance")).where("distance IS NOT NULL"), k)
+        return _ranked(_in_files(wanted, rows, k), k)
     large = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > LARGE
     parts = []
     for n in range(passes):
@@ -150,47 +190,6 @@ def nearest(queries: DataFrame, docs: DataFrame, k: int, vector: str = "fact_vec
     return _ranked(found, k)
 
 
-def term_counts(texts: DataFrame) -> DataFrame:
-    """(doc_id, term, f) of texts (doc_id, chunk); a text without tokens has one row, with a null term. Written once."""
-    tokens = texts.select("doc_id", F.explode_outer(tokenize(F.col("chunk"))).alias("term"))
-    return stored(tokens.groupBy("doc_id", "term").agg(F.count("*").alias("f")), "terms")
-
-
-def bm25_stats(candidates: DataFrame, counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Statistics of candidate sets (query_id, doc_id), one set for each query.
-
-    (query_id, doc_id, len), (doc_id, term, f) and (query_id, term, idf, n, docs, avg_len). An idf
-    below zero becomes EPSILON times the mean idf of the set's distinct terms. counts are the
-    term_counts() of the candidates' texts; without them candidates has chunk.
-    """
-    if counts is None:
-        counts = term_counts(candidates.select("doc_id", "chunk").dropDuplicates(["doc_id"]))
-    sizes = counts.groupBy("doc_id").agg(F.sum(F.when(F.col("term").isNotNull(), F.col("f")).otherwise(0)).alias("len"))
-    counts = counts.where("term IS NOT NULL")
-    lengths = candidates.select("query_id", "doc_id").join(sizes, "doc_id").select("query_id", "doc_id", "len")
-    sets = lengths.groupBy("query_id").agg(F.count("*").alias("docs"), F.avg("len").alias("avg_len"))
-    known = candidates.select("query_id", "doc_id").join(counts, "doc_id").groupBy("query_id", "term").agg(F.count("*").alias("n"))
-    terms = known.join(sets, "query_id").withColumn("raw", F.log(F.col("docs") - F.col("n") + 0.5) - F.log(F.col("n") + 0.5))
-    means = terms.groupBy("query_id").agg(F.avg("raw").alias("mean"))
-    idf = F.when(F.col("raw") < 0, F.col("mean") * EPSILON).otherwise(F.col("raw"))
-    return lengths, counts, terms.join(means, "query_id").select("query_id", "term", idf.alias("idf"), "n", "docs", "avg_len")
-
-
-def bm25_scores(queries: DataFrame, candidates: DataFrame, counts: DataFrame | None = None) -> DataFrame:
-    """(query_id, doc_id, bm25) of every candidate, rounded; a candidate without a query term scores 0.
-
-    queries has query_id and query_text; repeated words of a query count as often. Texts are
-    tokenised once for each document, not for each query that has it as a candidate.
-    """
-    lengths, counts, terms = bm25_stats(candidates, counts)
-    asked = queries.select("query_id", F.explode(tokenize(F.col("query_text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    asked = asked.join(terms, ["query_id", "term"]).select("query_id", "term", "times", "idf", "avg_len")
-    hits = lengths.join(asked, "query_id").join(counts, ["doc_id", "term"])
-    share = F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("times") * F.col("idf") * share).alias("bm25"))
-    return lengths.select("query_id", "doc_id").join(scored, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.round(F.coalesce("bm25", F.lit(0.0)), DIGITS).alias("bm25"))
-
-
 def bm25_rank(scored: DataFrame) -> DataFrame:
     """scored (query_id, doc_id, vector_rank, bm25) with bm25_rank; equal scores keep the vector order."""
     order = Window.partitionBy("query_id").orderBy(F.desc("bm25"), "vector_rank")
@@ -203,20 +202,21 @@ def rrf_fuse(ranked: DataFrame, k: int = RRF_K) -> DataFrame:
 
 
 def candidates(queries: DataFrame, docs: DataFrame, k: int, query_type: str = "fact", same_file: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The k nearest docs of each query, written once, and the term counts of the distinct docs among them."""
+    """The k nearest docs of each query, written once, and the tokens of the distinct docs among them."""
     near = stored(nearest(queries, docs, k, vector_column(query_type), same_file), "candidates")
-    return near, term_counts(docs.select("doc_id", "chunk").join(near.select("doc_id").distinct(), "doc_id", "left_semi"))
+    return near, token_lists(docs.select("doc_id", "chunk").join(near.select("doc_id").distinct(), "doc_id", "left_semi"))
 
 
 def hybrid_ranks(queries: DataFrame, docs: DataFrame, top_k: int = 10, query_type: str = "fact", same_file: bool = False) -> DataFrame:
     """(query_id, rank, doc_id, rrf_score) of the top_k docs of each query by fused vector and BM25 rank.
 
     queries: query_id, query_text, embedding (and file_id). docs: doc_id, chunk, the vector columns
-    (and file_id). Equal scores keep the vector order.
+    (and file_id). Equal scores keep the vector order. Queries of one file are scored together, so
+    that a document goes to few cells (see bm25).
     """
-    near, counts = candidates(queries, docs, top_k * CANDIDATE_FACTOR, query_type, same_file)
-    places = near.select("query_id", "doc_id", "vector_rank")
-    ranked = bm25_rank(bm25_scores(queries, places, counts).join(places, ["query_id", "doc_id"]))
+    k = top_k * CANDIDATE_FACTOR
+    near, tokens = candidates(queries, docs, k, query_type, same_file)
+    ranked = bm25_rank(bm25_scores(queries, near.select("query_id", "doc_id", "vector_rank"), tokens, cells(queries, k, same_file)))
     # Two lists: a document's fused score needs both of its ranks only, which stand in one row.
     fused = ranked.withColumn("rrf_score", sum((F.lit(1.0) / (F.lit(RRF_K) + F.col(c)) for c in ("vector_rank", "bm25_rank")), F.lit(0.0)))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("rrf_score", DIGITS)), "vector_rank")

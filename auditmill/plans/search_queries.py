@@ -110,16 +110,15 @@ def knn_topk_filtered(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bm25_stats(spark: SparkSession, sf: str) -> DataFrame:
-    near, counts = retrieval.candidates(views.search_queries(spark, sf), views.docs(spark, sf), 60)
-    _, _, terms = retrieval.bm25_stats(near, counts)
-    return terms.select("query_id", "term", "n", "docs", F.round("avg_len", 6).alias("avg_len"), F.round("idf", 6).alias("idf"))
+    near, tokens = retrieval.candidates(views.search_queries(spark, sf), views.docs(spark, sf), 60)
+    return retrieval.bm25_stats(near, tokens).select("query_id", "term", "n", "docs", F.round("avg_len", 6).alias("avg_len"), F.round("idf", 6).alias("idf"))
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
     """query_id, doc_id, vector_rank and bm25 of each query's 60 candidates."""
     queries = views.search_queries(spark, sf)
-    near, counts = retrieval.candidates(queries, views.docs(spark, sf), 60)
-    return retrieval.bm25_scores(queries, near, counts).join(near.select("query_id", "doc_id", "vector_rank"), ["query_id", "doc_id"])
+    near, tokens = retrieval.candidates(queries, views.docs(spark, sf), 60)
+    return retrieval.bm25_scores(queries, near, tokens)
 
 
 def bm25_score(spark: SparkSession, sf: str) -> DataFrame:
