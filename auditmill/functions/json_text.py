@@ -48,8 +48,10 @@ def parse_issues(c: Column) -> Column:
 
 
 def parse_findings(c: Column) -> Column:
-    """The findings of an object {"findings": [{flag, issue}]}; none for anything else."""
-    return F.coalesce(F.from_json(c, f"struct<findings:{FINDINGS}>")["findings"], empty(FINDINGS))
+    """The findings of an object {"findings": [{flag, issue}]} or of an array of such, maybe fenced; none for anything else."""
+    text = unfenced(c)
+    listed = F.from_json(F.when(text.startswith("["), text), FINDINGS)
+    return F.coalesce(listed, F.from_json(F.when(text.startswith("{"), text), f"struct<findings:{FINDINGS}>")["findings"], empty(FINDINGS))
 
 
 def parse_questions(c: Column) -> Column:

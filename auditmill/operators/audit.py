@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from auditmill.functions import json_text, render
 from auditmill.functions.text import not_blank, stripped
 from auditmill.operators import checks, codes, rules, scoring
-from auditmill.sources.scratch import stored
+from auditmill.sources.scratch import release, stored
 
 CHECKERS = tuple(checks.SECTIONS)
 
@@ -39,16 +39,16 @@ def queue_summary(visits: DataFrame, done: DataFrame) -> DataFrame:
     return total.join(left).select("total", (F.col("total") - F.col("audited")).alias("skipped"), "audited", "unmatched")
 
 
-def rule_findings(visits: DataFrame, structure: bool = True, listed: DataFrame | None = None) -> DataFrame:
+def rule_findings(visits: DataFrame, structure: bool = True, listed: DataFrame | None = None, said: Column | None = None) -> DataFrame:
     """visits (nested, with visit_type) with ``findings`` of a rule table (see rules.check_visits()).
 
     Without a table: the default rules but NO_FOLLOW_UP, and CONFLICT last if structure.
     """
     if listed is not None:
-        return rules.check_visits(visits, listed)
+        return rules.check_visits(visits, listed, said=said)
     base = rules.default_rules(visits.sparkSession).where("flag_code <> 'NO_FOLLOW_UP'")
     base = base.withColumn("pos", F.when(F.col("flag_code") == "CONFLICT", 99).otherwise(F.col("pos")))
-    return rules.check_visits(visits, base if structure else base.where("flag_code <> 'CONFLICT'"))
+    return rules.check_visits(visits, base if structure else base.where("flag_code <> 'CONFLICT'"), said=said)
 
 
 def fold_visits(visits: DataFrame, diagnoses: DataFrame, key: str = "visit") -> DataFrame:
@@ -70,6 +70,11 @@ def check_offline(code: Column, name: Column, guideline: Column) -> Column:
     return F.when(codes.token_overlap(name, guideline) == 0, issue).otherwise("[]")
 
 
+def report_input() -> Column:
+    """What a report shows of a visit."""
+    return F.struct("guid", "date", "patient", "services", "diagnoses").alias("input")
+
+
 def audit_visits(
     visits: DataFrame,
     manifest: DataFrame,
@@ -80,32 +85,47 @@ def audit_visits(
     embed: Callable[[DataFrame], DataFrame] | None = None,
     make_checker: Callable[[], scoring.Scorer] = checks.offline_checker,
     sections: dict[str, str] = checks.SECTIONS,
-    per_visit: bool = False,
+    per_visit: bool = True,
+    make_rule_checker: Callable[[], scoring.Scorer] | None = None,
+    answers: str | None = None,
+    with_input: bool = False,
 ) -> DataFrame:
     """The audit: visits that are due, rule findings, a guideline and three checks per diagnosis, one row per visit.
 
     visits: as in plans.views.visits. listed: the rule table (the default rules without one).
     docs: the guidelines' chunks, with the manifest's ids as file_id; embed adds ``embedding`` to
-    rows with query_text. Each checker of a diagnosis judges what a section search and a general
-    search of its guideline find (see checks). Guidelines and searches depend on code and name only
-    and are made once for each pair of them; so are the answers, unless per_visit sends every
-    visit's own record to the scorer. Without docs only the names of diagnosis and guideline are
-    compared, as the anamnesis check.
+    rows with query_text. Each checker of a diagnosis judges the visit's own record (patient,
+    diagnosis, inspection) by what a section search and a general search of its guideline find
+    (see checks). Guidelines and searches depend on code and name only and are made once for
+    each pair of them; without per_visit so are the answers, to code and name alone. Without docs
+    only the names of diagnosis and guideline are compared, as the anamnesis check.
+
+    make_rule_checker judges the rules in words (see rules.model_findings()), which find nothing
+    without it. answers is a folder that keeps what was answered: a run scores the prompts that it lacks only.
 
     Result: visit, visit_id, visit_type, findings, results (struct of guideline_id, icd_code and the
     issues of each checker, per diagnosis), errors: what a visit lacks that the audit takes as empty
-    (diagnoses, services), and checks that failed.
+    (diagnoses, services), and checks and rules whose scorer failed; with_input also ``input``, what report_rows() shows of a visit.
     """
     gaps = F.array(F.when(F.col("diagnoses").isNull(), F.lit("no diagnoses")), F.when(F.coalesce(F.size("services"), F.lit(0)) <= 0, F.lit("no service")))
     due = pending(visits, done).withColumn("visit_type", rules.visit_type(F.col("services"))).withColumn("visit_id", visit_id(F.col("guid"), F.col("date"), F.col("visit") - 1))
     # Written once: rules, pairs and results all read the visits that are due.
     due = stored(due.withColumn("_gaps", F.filter(gaps, lambda x: x.isNotNull())), "due")
-    found = rule_findings(due, structure, listed).select("visit", "visit_id", "visit_type", "findings", "_gaps")
+    failed, said = F.array().cast("array<string>"), None
+    judged_by = due
+    if make_rule_checker is not None and listed is not None:
+        by_model = rules.model_findings(due, listed, make_rule_checker, None if answers is None else f"{answers}/rules")
+        judged_by, said = due.join(by_model, "visit", "left"), F.col("said")
+        failed = F.filter(F.array(F.concat(F.lit("rules: "), F.col("error"))), lambda x: x.isNotNull())
+    judged_by = rule_findings(judged_by.withColumn("_gaps", F.concat("_gaps", failed)), structure, listed, said)
+    found = judged_by.select("visit", "visit_id", "visit_type", "findings", "_gaps", *([report_input()] if with_input else []))
     pair = F.concat_ws("\n", F.coalesce(F.concat(F.lit("="), "d.code"), F.lit("")), F.coalesce(F.concat(F.lit("="), "d.name"), F.lit("")))
     each = due.select("visit", "patient", "inspection", F.posexplode("diagnoses").alias("pos", "d")).withColumn("pair", pair)
     pairs = stored(each.select("pair", "d.code", "d.name").dropDuplicates(["pair"]).withColumn("dx", F.monotonically_increasing_id()), "pairs")
     names = manifest.select(F.col("id").alias("guideline_id"), F.col("name").alias("guideline"))
-    known = stored(pairs.join(codes.resolve(pairs, manifest, "dx"), "dx").join(names, "guideline_id", "left"), "resolved")
+    resolved = codes.resolve(pairs, manifest, "dx")
+    known = stored(pairs.join(resolved, "dx").join(names, "guideline_id", "left"), "resolved")
+    release(pairs, *resolved._reads)
     nothing = json_text.empty(json_text.ISSUES)
     none = F.array().cast("array<string>")
     rows = each.select("visit", "pos", "d", "pair")
@@ -123,22 +143,24 @@ def audit_visits(
             detail = F.struct("d.code", "d.name", F.lit(None).cast("string").alias("detail"), F.lit(None).cast("boolean").alias("first_time"))
             own = cases.select(F.col("pair").alias("case"), "dx", F.concat(F.lit("## Диагноз\n"), render.format_diagnosis(detail)).alias("message"))
             case = F.col("pair")
-        judged = stored(checks.check(own, contexts, make_checker), "checked")
+        judged = stored(checks.check(own, contexts, make_checker, None if answers is None else f"{answers}/checks"), "checked")
+        release(contexts)
         checked = rows.join(known.select("pair", "guideline_id"), "pair").withColumn("case", case).join(judged, "case", "left")
         checked = checked.select("*", *[F.coalesce(F.col(f"checks.{c}"), nothing).alias(c) for c in CHECKERS], F.coalesce("checks.errors", none).alias("errors"))
     result = F.struct("guideline_id", F.coalesce("d.code", F.concat(F.lit("#"), (F.col("pos") + 1).cast("string"))).alias("icd_code"), *CHECKERS)
     folded = checked.select("visit", "pos", F.struct(result.alias("r"), "errors").alias("result"))
     folded = fold_visits(found, folded)
     errors = F.concat("_gaps", F.flatten(F.transform("results", lambda x: x["errors"])))
-    return folded.select("visit", "visit_id", "visit_type", "findings", F.transform("results", lambda x: x["r"]).alias("results"), errors.alias("errors"))
+    results = F.transform("results", lambda x: x["r"]).alias("results")
+    return folded.select("visit", "visit_id", "visit_type", "findings", results, errors.alias("errors"), *(["input"] if with_input else []))
 
 
-def report_rows(audited: DataFrame, visits: DataFrame) -> DataFrame:
-    """One row per visit with three texts: input, formal_structure, diagnosis."""
-    fields = visits.select("visit", F.struct("guid", "date", "patient", "services", "diagnoses").alias("input"))
-    kind = fields.schema["input"].dataType
-    joined = audited.join(fields, "visit")
-    return joined.select(
+def report_rows(audited: DataFrame, visits: DataFrame | None = None) -> DataFrame:
+    """One row per visit with three texts: input, formal_structure, diagnosis. visits is needed where audited has no ``input``."""
+    if visits is not None:
+        audited = audited.drop("input").join(visits.select("visit", report_input()), "visit")
+    kind = audited.schema["input"].dataType
+    return audited.select(
         "visit",
         render.format_value(F.col("input"), kind).alias("input"),
         render.format_formal(F.col("findings")).alias("formal_structure"),

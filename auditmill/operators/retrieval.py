@@ -220,10 +220,12 @@ def hybrid_ranks(queries: DataFrame, docs: DataFrame, top_k: int = 10, query_typ
     # Two lists: a document's fused score needs both of its ranks only, which stand in one row.
     fused = ranked.withColumn("rrf_score", sum((F.lit(1.0) / (F.lit(RRF_K) + F.col(c)) for c in ("vector_rank", "bm25_rank")), F.lit(0.0)))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("rrf_score", DIGITS)), "vector_rank")
-    return fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("query_id", "rank", "doc_id", F.round("rrf_score", 6).alias("rrf_score"))
+    best = fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("query_id", "rank", "doc_id", F.round("rrf_score", 6).alias("rrf_score"))
+    best._reads = (near, tokens)
+    return best
 
 
 def hybrid_search(queries: DataFrame, docs: DataFrame, top_k: int = 10, query_type: str = "fact", same_file: bool = False) -> DataFrame:
     """hybrid_ranks() with the docs' file_id, chunk and metadata. Texts are read for the results only."""
-    best = hybrid_ranks(queries, docs, top_k, query_type, same_file)
+    best = stored(hybrid_ranks(queries, docs, top_k, query_type, same_file), "ranks")
     return docs.select("doc_id", "file_id", "chunk", "metadata").join(best, "doc_id").select("query_id", "rank", "doc_id", "rrf_score", "file_id", "chunk", "metadata")

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditmill.functions import json_text
+from auditmill.operators import answers, scoring
+
 RULE = (
     "rule_id string, source string, rule_type string, applies_to struct<visit_types:array<string>,specialties:array<string>,age_group:string>, "
     "targets array<string>, condition string, expectation string, flag_code string, severity string"
@@ -47,6 +53,12 @@ TARGET_WORDS = {
     "follow_up": ("повторн", "контрол", "наблюден"), "companion_info": ("сопровожд", "представител"), "diagnosis_justification": ("обоснован",), "specialty": ("специальн",),
     "patient_age": ("возраст",), "patient_sex": ("пол",),
 }
+#: Flags of rule files that mean what a predicate finds (fixed values), and all flags that predicates judge.
+SAME_FLAGS = {"PLACEHOLDER_VALUE_DETECTED": "PLACEHOLDER", "DUPLICATE_SEMANTIC_BLOCK": "CONFLICT", "SERVICE_VISIT_MISMATCH": "SERVICE_MISMATCH"}
+JUDGED = ("PLACEHOLDER", "CONFLICT", "SYMPTOM_CODE", "SERVICE_MISMATCH", "INCOMPLETE_PRESCRIPTION", "NO_FOLLOW_UP", *SAME_FLAGS)
+#: The prompt for rules in words, and what stands before the record.
+RECORD = "\n\n## Record\n"
+TASK = "Judge the record of a visit by each of these rules.\n\n{rules}\n\nAnswer with a JSON array of the rules that it breaks, as {\"flag\": ..., \"issue\": ...}; [] if it breaks none." + RECORD
 #: Types of rules that let targets be missing.
 EXCEPTIONS = ("prophylactic_exception", "allowed_missing")
 
@@ -187,7 +199,7 @@ def predicates() -> dict[str, Column]:
     issues = lambda findings: F.coalesce(F.transform(findings, lambda f: f["issue"]), none)
     kinds = F.array_distinct(F.filter(F.transform("services", lambda s: visit_type(F.array(s))), lambda k: k != "other"))
     treated = F.filter("inspection", lambda p: F.exists(F.array(*map(F.lit, TARGET_WORDS["treatment_plan"])), lambda w: F.contains(F.lower(p["param"]), w)))
-    return {
+    made = {
         "PLACEHOLDER": issues(placeholder_findings(F.col("inspection"))),
         "CONFLICT": issues(conflict_findings(F.col("inspection"))),
         "SYMPTOM_CODE": one(symptom_beside_main(F.col("diagnoses")), F.lit("symptom code beside a main diagnosis")),
@@ -195,15 +207,17 @@ def predicates() -> dict[str, Column]:
         "INCOMPLETE_PRESCRIPTION": F.coalesce(F.transform(F.filter(treated, lambda p: incomplete_prescription(p["value"])), lambda p: p["param"]), none),
         "NO_FOLLOW_UP": one((F.size("diagnoses") >= 3) & ~_filled(TARGET_WORDS["follow_up"]), F.lit("follow_up")),
     }
+    return made | {flag: made[same] for flag, same in SAME_FLAGS.items()}
 
 
-def check_visits(visits: DataFrame, rules: DataFrame, flags: dict[str, Column] | None = None) -> DataFrame:
+def check_visits(visits: DataFrame, rules: DataFrame, flags: dict[str, Column] | None = None, said: Column | None = None) -> DataFrame:
     """visits (nested, with visit_type) with ``findings`` of the rules that apply to them, in the order of the rules.
 
     By rule_type: required_field finds each blank target; conditional_required finds that all its
     targets are blank; the exceptions let their targets be blank; rules of other types find what
-    the predicate of their flag does (see predicates(); callers may give their own) and nothing
-    without one (see model_rules()). Each visit meets one row: the rules of its type, one of four.
+    the predicate of their flag does (see predicates(); callers may give their own), and without
+    one what a scorer ``said`` of that flag (an array of flag and issue; see model_findings()). What
+    was said of other flags comes last. Each visit meets one row: the rules of its type, one of four.
     """
     by_type = _typed(rules, "pos", "rule_type", "targets", "flag_code").groupBy("visit_type").agg(F.array_sort(F.collect_list(F.struct("pos", "rule_type", "targets", "flag_code"))).alias("_rules"))
     made = flags if flags is not None else predicates()
@@ -222,15 +236,44 @@ def check_visits(visits: DataFrame, rules: DataFrame, flags: dict[str, Column] |
                 F.when(r["rule_type"] == "required_field", each(F.filter(r["targets"], lambda t: F.array_contains(blank, t))))
                 .when(r["rule_type"] == "conditional_required", each(all_blank))
                 .when(r["rule_type"].isin(*EXCEPTIONS), none)
-                .otherwise(F.coalesce(each(F.element_at(v["facts"], r["flag_code"])), none))
+                .otherwise(F.coalesce(each(F.try_element_at(v["facts"], r["flag_code"])), F.filter(v["said"], lambda f: f["flag"] == r["flag_code"]), none))
             )
 
-        return F.flatten(F.transform(v["rules"], one))
+        known = F.transform(v["rules"], lambda r: r["flag_code"])
+        return F.concat(F.flatten(F.transform(v["rules"], one)), F.filter(v["said"], lambda f: ~F.array_contains(known, f["flag"])))
 
-    value = F.struct(F.col("_rules").alias("rules"), missing_targets().alias("missing"), facts.alias("facts"))
+    value = F.struct(F.col("_rules").alias("rules"), missing_targets().alias("missing"), facts.alias("facts"), F.coalesce(said, none).alias("said") if said is not None else none.alias("said"))
     return joined.withColumn("findings", F.coalesce(F.transform(F.array(value), found)[0], none)).drop("_rules")
 
 
-def model_rules(rules: DataFrame, flags: tuple[str, ...] = ("PLACEHOLDER", "CONFLICT", "SYMPTOM_CODE", "SERVICE_MISMATCH", "INCOMPLETE_PRESCRIPTION", "NO_FOLLOW_UP")) -> DataFrame:
-    """The rules that check_visits() cannot judge: they go to a scorer as text (see render_rules())."""
+def model_rules(rules: DataFrame, flags: tuple[str, ...] = JUDGED) -> DataFrame:
+    """The rules that check_visits() cannot judge by itself: they go to a scorer as text."""
     return rules.where(~F.col("rule_type").isin("required_field", "conditional_required", *EXCEPTIONS) & ~F.col("flag_code").isin(*flags))
+
+
+def model_findings(visits: DataFrame, rules: DataFrame, make_scorer: Callable[[], scoring.Scorer], store: str | None = None) -> DataFrame:
+    """(visit, said, error) of nested visits (with visit_type): what a scorer finds by the model_rules() of their type.
+
+    A prompt is TASK with the rules of a visit type (see render_rules()) and the visit's record as
+    JSON. Equal prompts are scored once, and kept answers not again (see answers). An answer is
+    an array of flag and issue, or an object with such ``findings``, maybe fenced; anything else finds nothing.
+    Visits of a type without such rules are not asked about.
+    """
+    typed = _typed(model_rules(rules), "pos", "flag_code", "condition", "expectation")
+    heads = render_rules(typed, "visit_type").select("visit_type", render_template(TASK, "rules", F.col("rules")).alias("_head"))
+    record = F.to_json(F.struct("date", "patient", "services", "diagnoses", "inspection"))
+    asked = visits.join(F.broadcast(heads), "visit_type")  # one row for each visit type
+    asked = asked.select("visit", F.concat("_head", record).alias("text")).select("visit", "text", answers.content_id(F.col("text")).alias("id"))
+    found = answers.score_once(asked.select("id", "text"), make_scorer, store)
+    return asked.select("visit", "id").join(found, "id").select("visit", json_text.parse_findings(F.col("answer")).alias("said"), "error")
+
+
+def offline_rule_checker() -> scoring.Scorer:
+    """A scorer without a model: NOT_SUPPORTED, if it is asked for, where a record has diagnoses and none of them is new."""
+
+    def judge(prompt: str) -> dict:
+        said, record = prompt.split(RECORD, 1)
+        new = [bool(d.get("first_time")) for d in json.loads(record).get("diagnoses") or []]
+        return {"findings": [{"flag": "NOT_SUPPORTED", "issue": "no diagnosis is new"}] if "(NOT_SUPPORTED)" in said and new and not any(new) else []}
+
+    return lambda texts: [(json.dumps(judge(t)), "stop") for t in texts]

@@ -164,6 +164,15 @@ def check_rules_table(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("visit", "pos", "f.flag", "f.issue")
 
 
+def check_rules_scored(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules of every type, from a file; those in words go to a scorer, and all findings come in the order of the rules."""
+    visits = views.visits(spark, sf).withColumn("visit_type", rules.visit_type(F.col("services")))
+    listed = stored_rules(spark, rules.DEFAULT_RULES + rules.MORE_RULES)
+    said = rules.model_findings(visits, listed, rules.offline_rule_checker).select("visit", "said")
+    found = rules.check_visits(visits.join(said, "visit", "left"), listed, said=F.col("said")).select("visit", F.posexplode("findings").alias("pos", "f"))
+    return found.select("visit", "pos", "f.flag", "f.issue")
+
+
 def check_diagnosis(spark: SparkSession, sf: str) -> DataFrame:
     """The three checkers of every diagnosis with a guideline: number of issues and what the searches found."""
     found = code_queries.diagnoses(spark, sf)
@@ -172,8 +181,9 @@ def check_diagnosis(spark: SparkSession, sf: str) -> DataFrame:
     said = checks.contexts(views.pair_vectors(spark, sf, cases), views.guideline_docs(spark, sf), SECTIONS)
     detail = F.struct("d.code", "d.name", F.lit(None).cast("string").alias("detail"), F.lit(None).cast("boolean").alias("first_time"))
     judged = checks.check(cases.select(F.col("dx").cast("string").alias("case"), "dx", render.format_diagnosis(detail).alias("message")), said, checks.offline_checker)
-    each = judged.select(F.col("case").cast("long").alias("dx"), F.explode(F.array(*[F.struct(F.lit(c).alias("checker"), F.size(f"checks.{c}").alias("issues")) for c in SECTIONS])).alias("x"))
-    return each.select("dx", "x.*").join(said, ["dx", "checker"]).select("dx", "checker", "issues", F.md5("section").alias("section_md5"), F.md5("general").alias("general_md5"))
+    judged = judged.select(F.col("case").cast("long").alias("dx"), "checks").join(said, "dx")
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("checker"), F.size(f"checks.{c}").alias("issues"), F.md5(c).alias("section_md5")) for c in SECTIONS]))
+    return judged.select("dx", each.alias("x"), F.md5("general").alias("general_md5")).select("dx", "x.*", "general_md5")
 
 
 def format_inspection(spark: SparkSession, sf: str) -> DataFrame:
@@ -202,16 +212,18 @@ def fold_visit_result(spark: SparkSession, sf: str) -> DataFrame:
     return folded.select("visit", F.size("results").alias("n"), F.array_join(F.transform("results", lambda r: r["code"]), ",").alias("codes"))
 
 
-def _audited(spark: SparkSession, sf: str, structure: bool) -> DataFrame:
+def _audited(spark: SparkSession, sf: str, listed: DataFrame, **options) -> DataFrame:
     embed = lambda cases: views.pair_vectors(spark, sf, cases)
-    listed = rules.default_rules(spark)
-    listed = listed if structure else listed.where("flag_code NOT IN ('CONFLICT', 'NO_FOLLOW_UP')")
-    return audit.audit_visits(views.visits(spark, sf), views.manifest(spark, sf), done(spark, sf), listed=listed, docs=views.guideline_docs(spark, sf), embed=embed, sections=SECTIONS)
+    return audit.audit_visits(views.visits(spark, sf), views.manifest(spark, sf), done(spark, sf), listed=listed, docs=views.guideline_docs(spark, sf), embed=embed, sections=SECTIONS, **options)
+
 
+def audit_visits(spark: SparkSession, sf: str) -> DataFrame:
+    """The audit of every visit's own record, by a rule file of all types whose rules in words go to a scorer."""
+    listed = stored_rules(spark, rules.DEFAULT_RULES + rules.MORE_RULES)
+    return _summary(_audited(spark, sf, listed, make_rule_checker=rules.offline_rule_checker))
 
-def audit_visits(spark: SparkSession, sf: str, structure: bool = False) -> DataFrame:
-    """The audit without CONFLICT and NO_FOLLOW_UP, which audit_visits_conflicts and report_rows have."""
-    audited = _audited(spark, sf, structure)
+
+def _summary(audited: DataFrame) -> DataFrame:
     picked = F.array_join(F.transform("results", lambda r: F.coalesce(r["guideline_id"], F.lit("-"))), ",")
     count = lambda checker: F.aggregate("results", F.lit(0), lambda n, r: n + F.size(r[checker]))
     issues = [count(c).alias(c) for c in audit.CHECKERS]
@@ -223,11 +235,12 @@ def audit_visits(spark: SparkSession, sf: str, structure: bool = False) -> DataF
 
 
 def audit_visits_conflicts(spark: SparkSession, sf: str) -> DataFrame:
-    return audit_visits(spark, sf, structure=True)
+    """The audit by the default rules, which need no scorer, with one answer for each diagnosis instead of one for each visit's."""
+    return _summary(_audited(spark, sf, rules.default_rules(spark), per_visit=False))
 
 
 def report_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return audit.report_rows(_audited(spark, sf, True), views.visits(spark, sf))
+    return audit.report_rows(_audited(spark, sf, rules.default_rules(spark), with_input=True))
 
 
 def report_row_count(spark: SparkSession, sf: str) -> DataFrame:
@@ -265,6 +278,13 @@ _FOUND_ORDERED = """
     GROUP BY visit HAVING bool_or(code LIKE 'R%') AND bool_or(code NOT LIKE 'R%')
   UNION ALL SELECT visit, 7, 1, 'NO_FOLLOW_UP', 'follow_up' FROM visit_lines JOIN typed USING (visit) WHERE visit_type IN ('primary', 'repeat') GROUP BY visit HAVING count(*) >= 3"""
 
+#: Rules of every type over the visits as they are; the last one is a scorer's.
+_FOUND_SCORED = f"""
+  SELECT * FROM ({_FOUND_ORDERED})
+  UNION ALL SELECT visit, 8, 1, 'MISSING_COMPLAINTS', 'complaints' FROM typed WHERE visit_type = 'primary'
+  UNION ALL SELECT visit, 9, 1, 'NO_DYNAMICS', 'dynamics, clinical_context' FROM typed WHERE visit_type = 'repeat'
+  UNION ALL SELECT visit, 12, 1, 'NOT_SUPPORTED', 'no diagnosis is new' FROM visit_lines JOIN typed USING (visit) WHERE visit_type IN ('primary', 'repeat') GROUP BY visit HAVING NOT bool_or(first_time)"""
+
 #: Rules of every type over visits with added fields (see check_rules_table).
 _FOUND_TABLE = f"""ordered AS (
   SELECT * FROM ({_FOUND_ORDERED}) WHERE issue <> 'inspection' OR (visit % 5 > 1 AND visit % 3 <> 0 AND visit % 2 <> 0)
@@ -296,11 +316,16 @@ def searched_sql() -> str:
   FROM contexts JOIN parts USING (dx) WHERE n > 0)"""
 
 
-#: Codes repeat in visits: each pair of code and name is resolved and checked once.
+def _own(checker: str) -> str:
+    """A checker's issue in a visit: the record names the patient's group."""
+    return f"CASE WHEN i.{checker} LIKE 'not mentioned: %' THEN i.{checker} || ' (' || h.segment || ')' ELSE i.{checker} END AS {checker}"
+
+
+#: Codes repeat in visits: each pair of code and name is resolved and searched once.
 _CHECKED = f"""parts AS (SELECT row_number() OVER (ORDER BY code, name) AS dx, code, name FROM (SELECT DISTINCT code, name FROM visit_lines)
     ), {SQL_EXACT}, {SQL_PREFIX}, resolved AS ({resolved_sql("Z00.1")}), {searched_sql()}
     , issues AS (SELECT dx, max(issue) FILTER (n = 1) AS anamnesis, max(issue) FILTER (n = 2) AS inspection, max(issue) FILTER (n = 3) AS treatment FROM judged GROUP BY dx
-    ), diagnosed AS (SELECT l.visit, l.pos, l.code, r.guideline_id, i.* FROM visit_lines l JOIN parts p USING (code, name) JOIN resolved r USING (dx) LEFT JOIN issues i USING (dx))"""
+    ), diagnosed AS (SELECT l.visit, l.pos, l.code, r.guideline_id, {", ".join(_own(c) for c in SECTIONS)} FROM visit_lines l JOIN visit_heads h USING (visit) JOIN parts p USING (code, name) JOIN resolved r USING (dx) LEFT JOIN issues i USING (dx))"""
 
 
 def _audit_sql(found: str) -> str:
@@ -397,7 +422,11 @@ QUERIES = {
             SQL_MANIFEST, SQL_CODES, SQL_PARTS, SQL_EXACT, SQL_PREFIX,
         ),
     ),
-    "audit_visits": (audit_visits, _audit_sql(_FOUND)),
+    "check_rules_scored": (
+        check_rules_scored,
+        with_views(f"SELECT visit, (row_number() OVER (PARTITION BY visit ORDER BY o, p) - 1)::INTEGER AS pos, flag, issue FROM ({_FOUND_SCORED})", SQL_HEADS, SQL_LINES, SQL_RULES),
+    ),
+    "audit_visits": (audit_visits, _audit_sql(_FOUND_SCORED)),
     "audit_visits_conflicts": (audit_visits_conflicts, _audit_sql(_FOUND_ORDERED)),
     "report_rows": (report_rows, _REPORT),
     "report_row_count": (report_row_count, "SELECT count(*) + 1 AS rows FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 4 <> 0"),

@@ -25,9 +25,10 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """df, written once and read back."""
+    """df, written once and read back. Written tables that df names in ``_reads`` are deleted then."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
+    release(*df.__dict__.pop("_reads", ()))
     written = df.sparkSession.read.schema(df.schema).parquet(path)
     written._written_to = path
     return written
