@@ -216,26 +216,29 @@ def _renamed(rows: DataFrame, links: DataFrame) -> DataFrame:
     return rows.join(moved, "comp", "left").withColumn("comp", F.coalesce("_to", "comp")).drop("_to")
 
 
-def _open_sets(text: DataFrame, reps: DataFrame, percent: int, size: int) -> DataFrame:
-    """(doc_id, tag, n, grams, dfs) of the representatives that may have a partner: the n-grams that others have too, the rarest first.
+def _open_ids(reps: DataFrame) -> DataFrame:
+    """(_id) of the representatives that may have a partner, by a part of their hashes.
 
     With an overlap of at least a, the k-th common hash of two sets stands at most at place
     n - a + k of each, so their first n - a + k hashes share k. With LOW percent of the hashes k is at
     least LOW + percent - 100 percent of the smaller set's a, and that is least for the smallest partner.
-    Sets that share fewer of these hashes with all others together go first, by a part of the
-    hashes only. Of what is left percent of the whole set must be shared.
+    Sets that share fewer of these hashes with all others together go.
     """
     low = reps.select("doc_id", "need", F.explode("low").alias("gram"))
     shared = low.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1").select("gram")
     some = low.join(shared, "gram").groupBy("doc_id").agg(F.count("*").alias("hits"), F.min("need").alias("need")).where("hits >= need")
-    wanted = materialize(some.select(F.col("doc_id").alias("_id")), "open")
+    return materialize(some.select(F.col("doc_id").alias("_id")), "open")
+
+
+def _open_sets(text: DataFrame, wanted: DataFrame, percent: int, size: int) -> DataFrame:
+    """(doc_id, tag, n, grams, dfs) of the wanted texts that share percent of their n-grams with others: those n-grams, the rarest first."""
     sets = text.join(wanted, F.col("doc_id") == F.col("_id"), "left_semi").mapInArrow(_grams(size), "doc_id long, tag int, n long, grams array<long>")
     each = materialize(sets.select("doc_id", "tag", "n", F.explode("grams").alias("gram")), "grams")
     often = each.groupBy("gram").agg(F.count("*").cast("int").alias("df")).where("df > 1")
     held = each.join(often, "gram").groupBy("doc_id", "tag", "n").agg(F.array_sort(F.collect_set(F.struct("df", "gram"))).alias("l"))  # rows may repeat
     held = held.where(F.size("l") * 100 >= F.col("n") * percent)
     held = materialize(held.select("doc_id", "tag", "n", F.transform("l", lambda x: x["gram"]).alias("grams"), F.transform("l", lambda x: x["df"]).alias("dfs")), "sets")
-    release(wanted, each)
+    release(each)
     return held
 
 
@@ -286,7 +289,7 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n-grams (with fewer words, the whole sequence).
 
     1. Equal sets are one class, shown by its smallest id; copies go no further.
-    2. Sets that share too little with all others together go (see _open_sets()); those that
+    2. Sets that share too little with all others together go (see _open_ids() and _open_sets()); those that
        stay keep the n-grams that others have, in one global order, the rarest first.
     3. Sets that share an n-gram of their prefixes are in one block, and so are all partners.
     4. A block's sets go to one task, or to several by hash. There they stand in a prefix tree
@@ -303,10 +306,11 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     member = materialize(some.select("doc_id", "digest", "salt").distinct().join(classes, ["digest", "salt"]).select("doc_id", "rep", "salt"), "members")
     own = member.where("doc_id = rep").select(F.col("doc_id").alias("_id")).distinct()
     reps = heads.where("n > 0").join(own, F.col("doc_id") == F.col("_id"), "left_semi")
-    kept = text.join(own, F.col("doc_id") == F.col("_id"), "left_semi")
+    wanted = _open_ids(reps)
     sizes = materialize(heads.select("doc_id", "n"), "sizes")
-    sets = _open_sets(kept, reps, percent, size)
     release(heads)
+    sets = _open_sets(text, wanted, percent, size)
+    release(wanted)
 
     blocks = _blocks(sets, percent)
     rows = sets.join(blocks, "doc_id")
