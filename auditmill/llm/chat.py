@@ -11,7 +11,7 @@ from .shared import let
 START, END = "<|im_start|>", "<|im_end|>"
 
 #: What texts may not say unescaped: these fixed forms of control strings, placeholders included.
-CONTROL = r"<(?=/?s>|<SYS>>|</SYS>>|\|[A-Za-z_]+\|>)|\[(?=/?INST\])"
+CONTROL = r"<(?=/?s>|<SYS>>|</SYS>>|\|[0-9A-Za-z_.-]+\|>)|\[(?=/?INST\])"
 
 #: Placeholder of each kind of attachment and how many tokens it expands to: a fixed number for
 #: each unit of the part's ``units`` (image tiles, audio seconds, document pages).
@@ -37,17 +37,19 @@ def text_part(text: Column) -> Column:
 def visit(parts: Column) -> Column:
     """A turn's parts as struct(text, attachments).
 
-    Text parts are escaped; every other known part becomes its placeholder and an attachment
-    (type, ref, expanded_tokens), in order. Null text is empty, null units count as one, and
+    Every known part but text becomes its placeholder and an attachment (type, ref,
+    expanded_tokens), in order. Texts between two placeholders are joined before they are escaped,
+    so no control string comes of two parts. Null text is empty, null units count as one, and
     parts of other types (or null parts) are left out.
     """
     kind = lambda p: p["type"]
+    state = lambda done, open_: F.struct(done.alias("done"), open_.alias("open"))
 
-    def shown(p: Column) -> Column:
-        out = F.when(kind(p) == "text", escape(F.coalesce(p["text"], F.lit(""))))
+    def shown(s: Column, p: Column) -> Column:
+        out = F.when(kind(p) == "text", state(s["done"], F.concat(s["open"], F.coalesce(p["text"], F.lit("")))))
         for name, (mark, _) in PLACEHOLDERS.items():
-            out = out.when(kind(p) == name, F.lit(mark))
-        return out.otherwise(F.lit(""))
+            out = out.when(kind(p) == name, state(F.concat(s["done"], escape(s["open"]), F.lit(mark)), F.lit("")))
+        return out.otherwise(s)
 
     def expanded(p: Column) -> Column:
         out = None
@@ -58,7 +60,8 @@ def visit(parts: Column) -> Column:
 
     held = F.filter(parts, lambda p: kind(p).isin(*PLACEHOLDERS))
     attachments = F.transform(held, lambda p: F.struct(kind(p).alias("type"), p["ref"].alias("ref"), expanded(p).alias("expanded_tokens")))
-    return F.struct(F.array_join(F.transform(parts, shown), "").alias("text"), attachments.alias("attachments"))
+    text = F.aggregate(parts, state(F.lit(""), F.lit("")), shown, lambda s: F.concat(s["done"], escape(s["open"])))
+    return F.struct(text.alias("text"), attachments.alias("attachments"))
 
 
 def format_chats(turns: DataFrame, learn: tuple[str, ...] = ("assistant",)) -> DataFrame:

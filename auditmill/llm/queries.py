@@ -234,7 +234,7 @@ WITH turns AS (
   UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
 ), sized AS (
   SELECT *, length(role) + length(text) + length(text) - length(replace(text, chr(92), ''))
-         + len(regexp_extract_all(text, '</?s>|<</?SYS>>|<\|[A-Za-z_]+\|>|\[/?INST\]')) + 24 AS chars
+         + len(regexp_extract_all(text, '</?s>|<</?SYS>>|<\|[0-9A-Za-z_.-]+\|>|\[/?INST\]')) + 24 AS chars
   FROM turns
 )
 SELECT conv_id, count(*)::BIGINT AS n_turns,
