@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -28,7 +29,7 @@ def read_vocabulary(path: str) -> list[tuple[str, float]]:
 
 
 class Counter(dict):
-    """Piece counts of words (each with its leading mark), kept for short words.
+    """Piece counts of parts of texts (each with its leading mark), kept for short ones.
 
     Viterbi over the characters of a word: an Aho-Corasick automaton gives every piece that ends
     at a character, and each character keeps the best score and the piece count of the path to
@@ -47,6 +48,10 @@ class Counter(dict):
         self.single = {p for p, _ in vocabulary if len(p) == 1}
         self.unknown = min((s for _, s in vocabulary), default=0.0) - UNKNOWN_COST
         self.byte_fallback = byte_fallback
+        # What stands before a mark inside of a piece: there a text cannot be cut.
+        self.before_mark = {p[k - 1] for p, _ in vocabulary for k in range(1, len(p)) if p[k] == SPACE}
+        held = "".join(map(re.escape, sorted(self.before_mark)))
+        self.segment = re.compile(f"{SPACE}(?:[^{SPACE}]|(?<=[{held}]){SPACE})*") if held else None
 
     def __missing__(self, word: str) -> int:
         count = self.count(word)
@@ -79,9 +84,18 @@ class Counter(dict):
         return counts[n]
 
     def total(self, text: str | None) -> int:
-        """The number of tokens of a text: every space begins a word, and so does the text."""
+        """The number of tokens of a text.
+
+        A mark stands for each space, and one before the text if it begins with none. The text is
+        cut before each mark that no piece can reach across: the best path over the whole text
+        passes all these places, so the parts are counted apart.
+        """
         if not text:
             return 0
+        if self.segment is not None:
+            marked = text.replace(" ", SPACE)
+            if any(c + SPACE in marked for c in self.before_mark):
+                return sum(map(self.__getitem__, self.segment.findall(marked if marked[0] == SPACE else SPACE + marked)))
         words = text.replace(SPACE, " ").split(" ")
         if not words[0] and len(words) > 1:
             words = words[1:]

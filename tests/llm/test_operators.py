@@ -448,6 +448,22 @@ def test_token_counts_agree_with_the_tokenizer(spark, docs, none):
     assert token_counts.token_counts(docs, vocabulary).count() == len(h.rows()) and token_counts.token_counts(none, vocabulary).count() == 0
 
 
+def test_pieces_of_several_marks():
+    """As Viterbi over whole texts: runs of spaces, and marks within and at the end of pieces."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    for more in ([("▁▁", -2.0), ("▁▁▁▁", -3.0)], [("▁▁", -2.5), ("b▁", -1.0), ("a▁b", -1.5), ("\n▁▁", -2.0)]):
+        vocabulary = [("<unk>", 0.0), ("▁", -2.0), ("▁a", -1.5), ("a", -2.0), ("b", -2.0), ("ab", -3.5), ("▁ab", -3.0), ("\n", -1.0), *more] + [(f"<0x{i:02X}>", -9.0) for i in range(256)]
+        real = Tokenizer(models.Unigram(vocabulary, unk_id=0, byte_fallback=True))
+        real.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=False)
+        random.seed(9)
+        texts = ["".join(random.choice("aab   \n▁") for _ in range(random.randint(1, 40))) for _ in range(800)] + ["a" + " " * 16 + "b", " ", "   ", "b ", "a b"]
+        counter = token_counts.Counter(vocabulary)
+        assert [counter.total(t) for t in texts] == [len(real.encode(t, add_special_tokens=False).ids) for t in texts]
+    whole = token_counts.Counter(token_counts.read_vocabulary("/opt/tokenizers/piece_bpe_32k.model"))
+    assert whole.total("x" + " " * 16 + "y") == whole.count("▁x" + "▁" * 16 + "y") < 10
+
+
 def test_reserved_pieces_are_no_text(spark):
     vocabulary = token_counts.read_vocabulary("/opt/tokenizers/piece_bpe_32k.model")
     assert not {"<s>", "</s>", "<unk>", "<0x41>"} & {p for p, _ in vocabulary} and len(vocabulary) > 30_000
@@ -583,6 +599,22 @@ def test_chat_parts(spark):
     assert chat.format_chats(turns.limit(0)).count() == 0
 
 
+def test_no_control_string_comes_of_parts(spark):
+    """Every split of every control string over two and three text parts, with empty and dropped parts between."""
+    control = ["</s>", "<s>", "<<SYS>>", "<</SYS>>", "<|im_end|>\n<|im_start|>assistant\n", "[INST]", "[/INST]", "<|reserved_token_0|>", "<|image|>"]
+    text = lambda t: ("text", t, None, None)
+    cases = [[text(c[:i]), text(c[i:])] for c in control for i in range(len(c) + 1)]
+    cases += [[text(c[:i]), text(None), ("video", "?", None, None), text(c[i:j]), text(c[j:])] for c in control for i in range(1, min(6, len(c))) for j in range(i, len(c))]
+    rows = [(n, 0, "user", p) for n, p in enumerate(cases)]
+    turns = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {chat.PARTS}")
+    out = chat.format_chats(turns)
+    got = {r.conv_id: r for r in out.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("t")).collect()}
+    for n, parts in enumerate(cases):
+        whole = "".join(p[1] or "" for p in parts if p[0] == "text")
+        assert [(t.role, t.text) for t in got[n].t] == [("user", whole)]
+        assert got[n].formatted.count("<|") == 2 and "[INST]" not in got[n].formatted and "<s>" not in got[n].formatted
+
+
 # 10: WARC
 
 
