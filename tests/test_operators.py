@@ -359,3 +359,37 @@ def test_ingest_from_manifest_to_summary(spark, tmp_path):
         total, _ = ingest.ingest(manifest, pages, folder, run, dimension=8)
     assert {str(r.file_id) for r in spark.read.parquet(f"{folder}/docs").select("file_id").distinct().collect()} == {"1", "3"}
     assert sorted(r.id for r in ingest.done_files(spark, folder).collect()) == ["1", "2", "3"]
+
+
+def test_a_hot_key_lies_in_many_slices(spark, monkeypatch):
+    """One key has most of the rows: it is dealt over the slices, and numbers, sections and gaps are those of one sort."""
+    import random
+
+    rng = random.Random(4)
+    rows = [("hot" if rng.random() < 0.7 else rng.choice(["a", "b", None]), rng.randrange(3000), i) for i in range(4000)]
+    frame = spark.createDataFrame(rows, "file_id string, page int, ord long")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        held = layout._slices(frame, ["file_id"], ["page", "ord"])
+        sizes = [r["count"] for r in held.where("file_id = 'hot'").groupBy("_slice").count().collect()]
+        assert len(sizes) >= 8 and max(sizes) <= 4000 / 16 * 3
+        got = {r.ord: r.n for r in layout.numbered(frame, ["file_id"], ["page", "ord"], "n").collect()}
+        for key in ("hot", "a", "b", None):
+            own = sorted((p, o) for k, p, o in rows if k == key)
+            assert [got[o] for _, o in own] == list(range(len(own)))
+        entries = frame.where("ord % 50 = 0").select("file_id", F.col("page").alias("start"), "ord", F.concat(F.lit("T"), "ord").alias("title"))
+        found = {r.ord: r.section for r in layout.section_asof(frame, entries).collect()}
+        for key, page, n in rows:
+            before = [(p, o) for k, p, o in rows if k == key and o % 50 == 0 and p <= page]
+            assert found[n] == (f"T{max(before)[1]}" if before else None)
+        spans = frame.where("file_id IS NOT NULL").select("file_id", (F.col("page") * 3).alias("top"), (F.col("page") * 3 + F.col("ord") % 5).alias("bottom"))
+        gaps = sorted(tuple(r) for r in layout.interval_complement(spans, ["file_id"], F.lit(0), F.lit(9100), spans.select("file_id").distinct()).collect())
+        want = []
+        for key in ("a", "b", "hot"):
+            at = 0
+            for top, bottom in [*sorted((p * 3, p * 3 + o % 5) for k, p, o in rows if k == key), (9100, 9100)]:
+                want += [(key, at, top)] if top > at else []
+                at = max(at, bottom)
+        assert gaps == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
