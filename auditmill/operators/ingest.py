@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from auditmill.functions import json_text, text
 from auditmill.operators import layout, scoring
-from auditmill.sources.files import pages_to_blocks, write_docs
+from auditmill.sources.files import pages_to_blocks, pages_to_tables, write_docs
 from auditmill.sources.scratch import exists, stored
 
 
@@ -26,26 +26,45 @@ def summary(chunks: DataFrame) -> DataFrame:
     return chunks.rollup("file_id").agg(F.count_if(F.col("error").isNull()).alias("inserted"), F.count_if(F.col("error").isNotNull()).alias("failed"))
 
 
+def table_chunks(pages: DataFrame, blocks: DataFrame, rows: int = 8) -> DataFrame:
+    """page_id, table_index, chunk_index, section and chunk (a JSON array of row objects) of the tables of pages.
+
+    Records keep their table's column names and go into batches of ``rows`` for each table; the
+    section is the last heading before the table. List items are one more table of their page,
+    number -1, with the only column ``text``.
+    """
+    records = pages_to_tables(pages).withColumn("_where", F.struct("page_id", "table"))
+    batched = layout.row_batches(records, "_where", ["row"], rows)
+    held = batched.groupBy("page_id", "table", "headings", F.col("batch").alias("chunk_index")).agg(F.array_sort(F.collect_list(F.struct("place", "record"))).alias("r"))
+    held = held.select("page_id", F.col("headings").alias("page"), F.col("table").alias("table_index"), "chunk_index", F.concat(F.lit("["), F.array_join(F.transform("r", lambda x: x["record"]), ", "), F.lit("]")).alias("chunk"))
+    heads = blocks.where("kind = 'heading'").select("page_id", F.col("pos").alias("ord"), F.col("text").alias("title"))
+    starts = layout.numbered(heads, ["page_id"], ["ord"], "start").withColumn("start", F.col("start") + 1)
+    tables = layout.section_asof(held, starts, "page_id").drop("page")
+    batches = layout.row_batches(blocks.where("kind = 'row' AND tag = 'li'"), "page_id", ["pos"], rows)
+    items = batches.groupBy("page_id", F.col("batch").alias("chunk_index")).agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("r"))
+    items = items.select("page_id", F.lit(-1).alias("table_index"), "chunk_index", F.to_json(F.transform("r", lambda x: F.struct(x["text"].alias("text")))).alias("chunk"))
+    return tables.unionByName(items, allowMissingColumns=True).select("page_id", "table_index", "chunk_index", "section", "chunk")
+
+
 def ingest_pages(pages: DataFrame, dimension: int = 64, size: int = 2000, overlap: int = 200, rows: int = 8, anchor: str | None = None) -> DataFrame:
-    """Chunks of pages (page_id, html): file_id, content_type, chunk_index, section, chunk, questions, vectors, error.
+    """Chunks of pages (page_id, html): file_id, content_type, table_index, chunk_index, section, chunk, questions, vectors, error.
 
-    Text blocks of a page are joined and split into numbered sections and pieces; its rows go
-    into batches as JSON. Chunks are numbered over the whole page, text and table rows apart.
-    A chunk without questions has an error and no vectors; the others are not held up by it. With
-    an anchor, what comes before its second occurrence in a page's text is cut first.
+    Text blocks of a page outside of its tables are joined and split into numbered sections and
+    pieces, which are numbered over the whole page. Tables give the table_chunks(). A chunk is
+    named by file, content type, table (-1 for texts and list items) and chunk_index. One without
+    questions has an error and no vectors; the others are not held up by it. With an anchor, what
+    comes before its second occurrence in a page's text is cut first.
     """
-    blocks = pages_to_blocks(pages)
-    texts = layout.assemble(blocks.where("kind <> 'row'"), "page_id", ["pos"])
+    blocks = stored(pages_to_blocks(pages), "blocks")
+    texts = layout.assemble(blocks.where("kind IN ('text', 'heading')"), "page_id", ["pos"])
     if anchor:
         texts = texts.withColumn("text", text.strip_front_matter(F.col("text"), anchor))
     sections = texts.select("page_id", F.posexplode(text.split_sections(F.col("text"))).alias("section_pos", "s"))
     pieces = sections.select("page_id", "section_pos", F.col("s.title").alias("section"), F.posexplode(text.chunk_recursive(size, overlap)(F.col("s.text"))).alias("sub_pos", "chunk"))
-    pieces = layout.chunk_ordinals(pieces, "page_id", ["section_pos", "sub_pos"]).select("page_id", F.lit("text").alias("content_type"), "chunk_index", "section", "chunk")
-    batches = layout.row_batches(blocks.where("kind = 'row'"), "page_id", ["pos"], rows)
-    tables = batches.groupBy("page_id", F.col("batch").alias("chunk_index")).agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("r"))
-    tables = tables.select("page_id", F.lit("table").alias("content_type"), "chunk_index", F.to_json(F.transform("r", lambda x: F.struct(x["text"].alias("text")))).alias("chunk"))
-    chunks = pieces.unionByName(tables, allowMissingColumns=True).withColumn("q", scoring.chunk_questions(F.col("chunk")))
-    key = ["page_id", "content_type", "chunk_index"]
+    pieces = layout.chunk_ordinals(pieces, "page_id", ["section_pos", "sub_pos"]).select("page_id", F.lit("text").alias("content_type"), F.lit(-1).alias("table_index"), "chunk_index", "section", "chunk")
+    tables = table_chunks(pages, blocks, rows).withColumn("content_type", F.lit("table"))
+    chunks = pieces.unionByName(tables).withColumn("q", scoring.chunk_questions(F.col("chunk")))
+    key = ["page_id", "content_type", "table_index", "chunk_index"]
     vectors = scoring.embed_three(chunks.where("q.fact IS NOT NULL"), key, dimension)
     error = F.when(F.col("q.fact").isNull(), "no question")
     return chunks.join(vectors, key, "left").select(F.col("page_id").cast("string").alias("file_id"), *key[1:], "section", "chunk", "q", "fact", "procedure", "constraint", error.alias("error"))
@@ -74,13 +93,13 @@ def ingest(manifest: DataFrame, pages: DataFrame, folder: str, run: str, anchor:
     own = pages.join(found.select(F.col("id").cast("long").alias("page_id")), "page_id", "left_semi")
     made = ingest_pages(own, anchor=anchor, **options)
     base = F.create_map(*[x for c in manifest.columns for x in (F.lit(c), F.col(f"m.{c}").cast("string"))])
-    place = {"section": F.col("section"), "content_type": F.col("content_type"), "chunk_index": F.col("chunk_index").cast("string")}
+    place = {"section": F.col("section"), "content_type": F.col("content_type"), "table_index": F.when(F.col("table_index") >= 0, F.col("table_index").cast("string")), "chunk_index": F.col("chunk_index").cast("string")}
     over = F.map_filter(F.create_map(*[x for k, v in place.items() for x in (F.lit(k), v)]), lambda _, v: v.isNotNull())
     chunks = made.join(found.select(F.col("id").alias("file_id"), F.struct(*manifest.columns).alias("m")), "file_id")
     chunks = stored(chunks.withColumn("metadata", F.to_json(json_text.merge_metadata(base, over))).drop("m"), "chunks")
     by_run = lambda df, name: df.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(f"{folder}/{name}")
     write_docs(chunks.where("error IS NULL").drop("error"), f"{folder}/docs")
-    by_run(chunks.where("error IS NOT NULL").select("file_id", "content_type", "chunk_index", "chunk", "error"), "errors")
+    by_run(chunks.where("error IS NOT NULL").select("file_id", "content_type", "table_index", "chunk_index", "chunk", "error"), "errors")
     # A file without a chunk is ingested too.
     empty = found.select(F.col("id").alias("file_id")).join(chunks.select("file_id").distinct(), "file_id", "left_anti").select("file_id", F.lit(0).cast("long").alias("inserted"), F.lit(0).cast("long").alias("failed"))
     counted = summary(chunks)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditmill.functions import json_text, text
@@ -24,6 +24,12 @@ def doc_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select(F.col("source").alias("file_id"), "doc_id", F.posexplode(text.chunk_fixed(F.col("text"))).alias("n", "chunk"))
 
 
+#: The records of table_pages().
+SQL_RECORDS = """records AS (
+  SELECT visit, pos, date, '{"group": "' || segment || '", "code": "' || code || '", "Unnamed: 2": "' || name || '", "code.1": "' || CASE WHEN first_time THEN 'new' ELSE '' END || '"}' AS record
+  FROM visit_lines JOIN visit_heads USING (visit))"""
+
+
 def sources(spark: SparkSession, sf: str, below: int | None = None) -> DataFrame:
     """All sources, or those with numbers under ``below``, as (id)."""
     docs = views.table(spark, sf, "documents")
@@ -252,7 +258,31 @@ def embed_three_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 def ingest_corpus(spark: SparkSession, sf: str) -> DataFrame:
     chunks = ingest.ingest_pages(views.table(spark, sf, "pages"))
-    return chunks.select("file_id", "content_type", "chunk_index", F.md5("chunk").alias("chunk_md5"), F.size("fact").alias("dimension"), "error")
+    return chunks.select("file_id", "content_type", "table_index", "chunk_index", F.md5("chunk").alias("chunk_md5"), F.size("fact").alias("dimension"), "error")
+
+
+def table_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """A page for each visit with lines: a heading, a table of its lines under another one, text after it; the patient's cell spans all rows, one column has no name, and two have the same."""
+    heads, lines = views.visit_heads(spark, sf), views.visit_lines(spark, sf)
+    cell = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
+    first = F.when(F.col("pos") == 1, F.concat(F.lit('<td rowspan="'), F.count("*").over(Window.partitionBy("visit")).cast("string"), F.lit('"><p>'), "segment", F.lit("</p></td>"))).otherwise("")
+    row = F.concat(F.lit("<tr>"), first, cell(F.col("code")), cell(F.concat(F.lit("<b>"), "name", F.lit("</b>"))), F.when(F.col("first_time"), cell(F.lit("new"))).otherwise(""), F.lit("</tr>"))
+    rows = lines.join(heads.select("visit", "segment"), "visit").select("visit", "pos", row.alias("t"))
+    body = rows.groupBy("visit").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]), "\n").alias("rows"))
+    top = F.concat(F.lit("<h1>Visit</h1><p>"), "service", F.lit("</p><h2>Lines of "), "date", F.lit("</h2><table><tr><th>group</th><th>code</th><th></th><th>code</th></tr>"))
+    return heads.join(body, "visit").select(F.col("visit").alias("page_id"), F.concat(top, "rows", F.lit("</table><h2>End</h2><p>after</p>")).alias("html"))
+
+
+def pages_to_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """The records of each page's table, by column names."""
+    return files.pages_to_tables(table_pages(spark, sf)).select("page_id", "table", "headings", "row", F.md5("record").alias("record_md5"))
+
+
+def table_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Batches of a table's records under their section."""
+    pages = table_pages(spark, sf)
+    chunks = ingest.table_chunks(pages, files.pages_to_blocks(pages))
+    return chunks.select("page_id", "table_index", "chunk_index", "section", F.md5("chunk").alias("chunk_md5"))
 
 
 def ingest_job(spark: SparkSession, sf: str) -> DataFrame:
@@ -389,6 +419,15 @@ QUERIES = {
     ),
     "embed_three": (embed_three, 'SELECT doc_id, 64 AS fact, 64 AS procedure, 64 AS "constraint" FROM documents WHERE length(text) > 0'),
     "embed_three_chunks": (embed_three_chunks, with_views('SELECT doc_id, n::INTEGER AS n, 64 AS fact, 64 AS procedure, 64 AS "constraint" FROM chunks', SQL_CHUNKS)),
+    "pages_to_tables": (pages_to_tables, with_views("SELECT visit AS page_id, 0 AS \"table\", 2 AS headings, (pos - 1)::INTEGER AS row, md5(record) AS record_md5 FROM records", SQL_HEADS, SQL_LINES, SQL_RECORDS)),
+    "table_chunks": (
+        table_chunks,
+        with_views(
+            """SELECT visit AS page_id, 0 AS table_index, ((pos - 1) // 8)::INTEGER AS chunk_index, 'Lines of ' || date AS section, md5('[' || string_agg(record, ', ' ORDER BY pos) || ']') AS chunk_md5
+            FROM records GROUP BY ALL""",
+            SQL_HEADS, SQL_LINES, SQL_RECORDS,
+        ),
+    ),
     "ingest_corpus": (ingest_corpus, None),
     "ingest_job": (ingest_job, None),
     "incremental_audit": (

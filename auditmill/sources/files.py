@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import unquote
@@ -68,7 +69,7 @@ def write_results(results: DataFrame, path: str) -> None:
 
 
 class _Blocks(HTMLParser):
-    """Text blocks of a page: (kind, tag, text). Rows and list items are table rows, headings are contents."""
+    """Text blocks of a page: (kind, tag, text). Rows and list items are table rows, headings are contents, other blocks within a table are cells."""
 
     HIDDEN = frozenset({"script", "style", "title", "noscript", "template"})
     BLOCK = frozenset({"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "tr", "td", "th", "ul", "ol", "table", "article", "section", "nav", "body", "br"})
@@ -76,12 +77,12 @@ class _Blocks(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.found: list[tuple[str, str, str]] = []
-        self.tag, self.text, self.hidden = "body", [], 0
+        self.tag, self.text, self.hidden, self.depth = "body", [], 0, 0
 
     def close_block(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            kind = "heading" if len(self.tag) == 2 and self.tag[0] == "h" and self.tag[1].isdigit() else "row" if self.tag in ("li", "tr") else "text"
+            kind = "cell" if self.depth and self.tag != "tr" else "heading" if len(self.tag) == 2 and self.tag[0] == "h" and self.tag[1].isdigit() else "row" if self.tag in ("li", "tr") else "text"
             self.found.append((kind, self.tag, text))
         self.text = []
 
@@ -93,6 +94,7 @@ class _Blocks(HTMLParser):
         elif tag in self.BLOCK:
             self.close_block()
             self.tag = self.tag if tag == "br" else tag
+            self.depth += tag == "table"
 
     def handle_endtag(self, tag: str) -> None:
         if tag in self.HIDDEN:
@@ -100,6 +102,7 @@ class _Blocks(HTMLParser):
         elif tag in self.BLOCK and tag not in ("td", "th"):
             self.close_block()
             self.tag = "body"
+            self.depth = max(0, self.depth - (tag == "table"))
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:
@@ -123,3 +126,119 @@ def pages_to_blocks(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["page_id", "pos", "kind", "tag", "text"])
 
     return pages.select("page_id", "html").mapInPandas(run, "page_id long, pos int, kind string, tag string, text string")
+
+
+class _Tables(HTMLParser):
+    """The tables of a page: how many headings stand before each, and its rows of cells (text, rowspan, colspan).
+
+    A table within a cell is a table of its own, and its text is not the cell's.
+    """
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.found: list[tuple[int, list[list[list]]]] = []
+        self.open: list[list[list[list]]] = []
+        self.cells: list[list | None] = []
+        self.headings, self.hidden = 0, 0
+
+    @staticmethod
+    def _span(attrs: list, name: str) -> int:
+        value = dict(attrs).get(name) or ""
+        return min(1000, max(1, int(value))) if value.isdigit() else 1
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        self.hidden += tag in _Blocks.HIDDEN
+        if tag == "table":
+            rows: list[list[list]] = []
+            self.found.append((self.headings, rows))
+            self.open.append(rows)
+            self.cells.append(None)
+        elif len(tag) == 2 and tag[0] == "h" and tag[1].isdigit() and not self.open:
+            self.headings += 1
+        elif self.open and tag == "tr":
+            self.open[-1].append([])
+            self.cells[-1] = None
+        elif self.open and tag in ("td", "th"):
+            if not self.open[-1]:
+                self.open[-1].append([])
+            self.cells[-1] = ["", self._span(attrs, "rowspan"), self._span(attrs, "colspan")]
+            self.open[-1][-1].append(self.cells[-1])
+        elif self.open and self.cells[-1] and tag in _Blocks.BLOCK:
+            self.cells[-1][0] += " "
+
+    def handle_endtag(self, tag: str) -> None:
+        self.hidden = max(0, self.hidden - (tag in _Blocks.HIDDEN))
+        if self.open and tag == "table":
+            self.open.pop()
+            self.cells.pop()
+        elif self.open and tag in ("td", "th", "tr"):
+            self.cells[-1] = None
+
+    def handle_data(self, data: str) -> None:
+        if self.open and self.cells[-1] and not self.hidden:
+            self.cells[-1][0] += data
+
+
+def _grid(rows: list[list[list]]) -> list[list[str]]:
+    """Rows of texts: a cell that spans rows or columns fills all its places."""
+    out: list[list[str]] = []
+    below: dict[int, tuple[str, int]] = {}  # column: text and how many more rows it fills
+    for row in rows:
+        line: list[str] = []
+        left = {c: (t, n) for c, (t, n) in below.items() if n}
+        below = {c: (t, n - 1) for c, (t, n) in left.items()}
+
+        def fill() -> None:
+            while len(line) in left:  # noqa: B023
+                line.append(left.pop(len(line))[0])  # noqa: B023
+
+        for text, down, across in row:
+            clean = " ".join(text.split())
+            fill()
+            for _ in range(across):
+                if down > 1:
+                    below[len(line)] = (clean, down - 1)
+                line.append(clean)
+        fill()
+        for column in sorted(left):
+            line += [""] * (column - len(line)) + [left[column][0]]
+        out.append(line)
+    return out
+
+
+def tables_of(html: str | None) -> list[tuple[int, int, list[dict[str, str]]]]:
+    """(table, headings before it, records) of a page's tables, by number from 0.
+
+    A table's first row names its columns: a blank name becomes ``Unnamed: n`` by its place, a name that
+    was there before gets .1, .2 and so on. Each further row is a record by these names; cells that
+    a row lacks are empty. Tables without a further row have no records.
+    """
+    parser = _Tables()
+    parser.feed(html or "")
+    parser.close()
+    out = []
+    for number, (headings, rows) in enumerate(parser.found):
+        grid = [line for line in _grid(rows) if line]
+        width = max(map(len, grid), default=0)
+        names: list[str] = []
+        for n, name in enumerate((grid[0] + [""] * width)[:width] if grid else []):
+            base, k = name or f"Unnamed: {n}", 0
+            while (f"{base}.{k}" if k else base) in names:
+                k += 1
+            names.append(f"{base}.{k}" if k else base)
+        out.append((number, headings, [dict(zip(names, line + [""] * (width - len(line)), strict=True)) for line in grid[1:]]))
+    return out
+
+
+def pages_to_tables(pages: DataFrame) -> DataFrame:
+    """page_id, table, headings, row (from 0) and record (a JSON object) of each row of each table of pages (page_id, html); see tables_of()."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [
+                (i, number, headings, n, json.dumps(record, ensure_ascii=False))
+                for i, html in zip(batch["page_id"], batch["html"], strict=True) for number, headings, records in tables_of(html) for n, record in enumerate(records)
+            ]
+            yield pd.DataFrame(rows, columns=["page_id", "table", "headings", "row", "record"])
+
+    return pages.select("page_id", "html").mapInPandas(run, "page_id long, table int, headings int, row int, record string")

@@ -393,3 +393,27 @@ def test_a_hot_key_lies_in_many_slices(spark, monkeypatch):
         assert gaps == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_tables_of_a_page():
+    html = """<h1>A</h1><p>x</p><table><tr><th>k</th><th colspan=2>v</th><th></th></tr><tr><td rowspan="2">1<td>a<td><p>b</p><ul><li>c</li></ul></td></tr><tr><td>d</td></tr></table>
+      <h2>B</h2><table><tr><td>only</td></tr></table><table></table><div><table><thead><tr><th>o</th></tr></thead><tbody><tr><td>out<table><tr><td>in</td></tr><tr><td>7</td></tr></table></td><td>more</td></tr></tbody></table></div>"""
+    assert files.tables_of(html) == [
+        (0, 1, [{"k": "1", "v": "a", "v.1": "b c", "Unnamed: 3": ""}, {"k": "1", "v": "d", "v.1": "", "Unnamed: 3": ""}]),
+        (1, 2, []), (2, 2, []), (3, 2, [{"o": "out", "Unnamed: 1": "more"}]), (4, 2, [{"in": "7"}]),
+    ]
+    assert files.tables_of(None) == [] and files.tables_of('<table><tr><td rowspan="x">a</table><td>') == [(0, 0, [])]
+    assert [b for b in files.blocks_of(html) if b[0] in ("text", "heading")] == [("heading", "h1", "A"), ("text", "p", "x"), ("heading", "h2", "B")]
+
+
+def test_tables_are_chunks_with_their_columns_and_section(spark):
+    row = "".join(f"<tr><td>{i}</td><td><p>name {i}.</p></td></tr>" for i in range(10))
+    page = f"<h1>1.1 Title</h1><p>Before.</p><h2>Doses</h2><table><tr><th>n</th><th>name</th></tr>{row}</table><h2>End</h2><p>After.</p><ul><li>item</li></ul>"
+    chunks = ingest.ingest_pages(spark.createDataFrame([(1, page), (2, "<table><tr><td>a</td></tr><tr><td>b</td></tr></table>")], "page_id long, html string"), dimension=8).collect()
+    got = {(r.file_id, r.content_type, r.table_index, r.chunk_index): (r.section, r.chunk) for r in chunks}
+    assert len(got) == len(chunks)
+    record = lambda i: '{"n": "%d", "name": "name %d."}' % (i, i)
+    assert got == {
+        ("1", "text", -1, 0): ("1.1 Title", "1.1 Title\nBefore.\nDoses\nEnd\nAfter."), ("1", "table", -1, 0): (None, '[{"text":"item"}]'), ("2", "table", 0, 0): (None, '[{"a": "b"}]'),
+        ("1", "table", 0, 0): ("Doses", "[" + ", ".join(map(record, range(8))) + "]"), ("1", "table", 0, 1): ("Doses", "[" + ", ".join(map(record, (8, 9))) + "]"),
+    }
