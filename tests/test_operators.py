@@ -417,3 +417,77 @@ def test_tables_are_chunks_with_their_columns_and_section(spark):
         ("1", "text", -1, 0): ("1.1 Title", "1.1 Title\nBefore.\nDoses\nEnd\nAfter."), ("1", "table", -1, 0): (None, '[{"text":"item"}]'), ("2", "table", 0, 0): (None, '[{"a": "b"}]'),
         ("1", "table", 0, 0): ("Doses", "[" + ", ".join(map(record, range(8))) + "]"), ("1", "table", 0, 1): ("Doses", "[" + ", ".join(map(record, (8, 9))) + "]"),
     }
+
+
+def test_a_second_audit_scores_nothing(spark, tmp_path):
+    """Two visits of one diagnosis are judged each by its own record; answers are kept by content, failures are not."""
+    visits = nested(
+        spark,
+        [(n, f"G{n}", "2024-01-01", {"Имя": f"P{n}"}, [("Первичный приём",)], [("A01", "cough", None, True)] * (1 + n % 2), [("Жалобы", "cough")]) for n in range(6)]
+        + [(9, "G9", "2024-01-01", {"Имя": "P1"}, [("Первичный приём",)], [("A01", "cough", None, True)] * 2, [("Жалобы", "cough")])],
+    )
+    manifest = spark.createDataFrame([("g1", "acute", "A01", 1)], "id string, name string, codes string, pos int")
+    docs = spark.createDataFrame([(1, "g1", "Cough", '{"section":"Жалобы"}', [1.0, 0.0])], "doc_id long, file_id string, chunk string, metadata string, fact_vec array<double>")
+    embed = lambda cases: cases.withColumn("embedding", F.array(F.lit(1.0), F.lit(0.5)))
+    listed = rules.default_rules(spark, rules.DEFAULT_RULES + rules.MORE_RULES)
+    log, store = str(tmp_path / "asked"), str(tmp_path / "answers")
+
+    def counting(kind, answer, broken=""):
+        def make():
+            def score(texts):
+                with open(log, "a") as f:
+                    f.writelines(f"{kind}\n" for t in texts)
+                if broken and any(broken in t for t in texts):
+                    raise RuntimeError("down")
+                return [(answer(t), "stop") for t in texts]
+
+            return score
+
+        return make
+
+    def run(broken=""):
+        open(log, "w").close()
+        checker = counting("check", lambda t: '[{"issue":"%s"}]' % next(x for x in t.split("\n") if x.startswith("Имя")), broken)
+        judge = counting("rules", lambda t: '```json\n[{"flag":"OTHER","issue":"o"},{"flag":"NOT_SUPPORTED","issue":"%s"}]\n```' % ("P1" in t))
+        audited = audit.audit_visits(visits, manifest, spark.createDataFrame([], "guid string"), listed=listed, docs=docs, embed=embed, make_checker=checker, make_rule_checker=judge, answers=store)
+        found = {r.visit: r for r in audited.collect()}
+        with open(log) as f:
+            asked = f.read().split()
+        return found, asked.count("check"), asked.count("rules")
+
+    found, _, rules_made = run("P5")
+    assert found[5].errors and all(e.endswith("RuntimeError: down") for e in found[5].errors) and not found[4].errors
+    assert rules_made == 6  # one visit is another's copy but for its number
+    found, again, rules_again = run()
+    assert again == 3 and rules_again == 0 and not found[5].errors
+    found, again, rules_again = run()
+    assert (again, rules_again) == (0, 0)
+    for n, r in found.items():
+        assert [[i.issue for i in x.anamnesis] for x in r.results] == [[f"Имя: P{1 if n == 9 else n}"]] * len(r.results)
+        said = [tuple(f) for f in r.findings if f.flag in ("OTHER", "NOT_SUPPORTED")]
+        assert said == [("NOT_SUPPORTED", str(n in (1, 9))), ("OTHER", "o")]
+
+
+def test_choice_from_lists_with_run_offs(spark):
+    rows = [("a", "X1", "long", f"g{i:02}", f"name {i}", i) for i in range(45)] + [("b", "X2", None, "h1", "other\tname", 1), ("c", "X3", "none", "h1", "x", 1), ("d", "X4", "odd", "h1", "x", 1)]
+    frame = spark.createDataFrame(rows, "dx string, code string, name string, id string, guideline string, pos int")
+    asked = []
+
+    def make():
+        def score(texts):
+            out = []
+            for t in texts:
+                head, offered = t.split("\n## Guidelines\n")
+                ids = [line.split("\t")[0] for line in offered.split("\n")]
+                assert len(ids) <= 4
+                out.append((' "' + max(ids) + '"\n' if "none" != head.split("\n")[-1] and "odd" not in head else "zzz" if "odd" in head else "none", "stop"))
+            return out
+
+        return score
+
+    got = {r.dx: (r.id, r.guideline) for r in codes.listwise(make, 4)(frame, "dx").collect()}
+    assert got == {"a": ("g44", "name 44"), "b": ("h1", "other\tname")} and not asked
+    manifest = frame.where("dx <> 'a'").select("id", F.col("guideline").alias("name"), F.col("code").alias("codes"), "pos").unionByName(frame.where("dx <> 'a'").select(F.concat("id", F.lit("b")).alias("id"), F.lit("y").alias("name"), F.col("code").alias("codes"), "pos"))
+    wanted = spark.createDataFrame([("b", "X2", None), ("c", "X3", "none"), ("d", "X4", "odd"), ("e", "X4.1", "odd")], "dx string, code string, name string")
+    tiers = {r.dx: (r.guideline_id, r.tier) for r in codes.resolve(wanted, manifest, "dx", scorer=codes.listwise(make, 4)).collect()}
+    assert tiers == {"b": ("h1b", "exact_scored"), "c": (None, "exact_scored"), "d": (None, "exact_scored"), "e": (None, "prefix_scored")}
