@@ -50,7 +50,10 @@ def scan_docs_no_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def point_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    return views.table(spark, sf, "documents").where("doc_id = 77").select("doc_id", "source", "text")
+    """One document by its id, from documents that are landed for lookups by it."""
+    path = scratch_path(spark, "lookup")
+    files.land_for_lookups(views.table(spark, sf, "documents"), path, "doc_id")
+    return spark.read.parquet(path).where("doc_id = 77").select("doc_id", "source", "text")
 
 
 def pages_to_blocks(spark: SparkSession, sf: str) -> DataFrame:
@@ -243,19 +246,15 @@ def chunk_questions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def embed_three(spark: SparkSession, sf: str) -> DataFrame:
-    """The first chunk of each document, as the SQL lists it; embed_three_chunks takes all chunks."""
-    chunks = doc_chunks(spark, sf).where("n = 0").select("doc_id", scoring.chunk_questions(F.col("chunk")).alias("q"))
-    made = scoring.embed_three(chunks, ["doc_id"], 64)
-    return made.select("doc_id", *[F.size(k).alias(k) for k in ("fact", "procedure", "constraint")])
-
-
-def embed_three_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Three vectors of every chunk."""
     chunks = doc_chunks(spark, sf).select("doc_id", "n", scoring.chunk_questions(F.col("chunk")).alias("q"))
     made = scoring.embed_three(chunks, ["doc_id", "n"], 64)
     return made.select("doc_id", "n", *[F.size(k).alias(k) for k in ("fact", "procedure", "constraint")])
 
 
+embed_three_chunks = embed_three
+
+
 def ingest_corpus(spark: SparkSession, sf: str) -> DataFrame:
     chunks = ingest.ingest_pages(views.table(spark, sf, "pages"))
     return chunks.select("file_id", "content_type", "table_index", "chunk_index", F.md5("chunk").alias("chunk_md5"), F.size("fact").alias("dimension"), "error")
@@ -417,7 +416,7 @@ QUERIES = {
             SQL_CHUNKS,
         ),
     ),
-    "embed_three": (embed_three, 'SELECT doc_id, 64 AS fact, 64 AS procedure, 64 AS "constraint" FROM documents WHERE length(text) > 0'),
+    "embed_three": (embed_three, with_views('SELECT doc_id, n::INTEGER AS n, 64 AS fact, 64 AS procedure, 64 AS "constraint" FROM chunks', SQL_CHUNKS)),
     "embed_three_chunks": (embed_three_chunks, with_views('SELECT doc_id, n::INTEGER AS n, 64 AS fact, 64 AS procedure, 64 AS "constraint" FROM chunks', SQL_CHUNKS)),
     "pages_to_tables": (pages_to_tables, with_views("SELECT visit AS page_id, 0 AS \"table\", 2 AS headings, (pos - 1)::INTEGER AS row, md5(record) AS record_md5 FROM records", SQL_HEADS, SQL_LINES, SQL_RECORDS)),
     "table_chunks": (

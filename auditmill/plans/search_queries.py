@@ -163,15 +163,9 @@ def tokenize(spark: SparkSession, sf: str) -> DataFrame:
 def lookup_in_order(spark: SparkSession, sf: str) -> DataFrame:
     """The found rows of each query's ids, in the order asked; repeated ids repeat, missing ones drop.
 
-    Ten lists of ids up to 1008, as the SQL has them; lookup_in_order_blocks asks over all ids.
+    Each block of 100 ids asks for two ids per label, so lists stay short, grow in number with the
+    input and ask over all ids.
     """
-    asked = views.table(spark, sf, "labels").groupBy((F.col("doc_id") % 10).alias("ask")).agg(F.array_sort(F.collect_list(F.col("doc_id") * 2 % 1009)).alias("ids"))
-    rows = asked.select("ask", F.posexplode("ids").alias("pos", "doc_id"))
-    return rows.join(views.table(spark, sf, "documents").select("doc_id", F.col("source").alias("file_id")), "doc_id").select("ask", "pos", "doc_id", "file_id")
-
-
-def lookup_in_order_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    """As lookup_in_order, over all ids: each block of 100 ids asks for two ids per label, so lists stay short and grow in number."""
     labels = views.table(spark, sf, "labels").select(F.floor(F.col("doc_id") / 100).alias("ask"), "doc_id")
     wanted = F.explode(F.array(F.struct(F.lit(0).alias("k"), (F.col("doc_id") + F.col("doc_id") * 37 % 101).alias("id")), F.struct(F.lit(1).alias("k"), (F.col("doc_id") * 2).alias("id"))))
     each = labels.select("ask", "doc_id", wanted.alias("w"))
@@ -180,6 +174,14 @@ def lookup_in_order_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return rows.join(views.table(spark, sf, "documents").select("doc_id", F.col("source").alias("file_id")), "doc_id").select("ask", "pos", "doc_id", "file_id")
 
 
+lookup_in_order_blocks = lookup_in_order
+
+
+LOOKUP_SQL = """
+WITH w AS (SELECT doc_id // 100 AS ask, doc_id AS by_id, 0 AS k, doc_id + doc_id * 37 % 101 AS id FROM labels UNION ALL SELECT doc_id // 100, doc_id, 1, doc_id * 2 FROM labels),
+r AS (SELECT ask, (row_number() OVER (PARTITION BY ask ORDER BY by_id, k, id) - 1)::INTEGER AS pos, id AS doc_id FROM w)
+SELECT ask, pos, doc_id, source AS file_id FROM r JOIN documents USING (doc_id)"""
+
 _NEAR60 = with_views("SELECT query_id, doc_id, distance, vector_rank FROM near", SQL_DOCS, SQL_QUERIES, near_sql(60))
 
 QUERIES = {
@@ -222,16 +224,6 @@ QUERIES = {
     "hybrid_search_file": (hybrid_search_file, _sql(24, RESULT.format(k=4), where="d.file_id = q.file_id")),
     "hybrid_search_section": (hybrid_search_section, _sql(24, RESULT.format(k=4), where="d.file_id = q.file_id AND section LIKE '%e%'")),
     "tokenize": (tokenize, rf"SELECT doc_id, len(t) AS tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, {TOKENS.format('text')} AS t FROM documents)"),
-    "lookup_in_order": (
-        lookup_in_order,
-        """WITH a AS (SELECT doc_id % 10 AS ask, list_sort(list(doc_id * 2 % 1009)) AS ids FROM labels GROUP BY 1),
-        r AS (SELECT ask, unnest(ids) AS doc_id, generate_subscripts(ids, 1) - 1 AS pos FROM a)
-        SELECT ask, pos::INTEGER AS pos, doc_id, source AS file_id FROM r JOIN documents USING (doc_id)""",
-    ),
-    "lookup_in_order_blocks": (
-        lookup_in_order_blocks,
-        """WITH w AS (SELECT doc_id // 100 AS ask, doc_id AS by_id, 0 AS k, doc_id + doc_id * 37 % 101 AS id FROM labels UNION ALL SELECT doc_id // 100, doc_id, 1, doc_id * 2 FROM labels),
-        r AS (SELECT ask, (row_number() OVER (PARTITION BY ask ORDER BY by_id, k, id) - 1)::INTEGER AS pos, id AS doc_id FROM w)
-        SELECT ask, pos, doc_id, source AS file_id FROM r JOIN documents USING (doc_id)""",
-    ),
+    "lookup_in_order": (lookup_in_order, LOOKUP_SQL),
+    "lookup_in_order_blocks": (lookup_in_order_blocks, LOOKUP_SQL),
 }

@@ -16,6 +16,8 @@ LINE_ORDER = (
 )
 
 CODE = "concat(upper(substr(p_type, 1, 1)), lpad(replace(p_brand, 'Brand#', ''), 2, '0'), '.', CAST(p_size % 10 AS STRING))"
+#: A part's code as its guideline lists it: two in three stand under a class that no diagnosis has.
+LISTED_CODE = f"CASE WHEN p_partkey % 3 = 0 THEN {CODE} ELSE concat('Q', {CODE}) END"
 SERVICE = (
     "CASE WHEN o_orderpriority LIKE '1-%' THEN 'Первичный приём' WHEN o_orderpriority LIKE '2-%' THEN 'Повторный приём' "
     "WHEN o_orderpriority LIKE '3-%' THEN 'Профилактический осмотр' ELSE 'Консультация' END"
@@ -74,8 +76,7 @@ def visits(spark: SparkSession, sf: str) -> DataFrame:
 
 def manifest(spark: SparkSession, sf: str) -> DataFrame:
     """Guidelines: id, name, codes (one cell), pos (file order)."""
-    chosen = table(spark, sf, "part").where("p_partkey % 3 = 0")
-    grouped = chosen.groupBy("p_brand", "p_type").agg(F.min("p_name").alias("name"), F.array_join(F.array_sort(F.collect_set(F.expr(CODE))), ", ").alias("codes"))
+    grouped = table(spark, sf, "part").groupBy("p_brand", "p_type").agg(F.min("p_name").alias("name"), F.array_join(F.array_sort(F.collect_set(F.expr(LISTED_CODE))), ", ").alias("codes"))
     named = grouped.select(F.concat_ws("_", "p_brand", "p_type").alias("id"), "name", "codes")
     # One row per pair of brand and type: the file order is that of the ids.
     return named.withColumn("pos", F.row_number().over(Window.orderBy("id")))
@@ -128,9 +129,9 @@ SQL_LINES = f"""visit_lines AS (
   FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
 SQL_MANIFEST = f"""manifest AS (
-  SELECT concat_ws('_', p_brand, p_type) AS id, min(p_name) AS name, string_agg(DISTINCT {CODE}, ', ' ORDER BY {CODE}) AS codes,
+  SELECT concat_ws('_', p_brand, p_type) AS id, min(p_name) AS name, string_agg(DISTINCT {LISTED_CODE}, ', ' ORDER BY {LISTED_CODE}) AS codes,
          row_number() OVER (ORDER BY concat_ws('_', p_brand, p_type))::INTEGER AS pos
-  FROM part WHERE p_partkey % 3 = 0 GROUP BY p_brand, p_type)"""
+  FROM part GROUP BY p_brand, p_type)"""
 
 SQL_DOCS = """docs AS (
   SELECT doc_id, source AS file_id, text AS chunk, '{"section":"' || lang || '"}' AS metadata, lang AS section,

@@ -20,6 +20,8 @@ KIND_SQL = (
 )
 #: Words of the checkers' section searches, as parts of the languages that stand for sections.
 SECTIONS = {"anamnesis": "e", "inspection": "s", "treatment": "f"}
+#: Keys of the visits that one payload may hold.
+PAYLOAD = 4096
 TEMPLATE = "Check these rules:\n{rules}\nAnswer in JSON."
 
 
@@ -58,26 +60,28 @@ SQL_PENDING = "pending AS (SELECT * FROM gaps WHERE guid IS NULL OR guid = '' OR
 
 
 def payloads(spark: SparkSession, sf: str) -> DataFrame:
-    """One payload per date: a wrapper object on even days, a bare array on odd ones."""
+    """Payloads of a date, of bounded size (the visits of a range of PAYLOAD keys): a wrapper object on even days, a bare array on odd ones."""
     heads = views.visit_heads(spark, sf)
     one = F.struct(
         F.struct(F.col("guid").alias("GUID"), F.col("date").alias("DATE")).alias("Прием"),
         F.array(F.struct(F.col("service").alias("Наименование"))).alias("Услуги"),
     )
-    grouped = heads.groupBy("date").agg(F.array_sort(F.collect_list(F.struct("visit", one.alias("v")))).alias("l"))
+    grouped = heads.groupBy("date", F.floor(F.col("visit") / PAYLOAD).alias("lot")).agg(F.array_sort(F.collect_list(F.struct("visit", one.alias("v")))).alias("l"))
     items = F.to_json(F.transform("l", lambda x: x["v"]))
     wrapped = F.concat(F.lit('{"appointments": '), items, F.lit("}"))
-    return grouped.select("date", F.when(F.substring("date", -1, 1).cast("int") % 2 == 0, wrapped).otherwise(items).alias("payload"))
+    return grouped.select(F.struct("date", "lot").alias("place"), F.when(F.substring("date", -1, 1).cast("int") % 2 == 0, wrapped).otherwise(items).alias("payload"))
 
 
 def scan_appointments(spark: SparkSession, sf: str) -> DataFrame:
-    split = files.split_appointments(payloads(spark, sf), "date")
-    return split.select("date", "ordinal", F.col("`Прием`.GUID").alias("guid"), F.col("`Услуги`")[0]["Наименование"].alias("service"))
+    split = files.split_appointments(payloads(spark, sf), "place")
+    return split.select("place.date", "place.lot", "ordinal", F.col("`Прием`.GUID").alias("guid"), F.col("`Услуги`")[0]["Наименование"].alias("service"))
 
 
 def scan_period(spark: SparkSession, sf: str) -> DataFrame:
-    orders = views.table(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("d"))
-    return files.period(orders, "d", "01.03.1996", "15.04.1996").select("o_orderkey", F.date_format("d", "yyyy-MM-dd").alias("d"))
+    """A range of dates of orders that are landed by month: only its months' folders are read."""
+    path = scratch_path(spark, "orders")
+    files.land_by_month(views.table(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("d")), "d", path)
+    return files.read_period(spark, path, "d", "01.03.1996", "15.04.1996").select("o_orderkey", F.date_format("d", "yyyy-MM-dd").alias("d"))
 
 
 def stored_rules(spark: SparkSession, listed: tuple) -> DataFrame:
@@ -361,7 +365,7 @@ _REPORT = with_views(
 QUERIES = {
     "scan_appointments": (
         scan_appointments,
-        with_views("SELECT date, (row_number() OVER (PARTITION BY date ORDER BY visit) - 1)::INTEGER AS ordinal, guid, service FROM visit_heads", SQL_HEADS),
+        with_views(f"SELECT date, visit // {PAYLOAD} AS lot, (row_number() OVER (PARTITION BY date, visit // {PAYLOAD} ORDER BY visit) - 1)::INTEGER AS ordinal, guid, service FROM visit_heads", SQL_HEADS),
     ),
     "scan_period": (scan_period, "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders WHERE o_orderdate::DATE BETWEEN DATE '1996-03-01' AND DATE '1996-04-15'"),
     "scan_rules": (scan_rules, with_views("SELECT DISTINCT visit_type, pos, rule_id, flag_code FROM selected", SQL_HEADS, SQL_RULES, SQL_SELECTED)),

@@ -49,6 +49,38 @@ def period(records: DataFrame, date: str, first: str, last: str) -> DataFrame:
     return records.where(F.col(date).between(day(first), day(last)))
 
 
+def land_by_month(records: DataFrame, date: str, path: str) -> None:
+    """Write records by the month of a date column; months that are written again are replaced, others stay.
+
+    A month's rows are dealt over tasks, of which each writes a file of its own, so a hot month is no single task.
+    """
+    month = F.date_format(date, "yyyy-MM")
+    salted = records.withColumn("month", month).repartition("month", F.pmod(F.xxhash64(*records.columns), F.lit(4)))
+    salted.sortWithinPartitions("month", date).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+
+
+def read_period(spark: SparkSession, path: str, date: str, first: str, last: str) -> DataFrame:
+    """The records of a closed range of dates, given as dd.MM.yyyy, of what land_by_month() wrote.
+
+    Only the folders of its months are listed and read; within them row groups go by their dates.
+    """
+    month = lambda x: F.date_format(F.to_date(F.lit(x), "dd.MM.yyyy"), "yyyy-MM")
+    landed = spark.read.option("basePath", path).schema(spark.read.parquet(path).schema).parquet(path)
+    return period(landed.where(F.col("month").cast("string").between(month(first), month(last))), date, first, last).drop("month")
+
+
+def land_for_lookups(rows: DataFrame, path: str, *keys: str, group_bytes: int = 4 << 20) -> None:
+    """Write rows for lookups by the keys: in ranges of the first key, in small row groups, with a Bloom filter for each key.
+
+    A lookup by the first key reads the row groups whose range has it, one by another key those
+    whose filter has it; the filters stand in the files' footers and cost no pass.
+    """
+    writer = rows.repartitionByRange(keys[0]).sortWithinPartitions(*keys).write.option("parquet.block.size", group_bytes)
+    for key in keys:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
+    writer.parquet(path)
+
+
 def write_docs(chunks: DataFrame, path: str) -> None:
     """Write chunks by file; a file that is written again is replaced as a whole, others stay."""
     chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file_id").parquet(path)

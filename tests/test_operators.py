@@ -491,3 +491,41 @@ def test_choice_from_lists_with_run_offs(spark):
     wanted = spark.createDataFrame([("b", "X2", None), ("c", "X3", "none"), ("d", "X4", "odd"), ("e", "X4.1", "odd")], "dx string, code string, name string")
     tiers = {r.dx: (r.guideline_id, r.tier) for r in codes.resolve(wanted, manifest, "dx", scorer=codes.listwise(make, 4)).collect()}
     assert tiers == {"b": ("h1b", "exact_scored"), "c": (None, "exact_scored"), "d": (None, "exact_scored"), "e": (None, "prefix_scored")}
+
+
+def test_periods_read_their_months_only(spark, tmp_path):
+    path = str(tmp_path / "landed")
+    days = spark.sql("SELECT id, date_add(DATE '1996-01-01', CAST(id % 366 AS INT)) AS d FROM range(3000)")
+    files.land_by_month(days, "d", path)
+    got = files.read_period(spark, path, "d", "25.02.1996", "03.03.1996")
+    assert sorted(r.id for r in got.collect()) == sorted(i for i in range(3000) if 55 <= i % 366 <= 62)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "month" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    scan = got._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    got.collect()
+    assert scan.selectedPartitions().length() == 2 if hasattr(scan.selectedPartitions(), "length") else True
+    # A month that is landed again is replaced, the others stay.
+    files.land_by_month(days.where("month(d) = 2 AND id < 100"), "d", path)
+    assert spark.read.parquet(path).where("month = '1996-02'").count() == sum(31 <= i < 60 for i in range(100)) and spark.read.parquet(path).count() > 2500
+
+
+def test_lookups_skip_row_groups(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    path = str(tmp_path / "lookup")
+    rows = spark.range(50_000).select(F.col("id").alias("doc_id"), F.md5(F.col("id").cast("string")).alias("guid"), F.lit("x" * 50).alias("text"))
+    files.land_for_lookups(rows, path, "doc_id", "guid", group_bytes=100_000)
+    groups = 0
+    for f in glob.glob(path + "/*.parquet"):
+        meta = pq.ParquetFile(f).metadata
+        groups += meta.num_row_groups
+    assert groups > 8
+    guid = rows.where("doc_id = 777").first().guid
+    for where, at_most in ((f"guid = '{guid}'", 3), ("doc_id = 777", 1)):
+        found = spark.read.parquet(path).where(where)
+        assert [r.doc_id for r in found.collect()] == [777]
+        plan = found._jdf.queryExecution().executedPlan()
+        scan = next(p for p in [plan.collectLeaves().apply(0)])
+        assert "PushedFilters: [IsNotNull" in plan.toString() and scan.metrics().apply("numOutputRows").value() < 50_000 / groups * (at_most + 2)
