@@ -8,10 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditmill.operators.audit import guid_key
-from auditmill.sources.scratch import exists
-
-#: Parts of the table of audited keys; a batch reads those that its own keys fall into.
-KEY_PARTS = 256
+from auditmill.sources.scratch import release, stored
+from auditmill.streaming.keylog import PARTS, KeyLog, part_of
 
 
 def visit_keys(batch: DataFrame) -> DataFrame:
@@ -35,26 +33,25 @@ def audit_new(spark: SparkSession, source: str, schema: str, results: str, check
 
     Each batch drops repeated visits (see visit_keys()) and those audited before. What it writes is
     the part ``lot`` of results, named by stream and batch, and replaces that part, so a batch that
-    is run again adds nothing. Audited keys are kept beside results in KEY_PARTS parts by hash; a
-    batch reads the parts of its own keys and never the results. No state grows with time and no
-    watermark is needed.
+    is run again adds nothing. Audited keys are kept beside results in a KeyLog; a batch reads the
+    parts of its own keys and never the results, and first merges what earlier batches have left.
+    No state of the stream grows with time and no watermark is needed.
     """
     keys = results.rstrip("/") + "-keys"
 
     def write(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
         lot = f"{session.sparkContext.getLocalProperty('sql.streaming.queryId')}-{number}"
-        fresh = visit_keys(batch).withColumn("_part", F.pmod(F.xxhash64("_key"), F.lit(KEY_PARTS)).cast("int")).persist()
-        known = fresh
-        if exists(session, keys):
-            parts = [r["_part"] for r in fresh.select("_part").distinct().collect()]  # KEY_PARTS at most
-            before = session.read.parquet(keys).where(F.col("part").isin(parts) & (F.col("lot") != lot))
-            known = fresh.join(before.select(F.col("key").alias("_key")), "_key", "left_anti")
+        log = KeyLog(session, keys)
+        log.compact(lot)
+        fresh = stored(visit_keys(batch).withColumn("_part", part_of("_key")), "fresh")
+        parts = [r["_part"] for r in fresh.select("_part").distinct().collect()]  # PARTS at most
+        assert len(parts) <= PARTS
+        known = stored(fresh.join(log.known(parts, lot).withColumnRenamed("key", "_key"), "_key", "left_anti"), "known")
         done = audit(known.drop("_key", "_part", "_file")).withColumn("lot", F.lit(lot))
         done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("lot").parquet(results)
-        listed = known.select(F.col("_key").alias("key"), F.lit(lot).alias("lot"), F.col("_part").alias("part"))
-        listed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "lot").parquet(keys)
-        fresh.unpersist()
+        log.add(known.select(F.col("_key").alias("key"), F.col("_part").alias("part")), lot)
+        release(fresh, known)
 
     stream = spark.readStream.schema(schema).format(fmt).load(source).select("*", F.col("_metadata.file_path").alias("_file"))
     stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(write).start().awaitTermination()
