@@ -136,17 +136,22 @@ def audit_visits(
     else:
         cases = known.where("guideline_id IS NOT NULL").select("dx", "pair", F.coalesce("name", "code").alias("query_text"), F.col("guideline_id").alias("file_id"), F.struct("code", "name").alias("d"))
         contexts = checks.contexts(embed(cases), docs, sections)
+        kept_in = None if answers is None else f"{answers}/checks"
+        issues = [F.coalesce(F.col(f"checks.{c}"), nothing).alias(c) for c in CHECKERS]
+        errors = F.coalesce("checks.errors", none).alias("errors")
         if per_visit:
-            own = each.join(cases.select("pair", "dx"), "pair").select(F.concat_ws("#", "visit", "pos").alias("case"), "dx", render.compose_context(F.col("patient"), F.col("d"), F.col("inspection")).alias("message"))
-            case = F.concat_ws("#", "visit", "pos")
+            own = each.join(known.select("pair", "dx", "guideline_id"), "pair")
+            message = render.compose_context(F.col("patient"), F.col("d"), F.col("inspection"))
+            told = own.where("guideline_id IS NOT NULL").select("visit", "pos", "d.code", "guideline_id", "dx", message.alias("message"))
+            judged = stored(checks.check(told, contexts, make_checker, kept_in, ("visit", "pos", "code", "guideline_id")), "checked")
+            rest = own.where("guideline_id IS NULL").select("visit", "pos", "d.code", "guideline_id", F.lit(None).cast(judged.schema["checks"].dataType).alias("checks"))
+            checked = judged.unionByName(rest).select("visit", "pos", F.struct("code").alias("d"), "guideline_id", *issues, errors)
         else:
             detail = F.struct("d.code", "d.name", F.lit(None).cast("string").alias("detail"), F.lit(None).cast("boolean").alias("first_time"))
-            own = cases.select(F.col("pair").alias("case"), "dx", F.concat(F.lit("## Диагноз\n"), render.format_diagnosis(detail)).alias("message"))
-            case = F.col("pair")
-        judged = stored(checks.check(own, contexts, make_checker, None if answers is None else f"{answers}/checks"), "checked")
+            told = cases.select(F.col("pair").alias("case"), "dx", F.concat(F.lit("## Диагноз\n"), render.format_diagnosis(detail)).alias("message"))
+            judged = stored(checks.check(told, contexts, make_checker, kept_in), "checked").withColumnRenamed("case", "pair")
+            checked = rows.join(known.select("pair", "guideline_id"), "pair").join(judged, "pair", "left").select("visit", "pos", "d", "guideline_id", *issues, errors)
         release(contexts)
-        checked = rows.join(known.select("pair", "guideline_id"), "pair").withColumn("case", case).join(judged, "case", "left")
-        checked = checked.select("*", *[F.coalesce(F.col(f"checks.{c}"), nothing).alias(c) for c in CHECKERS], F.coalesce("checks.errors", none).alias("errors"))
     result = F.struct("guideline_id", F.coalesce("d.code", F.concat(F.lit("#"), (F.col("pos") + 1).cast("string"))).alias("icd_code"), *CHECKERS)
     folded = checked.select("visit", "pos", F.struct(result.alias("r"), "errors").alias("result"))
     folded = fold_visits(found, folded)
