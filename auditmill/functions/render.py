@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditmill.functions.text import not_blank, stripped
+from auditmill.sources.scratch import stored
 
 # Fixed texts of the report format.
 DASH = "—"
@@ -131,6 +134,58 @@ def format_value(c: Column, kind: T.DataType, indent: int = 0) -> Column:
     return F.concat(F.lit(pad), format_scalar(c, kind))
 
 
+def _json_kind(value: Column) -> Column:
+    """What a VARIANT is: object, array, bool, null or scalar."""
+    schema = F.schema_of_variant(value)
+    return F.when(schema.startswith("OBJECT"), "object").when(schema.startswith("ARRAY"), "array").when(schema == "BOOLEAN", "bool").when(schema == "VOID", "null").otherwise("scalar")
+
+
+def _json_children(text: Column, kind: Column) -> Column:
+    """The members of a JSON object or the items of an array, in the text's order: array<struct<label, text, kind>>.
+
+    Texts keep the order of keys, which a VARIANT sorts; the VARIANT tells the kinds, which texts do not.
+    """
+    value = F.try_parse_json(text)
+    entries, kinds = F.map_entries(F.from_json(text, "map<string,string>")), value.cast("map<string,variant>")
+    items, item_kinds = F.from_json(text, "array<string>"), value.cast("array<variant>")
+    child = lambda label, t, v: F.struct(label.alias("label"), t.alias("text"), _json_kind(v).alias("kind"))
+    members = F.transform(entries, lambda e: child(F.concat(e["key"], F.lit(":")), e["value"], F.element_at(kinds, e["key"])))
+    numbered_items = F.transform(items, lambda x, i: child(F.concat((i + 1).cast("string"), F.lit(".")), x, F.get(item_kinds, i)))
+    return F.when(kind == "object", members).when(kind == "array", numbered_items)
+
+
+def format_json(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, text): free JSON as key and value lines, like format_value() but without a declared schema.
+
+    Lists are numbered, depth indents by two, empty objects and arrays and nulls are a dash. Records
+    are opened level by level: a level is written, its lines have their path, and only objects and
+    arrays go on, so each level costs one pass and nothing recurs in a task. A text that is no
+    JSON (or repeats a key), or one JSON string, is shown as it stands. Null texts are a dash.
+    """
+    value = F.try_parse_json(column)
+    level = rows.select(key, F.array().cast("array<int>").alias("path"), F.col(column).alias("text"), F.coalesce(_json_kind(value), F.lit("scalar")).alias("kind"))
+    shown = lambda: F.when(F.col("text").isNull() | (F.col("kind") == "null"), DASH).when(F.col("kind") == "bool", F.when(F.col("text") == "true", YES).otherwise(NO)).otherwise(F.col("text"))
+    lines = [level.where("kind NOT IN ('object', 'array')").select(key, "path", shown().alias("line"))]
+    depth, written = 0, []
+    while True:
+        opened = level.where("kind IN ('object', 'array')").withColumn("children", _json_children(F.col("text"), F.col("kind")))
+        pad = "  " * depth
+        below = opened.select(key, "path", F.posexplode_outer("children").alias("at", "c"))
+        below = below.select(key, F.concat("path", F.array(F.coalesce("at", F.lit(0)))).alias("path"), "c.label", "c.text", F.coalesce("c.kind", F.lit("none")).alias("kind"))
+        below = stored(below, "lines")
+        written.append(below)
+        text = F.when(F.col("kind") == "none", DASH).when(F.col("kind").isin("object", "array"), F.col("label")).otherwise(F.concat_ws(" ", "label", shown()))
+        lines.append(below.select(key, "path", F.concat(F.lit(pad), text).alias("line")))
+        level, depth = below.select(key, "path", "text", "kind"), depth + 1
+        if level.where("kind IN ('object', 'array')").isEmpty():
+            break
+    every = functools.reduce(DataFrame.unionByName, lines)
+    folded = every.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("path", "line"))).alias("l"))
+    out = folded.select(key, joined(F.transform("l", lambda x: x["line"])).alias("text"))
+    out._reads = tuple(written)
+    return out
+
+
 def format_formal(findings: Column) -> Column:
     lines = F.transform(findings, lambda f: F.concat(F.lit("    ["), f["flag"], F.lit("] "), f["issue"]))
     return F.when(F.size(findings) <= 0, "  Formal structure: OK").otherwise(joined(F.concat(F.array(F.lit("  Formal structure:")), lines)))

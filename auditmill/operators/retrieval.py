@@ -106,7 +106,8 @@ def _top(k: int, blocks: list[_Block]):
     return run
 
 
-def _ranked(found: DataFrame, k: int) -> DataFrame:
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """found (query_id, doc_id, distance) with vector_rank, the first k of each query."""
     order = Window.partitionBy("query_id").orderBy("distance", "doc_id")
     return found.withColumn("vector_rank", F.row_number().over(order)).where(F.col("vector_rank") <= k)
 
@@ -171,7 +172,7 @@ def nearest(queries: DataFrame, docs: DataFrame, k: int, vector: str = "fact_vec
     wanted = queries.where(F.exists("embedding", lambda x: x != 0)).select("query_id", "embedding", *keys)
     passes = -(-wanted.count() // QUERIES_A_PASS)
     if same_file and passes > 1:
-        return _ranked(_in_files(wanted, rows, k), k)
+        return ranked(_in_files(wanted, rows, k), k)
     large = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > LARGE
     parts = []
     for n in range(passes):
@@ -180,14 +181,14 @@ def nearest(queries: DataFrame, docs: DataFrame, k: int, vector: str = "fact_vec
         bounds = {}
         if own and large:
             sample = search(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0), {})
-            bounds = {r["query_id"]: r["distance"] for r in _ranked(sample, k).where(F.col("vector_rank") == k).select("query_id", "distance").collect()}
+            bounds = {r["query_id"]: r["distance"] for r in ranked(sample, k).where(F.col("vector_rank") == k).select("query_id", "distance").collect()}
         if own:
             found = search(rows, bounds)
             parts.append(stored(found, "nearest") if passes > 1 else found)
     found = parts[0] if parts else docs.sparkSession.createDataFrame([], FOUND)
     for part in parts[1:]:
         found = found.unionByName(part)
-    return _ranked(found, k)
+    return ranked(found, k)
 
 
 def bm25_rank(scored: DataFrame) -> DataFrame:

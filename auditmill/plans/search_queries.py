@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditmill.functions import text, vectors
-from auditmill.operators import retrieval
+from auditmill.operators import retrieval, vector_blocks
 from auditmill.plans import views
 from auditmill.plans.views import SQL_DOCS, SQL_QUERIES, with_views
+from auditmill.sources.scratch import scratch_path
 
 PHRASES = ["idiot", "License"]
 #: Languages stand for sections, and so do these parts of their names for section keywords.
@@ -88,6 +89,13 @@ def knn_join(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.nearest(views.search_queries(spark, sf), views.docs(spark, sf), 60)
 
 
+def knn_join_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """As knn_join, over a written index that tells which blocks no query needs."""
+    path = scratch_path(spark, "vectors")
+    vector_blocks.build(views.docs(spark, sf), path)
+    return vector_blocks.nearest_in_blocks(spark, views.search_queries(spark, sf), path, 60)
+
+
 def vector_rank(spark: SparkSession, sf: str) -> DataFrame:
     return knn_join(spark, sf).select("query_id", "doc_id", "vector_rank")
 
@@ -205,6 +213,7 @@ QUERIES = {
         ),
     ),
     "knn_join": (knn_join, _NEAR60),
+    "knn_join_blocks": (knn_join_blocks, _NEAR60),
     "vector_rank": (vector_rank, with_views("SELECT query_id, doc_id, vector_rank FROM near", SQL_DOCS, SQL_QUERIES, near_sql(60))),
     "candidate_expand": (candidate_expand, with_views("SELECT query_id, count(*) AS candidates, max(distance) AS farthest FROM near GROUP BY query_id", SQL_DOCS, SQL_QUERIES, near_sql(24))),
     "knn_topk": (knn_topk, with_views("SELECT doc_id, round(list_cosine_distance(fact_vec, embedding), 9) AS distance FROM docs, queries WHERE query_id = 7 ORDER BY distance, doc_id LIMIT 20", SQL_DOCS, SQL_QUERIES)),

@@ -257,6 +257,12 @@ def format_value(spark: SparkSession, sf: str) -> DataFrame:
     return visits.select("visit", F.md5(render.format_value(F.col("v"), visits.schema["v"].dataType)).alias("text_md5"))
 
 
+def format_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Visits as free JSON texts, rendered without a schema; as format_value."""
+    visits = views.visits(spark, sf).select("visit", F.to_json(F.struct("guid", "patient", "services", "diagnoses"), {"ignoreNullFields": "false"}).alias("j"))
+    return render.format_json(visits, "visit", "j").select("visit", F.md5("text").alias("text_md5"))
+
+
 _DX = "'Код МКБ: ' || code || chr(10) || 'Наименование МКБ: ' || name || chr(10) || 'Выявлен впервые: ' || CASE WHEN first_time THEN 'да' ELSE 'нет' END"
 _DX_VALUE = "'  ' || pos || '.' || chr(10) || '    code: ' || code || chr(10) || '    name: ' || name || chr(10) || '    detail: —' || chr(10) || '    first_time: ' || CASE WHEN first_time THEN 'да' ELSE 'нет' END"
 _INSPECTED = "inspected AS (SELECT visit, string_agg(param || ': ' || value, chr(10) ORDER BY pos) AS text FROM visit_lines GROUP BY visit)"
@@ -443,4 +449,13 @@ QUERIES = {
             SQL_HEADS, SQL_LINES,
         ),
     ),
+    "format_json": (
+        format_json,
+        with_views(
+            f"""dx AS (SELECT visit, string_agg({_DX_VALUE}, chr(10) ORDER BY pos) AS t FROM visit_lines GROUP BY visit)
+            SELECT visit, md5('guid: ' || guid || chr(10) || 'patient:' || chr(10) || '  Имя: ' || patient_name || chr(10) || '  Группа: ' || segment || chr(10) || 'services:' || chr(10) || '  1.' || chr(10) || '    name: ' || service || chr(10) || 'diagnoses:' || chr(10) || coalesce(t, '  —')) AS text_md5
+            FROM visit_heads LEFT JOIN dx USING (visit)""",
+            SQL_HEADS, SQL_LINES,
+        ),
+    ),
 }

@@ -559,3 +559,58 @@ def test_key_log_stays_small_and_survives_a_broken_merge(spark, tmp_path, monkey
     assert files_left <= 3 + 3 * 3 * 4
     one = log.known([2], "none")
     assert {r.part for r in one.withColumn("part", keylog.part_of("key")).select("part").distinct().collect()} == {2}
+
+
+def test_free_json_renders_without_a_schema(spark):
+    import json
+
+    from auditmill.functions import render
+
+    def lines(value, indent=0):
+        pad = "  " * indent
+        scalar = lambda x: "—" if x is None else ("да" if x else "нет") if isinstance(x, bool) else str(x)
+        if not isinstance(value, dict | list):
+            return [pad + scalar(value)]
+        if not value:
+            return [pad + "—"]
+        out = []
+        for label, x in [(f"{k}:", v) for k, v in value.items()] if isinstance(value, dict) else [(f"{n}.", v) for n, v in enumerate(value, 1)]:
+            out += [pad + label, *lines(x, indent + 1)] if isinstance(x, dict | list) else [f"{pad}{label} {scalar(x)}"]
+        return out
+
+    values = [
+        {"z": 1, "a": {"y": [1, [2, {"q": None}], []], "b": {}}, "t": True, "f": False, "n": None, "s": "true", "e": "", "o": "{not json", "l": "[1]"},
+        [], {}, [[["deep"]]], 5, "text", None, True, [None, False, "x\ny"], {"k.1": {"k 2": [{"é": 1.5}, {"é": -2}]}}, {"a": {"a": {"a": {"a": {"a": {"a": 1}}}}}},
+    ]
+    rows = [(n, json.dumps(v, ensure_ascii=False)) for n, v in enumerate(values)]
+    got = {r.i: r.text for r in render.format_json(spark.createDataFrame(rows, "i int, j string"), "i", "j").collect()}
+    for n, v in enumerate(values):
+        assert got[n] == (json.dumps(v) if isinstance(v, str) else "\n".join(lines(v)))
+
+
+def test_blocks_that_no_query_needs_are_skipped(spark, tmp_path, monkeypatch):
+    from auditmill.operators import vector_blocks
+
+    monkeypatch.setattr(vector_blocks, "BLOCK_ROWS", 20)
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(30, 16))
+    rows = [(i, (points[i % 30] + rng.normal(size=16) * 0.05).tolist()) for i in range(3000)] + [(9000, [0.0] * 16), (9001, None)]
+    rows += [(9100 + i, rows[7][1]) for i in range(30)]  # ties
+    docs = spark.createDataFrame(rows, "doc_id long, fact_vec array<double>").repartition(5)
+    asked = [(q, (points[q % 30] + rng.normal(size=16) * 0.05).tolist()) for q in range(6)] + [(50, [0.0] * 16), (51, None), (52, rows[7][1])]
+    queries = spark.createDataFrame(asked, "query_id long, embedding array<double>")
+    path = str(tmp_path / "vectors")
+    vector_blocks.build(docs, path)
+    index = spark.read.schema(vector_blocks.INDEX).parquet(path)
+    assert index.selectExpr("sum(size(ids))").first()[0] == 3030
+    for k in (5, 40):
+        want = sorted(tuple(r) for r in retrieval.nearest(queries, docs, k).collect())
+        assert sorted(tuple(r) for r in vector_blocks.nearest_in_blocks(spark, queries, path, k).collect()) == want
+    bounds = {r.query_id: r.distance for r in retrieval.nearest(queries, docs, 5).where("vector_rank = 5").collect()}
+    known = vector_blocks._Asked([r for r in queries.collect() if r.query_id in bounds], bounds)
+    assert 0 < vector_blocks.needed_blocks(index, known).count() < index.count() / 2
+    monkeypatch.setattr(vector_blocks, "QUERIES_A_PASS", 3)
+    assert sorted(tuple(r) for r in vector_blocks.nearest_in_blocks(spark, queries, path, 40).collect()) == want
+    nothing = str(tmp_path / "none")
+    vector_blocks.build(docs.limit(0), nothing)
+    assert vector_blocks.nearest_in_blocks(spark, queries, nothing, 3).collect() == []
