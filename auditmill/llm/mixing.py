@@ -106,7 +106,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     plan = mix(docs, id_col, text_col, source_col, **options)
     taken = plan.groupBy(F.struct("doc_id", "source", "row_hash").alias("_k")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
     key = F.struct(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.xxhash64(F.col(text_col)).alias("row_hash"))
-    rows = docs.select(F.struct("*").alias("_doc"), key.alias("_k")).withColumn("_r", F.row_number().over(Window.partitionBy("_k").orderBy(F.lit(1))))
+    # Such rows are told apart by all their columns, so that a task that runs again numbers them as before.
+    whole = F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+    rows = docs.select(F.struct("*").alias("_doc"), key.alias("_k"), whole.alias("_w")).withColumn("_r", F.row_number().over(Window.partitionBy("_k").orderBy("_w"))).drop("_w")
     joined = rows.join(taken.where("_copies > 0"), "_k")
     own = (F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_r") <= F.col("_copies") % F.col("_rows")).cast("int")).cast("int")
     return joined.where(own > 0).select("_doc", F.explode(F.sequence(F.lit(1), own)).alias("copy_no")).select(*[F.col("_doc")[c].alias(c) for c in docs.columns if c != "copy_no"], "copy_no")
