@@ -66,7 +66,7 @@ def write_docs(spark: SparkSession, sf: str) -> DataFrame:
     chunks = doc_chunks(spark, sf)
     files.write_docs(chunks, path)
     files.write_docs(chunks.where("file_id = 'src1' AND n = 0"), path)
-    return spark.read.parquet(path).groupBy("file_id").agg(F.count("*").alias("chunks"), F.sum(F.length("chunk")).alias("chars"))
+    return files.read_docs(spark, path).groupBy("file_id").agg(F.count("*").alias("chunks"), F.sum(F.length("chunk")).alias("chars"))
 
 
 def replace_file_chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,7 +74,7 @@ def replace_file_chunks(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "docs")
     files.write_docs(doc_chunks(spark, sf), path)
     deleted = files.delete_file(spark, path, "src3")
-    return spark.read.parquet(path).agg(F.lit(deleted).cast("long").alias("deleted"), F.count("*").alias("left"))
+    return files.read_docs(spark, path).agg(F.lit(deleted).cast("long").alias("deleted"), F.count("*").alias("left"))
 
 
 def anti_ingested(spark: SparkSession, sf: str) -> DataFrame:
@@ -290,7 +290,7 @@ def ingest_job(spark: SparkSession, sf: str) -> DataFrame:
     manifest = pages.select(F.col("page_id").cast("string").alias("id"), F.col("url").alias("name"))
     ingest.ingest(manifest.where("CAST(id AS BIGINT) % 4 = 0"), pages, folder, "run-1", anchor=ANCHOR)
     _, missing = ingest.ingest(manifest, pages.where("page_id % 5 <> 1"), folder, "run-2", anchor=ANCHOR)
-    docs = spark.read.option("basePath", f"{folder}/docs").schema("file_id string, chunk string").parquet(f"{folder}/docs")
+    docs = files.read_docs(spark, f"{folder}/docs")
     kept = docs.groupBy("file_id").agg(F.count("*").alias("chunks")).select("file_id", F.lit("stored").alias("state"), "chunks")
     return kept.unionByName(missing.select(F.col("id").alias("file_id"), F.lit("missing").alias("state"), F.lit(0).cast("long").alias("chunks")))
 

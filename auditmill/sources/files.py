@@ -5,13 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditmill.sources.scratch import remove
+from auditmill.sources.scratch import exists, release, remove, stored
 
 VISIT = (
     "struct<`Прием`:struct<GUID:string,DATE:string>,`Пациент`:map<string,string>,`Услуги`:array<struct<`Наименование`:string>>,"
@@ -81,18 +80,69 @@ def land_for_lookups(rows: DataFrame, path: str, *keys: str, group_bytes: int =
     writer.parquet(path)
 
 
+#: Folders that chunks lie in, by a hash of their file.
+BUCKETS = 4096
+
+
+def _bucket(file_id: Column) -> Column:
+    return F.pmod(F.xxhash64(file_id), F.lit(BUCKETS)).cast("int")
+
+
+def _write_buckets(chunks: DataFrame, path: str) -> None:
+    """Replace the folders of these chunks. Large buckets are split over tasks by their bytes, small ones share a task."""
+    chunks.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
 def write_docs(chunks: DataFrame, path: str) -> None:
-    """Write chunks by file; a file that is written again is replaced as a whole, others stay."""
-    chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file_id").parquet(path)
+    """Write chunks (file_id, ...); a file that is written again is replaced as a whole, others stay.
+
+    Files lie in BUCKETS folders by a hash of their id (a null id is a file like others), so
+    folders do not grow in number with the files. Only the folders of the files at hand
+    are read and written again: their other files' chunks go with the new ones. Spark writes a
+    folder aside and swaps it in when the job commits, so a job that fails changes nothing. Columns that one
+    side lacks are null there. One writer at a time.
+    """
+    spark = chunks.sparkSession
+    new = chunks.withColumn("bucket", _bucket(F.col("file_id")))
+    if not exists(spark, path):
+        return _write_buckets(new, path)
+    new = stored(new, "new-chunks")
+    own = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # BUCKETS at most
+    files = new.select(F.col("file_id").alias("_file")).distinct()
+    others = spark.read.parquet(path).where(F.col("bucket").isin(own))
+    others = others.join(files, F.col("file_id").eqNullSafe(F.col("_file")), "left_anti")
+    _write_buckets(others.unionByName(new, allowMissingColumns=True), path)
+    release(new)
+
+
+def read_docs(spark: SparkSession, path: str, file_id: str | None = None) -> DataFrame:
+    """The chunks that write_docs() wrote; with a file's id its own, from the one folder it lies in."""
+    chunks = spark.read.parquet(path)
+    if file_id is not None:
+        chunks = chunks.where(F.col("bucket") == _bucket_of(spark, file_id)).where(F.col("file_id") == file_id)
+    return chunks.drop("bucket")
+
+
+def _bucket_of(spark: SparkSession, file_id: str) -> int:
+    return spark.range(1).select(_bucket(F.lit(file_id))).first()[0]
 
 
 def delete_file(spark: SparkSession, path: str, file_id: str) -> int:
-    """Delete the chunks of one file from those that write_docs() wrote; the number of them."""
-    own = spark.read.parquet(path).where(F.col("file_id") == file_id)
-    parts = own.groupBy(F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("folder")).agg(F.count("*").alias("n")).collect()  # one folder a file
-    for part in parts:
-        remove(spark, unquote(part["folder"]))
-    return sum(part["n"] for part in parts)
+    """Delete the chunks of one file from those that write_docs() wrote; the number of them.
+
+    Only the folder of the file's bucket is listed and read. It is written again without the file, or deleted if it holds
+    no other, so the file goes as a whole.
+    """
+    folder = f"{path.rstrip('/')}/bucket={_bucket_of(spark, file_id)}"
+    if not exists(spark, folder):
+        return 0
+    chunks, own = spark.read.option("basePath", path).parquet(folder), F.col("file_id").eqNullSafe(F.lit(file_id))
+    deleted, left = chunks.agg(F.count_if(own), F.count_if(~own)).first()
+    if deleted and left:
+        _write_buckets(chunks.where(~own), path)
+    elif deleted:
+        remove(spark, folder)
+    return deleted
 
 
 def write_results(results: DataFrame, path: str) -> None:

@@ -338,11 +338,32 @@ def test_embedders_of_any_provider(spark):
     assert got[1] == ([1.0, 0.0], None) and got[2] == (None, "RuntimeError: no") and got[3] == (None, None) and got[4][0] is None and "2 numbers" in got[4][1]
 
 
-def test_deleting_a_file_leaves_the_others(spark, tmp_path):
+@pytest.mark.parametrize("buckets", [1, 2, 4096])
+def test_files_are_replaced_and_deleted_as_a_whole(spark, tmp_path, monkeypatch, buckets):
+    monkeypatch.setattr(files, "BUCKETS", buckets)
     path = str(tmp_path / "docs")
-    files.write_docs(spark.createDataFrame([("a b", "x"), ("a b", "y"), ("c", "z")], "file_id string, chunk string"), path)
-    assert files.delete_file(spark, path, "a b") == 2 and files.delete_file(spark, path, "no") == 0
-    assert [tuple(r) for r in spark.read.parquet(path).select("file_id", "chunk").collect()] == [("c", "z")]
+    rows = lambda found: sorted(((r.file_id or "", r.chunk) for r in found.select("file_id", "chunk").collect()))
+    files.write_docs(spark.createDataFrame([("a b", "x"), ("a b", "y"), ("c", "z"), (None, "n"), ("d", None)], "file_id string, chunk string").where("chunk IS NOT NULL"), path)
+    assert len(list((tmp_path / "docs").glob("bucket=*"))) <= min(buckets, 3)
+    files.write_docs(spark.createDataFrame([("a b", "new", 1), (None, "m", 2)], "file_id string, chunk string, page int"), path)
+    assert rows(files.read_docs(spark, path)) == [("", "m"), ("a b", "new"), ("c", "z")]
+    assert rows(files.read_docs(spark, path, "c")) == [("c", "z")] and "bucket" not in files.read_docs(spark, path).columns
+    files.write_docs(spark.createDataFrame([], "file_id string, chunk string"), path)
+    assert files.delete_file(spark, path, "a b") == 1 and files.delete_file(spark, path, "no") == 0
+    assert rows(files.read_docs(spark, path)) == [("", "m"), ("c", "z")]
+    assert files.delete_file(spark, path, "c") == 1 and rows(files.read_docs(spark, path)) == [("", "m")]
+
+
+def test_a_file_is_looked_up_and_deleted_in_one_folder(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    files.write_docs(spark.range(3000).select((F.col("id") % 40).cast("string").alias("file_id"), F.col("id").cast("string").alias("chunk")), path)
+    scans = lambda found: found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in scans(files.read_docs(spark, path, "7"))
+    folder = f"{path}/bucket={files._bucket_of(spark, '7')}"
+    before = {str(p): p.stat().st_mtime_ns for p in (tmp_path / "docs").glob("bucket=*/*.parquet") if not str(p).startswith(folder + "/")}
+    assert files.delete_file(spark, path, "7") == 75
+    after = {str(p): p.stat().st_mtime_ns for p in (tmp_path / "docs").glob("bucket=*/*.parquet") if not str(p).startswith(folder + "/")}
+    assert before == after and files.read_docs(spark, path).count() == 2925
 
 
 def test_ingest_from_manifest_to_summary(spark, tmp_path):
