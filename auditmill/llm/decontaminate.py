@@ -24,7 +24,7 @@ SIDE = 13
 BLOCK, SHARD_WORDS, HALF = 4, 2_000_000, 64
 #: Passage positions that are scored at once.
 CHUNK = 1 << 18
-#: Bounds of passages and blocks that are held at once.
+#: Blocks of passages' terms whose maxima are held at once.
 CELLS = 1 << 22
 
 #: The last sentence of an item stands for its answer, what comes before for its question.
@@ -88,58 +88,60 @@ class Shard:
         """(row, entry, score) of passages (word numbers, -1 for none) that reach the threshold.
 
         The bound of all blocks is tried first, then the bound of each block, for many passages
-        at once; pivots() goes through the blocks that are left.
+        at once; pivots() goes through the blocks that are left. Only blocks in which a passage's
+        terms have postings are held, about CELLS at a time.
         """
-        step = max(1, CELLS // self.blocks)
-        return [(at + r, e, s) for at in range(0, len(passages), step) for r, e, s in self._candidates(passages[at : at + step])]
-
-    def _candidates(self, passages: np.ndarray) -> list[tuple[int, int, float]]:
         ids = np.sort(passages, axis=1)
         fresh = np.ones(ids.shape, bool)
         fresh[:, 1:] = ids[:, 1:] != ids[:, :-1]
         fresh &= ids >= 0
         limit = CANDIDATE - 1e-9
         rows = np.flatnonzero((self.top[ids] * fresh).sum(axis=1) >= limit)
-        if not len(rows):
-            return []
         r, c = np.nonzero(fresh[rows])
         terms = ids[rows[r], c]
-        size = self.block_start[terms + 1] - self.block_start[terms]
-        owner = np.repeat(np.arange(len(terms)), size)
-        at = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + self.block_start[terms][owner]
-        bound = np.bincount(r[owner] * self.blocks + self.block_no[at], self.block_max[at], len(rows) * self.blocks)
-        passed = (bound >= limit).reshape(len(rows), self.blocks)
         starts = np.searchsorted(r, np.arange(len(rows) + 1))
-        out = []
-        for k in np.flatnonzero(passed.any(axis=1)):
-            out += [(int(rows[k]), e, s) for e, s in self.pivots(terms[starts[k] : starts[k + 1]], passed[k], limit)]
+        size = self.block_start[terms + 1] - self.block_start[terms]
+        before = np.concatenate([[0], np.cumsum(size)])
+        out, at = [], 0
+        while at < len(rows):
+            to = max(at + 1, int(np.searchsorted(before[starts], before[starts[at]] + CELLS, "right")) - 1)
+            own = slice(starts[at], starts[to])
+            owner = np.repeat(np.arange(own.start, own.stop), size[own])
+            place = np.arange(len(owner)) + before[own.start] - before[owner] + self.block_start[terms[owner]]
+            cells, cell = np.unique(r[owner] * self.blocks + self.block_no[place], return_inverse=True)
+            passed = cells[np.bincount(cell, self.block_max[place], len(cells)) >= limit]
+            found, first = np.unique(passed // self.blocks, return_index=True)
+            for k, blocks in zip(found.tolist(), np.split(passed % self.blocks, first[1:]), strict=True) if len(found) else ():
+                out += [(int(rows[k]), e, s) for e, s in self.pivots(terms[starts[k] : starts[k + 1]], blocks.tolist(), limit)]
+            at = to
         return out
 
-    def pivots(self, terms: np.ndarray, blocks: np.ndarray, limit: float) -> list[tuple[int, float]]:
-        """(entry, score) of the entries in the given blocks that score at least limit for the terms.
+    def pivots(self, terms: np.ndarray, blocks: list[int], limit: float) -> list[tuple[int, float]]:
+        """(entry, score) of the entries in the given blocks (sorted numbers) that score at least limit for the terms.
 
         WAND: each term has a cursor at its next entry. The pivot is the first entry at which the
         largest impacts of the cursors up to it can reach the limit; cursors before it jump to it,
         over all entries and blocks between, and it is scored when they all stand there.
         """
-        onward = np.full(len(blocks) + 1, len(blocks), np.int64)  # for each block the next one that is given
-        for b in range(len(blocks) - 1, -1, -1):
-            onward[b] = b if blocks[b] else onward[b + 1]
-        open_from = (onward * BLOCK).tolist()
         entries, impacts, found = self.post_entry, self.post_impact, []
 
+        def open_from(block: int) -> int:
+            """The first entry of the first given block from this one on, or the end."""
+            n = bisect_left(blocks, block)
+            return (blocks[n] if n < len(blocks) else self.blocks) * BLOCK
+
         def jump(cursor: list, target: int) -> bool:
             while True:
                 cursor[1] = bisect_left(entries, target, cursor[1], cursor[2])
                 if cursor[1] == cursor[2]:
                     return False
                 cursor[0] = entries[cursor[1]]
-                target = open_from[cursor[0] // BLOCK]
+                target = open_from(cursor[0] // BLOCK)
                 if target <= cursor[0]:
                     return True
 
         cursors = [[-1, int(self.post_start[t]), int(self.post_start[t + 1]), float(self.top[t])] for t in terms]
-        cursors = [c for c in cursors if jump(c, open_from[0])]
+        cursors = [c for c in cursors if jump(c, open_from(0))]
         while cursors:
             cursors.sort()
             bound, pivot = 0.0, None
