@@ -38,20 +38,39 @@ def record_id(page_id: int | None, url: str | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}|{url}|{digest}')}>"
 
 
+def _block_digest(block: bytes) -> str:
+    return f"WARC-Block-Digest: sha1:{digest_of(block)}"
+
+
+def _member(head: list[str], block: bytes) -> bytes:
+    """A record of the header lines and the block, as its own gzip member."""
+    pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return pack.compress("\r\n".join(["WARC/1.1", *head, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + pack.flush()
+
+
+def info_record(name: str, date: str) -> bytes:
+    """The record that a file begins with: what it is and who wrote it."""
+    block = b"software: auditmill\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", f"WARC-Date: {date}", f"WARC-Filename: {name}", _block_digest(block), "Content-Type: application/warc-fields"]
+    return _member(head, block)
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, refers_url: str | None, revisit: bool, date: str) -> tuple[bytes, str]:
-    """One record as its own gzip member, and the payload's digest. A revisit names the record that has the payload."""
+    """One record as its own gzip member, and the payload's digest. A revisit names the record that has the payload.
+
+    The block is an HTTP response: its head, then the payload; that of a revisit ends with the head.
+    """
     digest = digest_of(payload)
-    uri = quote(url or "", safe=SAFE)
-    body = b"" if revisit else payload
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    block = http if revisit else http + payload
     head = [
-        "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
         f"WARC-Record-ID: {record_id(page_id, url, digest)}",
         f"WARC-Date: {date}",
-        f"WARC-Target-URI: {uri}",
+        f"WARC-Target-URI: {quote(url or '', safe=SAFE)}",
         f"WARC-Payload-Digest: sha1:{digest}",
-        "Content-Type: text/html; charset=utf-8",
-        f"Content-Length: {len(body)}",
+        _block_digest(block),
+        "Content-Type: application/http; msgtype=response",
         f"X-Page-Id: {'' if page_id is None else page_id}",
         f"X-Payload-Length: {len(payload)}",
     ]
@@ -62,9 +81,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
             f"WARC-Refers-To-Target-URI: {quote(refers_url or '', safe=SAFE)}",
             f"X-Refers-To-Page-Id: {refers_to}",
         ]
-    plain = "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
-    pack = zlib.compressobj(6, zlib.DEFLATED, 31)
-    return pack.compress(plain) + pack.flush(), digest
+    return _member(head, block), digest
 
 
 def parse(member: bytes) -> dict:
@@ -77,7 +94,7 @@ def parse(member: bytes) -> dict:
     plain = zlib.decompress(member, 31)
     head, _, rest = plain.partition(b"\r\n\r\n")
     fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-    body = rest[: int(fields["Content-Length"])]
+    _, _, body = rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")
     number = lambda name: int(fields[name]) if fields.get(name) else None
     said = fields["WARC-Payload-Digest"].removeprefix("sha1:")
     response = fields["WARC-Type"] == "response"
@@ -106,8 +123,9 @@ def _writer(folder: str, date: str, file_bytes: int):
                     if out is not None:
                         out.close()
                     # The name is new for each attempt: what a lost attempt wrote is never in the index.
-                    name, at = f"{uuid.uuid4().hex}.warc.gz", 0
+                    name = f"{uuid.uuid4().hex}.warc.gz"
                     out = fs.open_output_stream(f"{base}/{name}", compression=None)
+                    at = out.write(info_record(name, date))
                 member, digest = record(r["page_id"], r["url"], r["payload"], r["keep"], r["keep_url"], r["revisit"], date)
                 out.write(member)
                 rows.append((f"{folder}/{name}", at, len(member), r["url"], digest, "revisit" if r["revisit"] else "response", r["page_id"]))
@@ -144,7 +162,8 @@ def write_warc(
 
     Equal payloads meet as digests, first in parts of each digest and then as one row a part, so
     a payload of any number of rows is dealt over many tasks. Each record is a gzip member of
-    its own; the index has file, offset, length, url and digest for each.
+    its own; the index has file, offset, length, url and digest for each. A file begins with a warcinfo record,
+    which the index leaves out.
     """
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(

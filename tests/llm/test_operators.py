@@ -4,9 +4,12 @@ import base64
 import datetime
 import gzip
 import hashlib
+import http.client
+import io
 import math
 import random
 import re
+import types
 import zlib
 
 import numpy as np
@@ -280,7 +283,9 @@ def test_decontamination_by_one_side(spark):
     assert first.question_overlap == 1.0 and first.answer_overlap == 0.0 and first.overlap < 0.8
 
 
-def test_pivots_find_what_full_scores_find():
+@pytest.mark.parametrize("cells", [1, 100, 1 << 22])
+def test_pivots_find_what_full_scores_find(monkeypatch, cells):
+    monkeypatch.setattr(decontaminate, "CELLS", cells)
     random.seed(6)
     words = [f"w{i}" for i in range(60)]
     items = [(i, random.choices(words, k=random.randint(3, 40)), random.choice((0, 2, 15))) for i in range(150)]
@@ -650,3 +655,42 @@ def test_warc_round_trip(spark):
     small = warc.read_warc(warc.write_warc(pages, shared_path(spark, "warc"), min_revisit_bytes=100), 2).collect()
     assert {r.record_type for r in small} == {"response"}
     assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+def _plain_records(path):
+    """(headers, block) of the records of an archive, by the standard library alone."""
+    with gzip.open(path) as f:
+        while line := f.readline():
+            assert line == b"WARC/1.1\r\n"
+            fields = http.client.parse_headers(f)
+            block = f.read(int(fields["Content-Length"]))
+            assert f.read(4) == b"\r\n\r\n"
+            yield fields, block
+
+
+def test_warc_files_are_read_by_other_readers(spark):
+    """Whole files read from their start: a warcinfo record, then HTTP responses; revisits end with the head."""
+    texts = ["<p>one</p>\r\n\r\ntail", "", "ж" * 3000, "<p>one</p>\r\n\r\ntail", None, "HTTP/1.1 404 No\r\n\r\n"]
+    pages = spark.createDataFrame([(i, f"http://x/{i}", t) for i, t in enumerate(texts)], "page_id long, url string, html string").repartition(2)
+    index = warc.write_warc(pages, shared_path(spark, "warc"), file_bytes=300)
+    files = {r.file for r in index.select("file").distinct().collect()}
+    seen = {}
+    for file in files:
+        first, *rest = _plain_records(file.removeprefix("file://"))
+        assert first[0]["WARC-Type"] == "warcinfo" and first[0]["WARC-Filename"] == file.rsplit("/", 1)[1] and b"format: WARC" in first[1]
+        for fields, block in rest:
+            assert fields["WARC-Block-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
+            raw = io.BytesIO(block)
+            answer = http.client.HTTPResponse(types.SimpleNamespace(makefile=lambda _: raw))  # noqa: B023
+            answer.begin()
+            assert answer.status == 200 and answer.headers.get_content_type() == "text/html"
+            n = int(fields["X-Page-Id"])
+            text = (texts[n] or "").encode()
+            assert int(answer.headers["Content-Length"]) == len(text) and fields["WARC-Target-URI"] == f"http://x/{n}"
+            assert raw.read() == (text if fields["WARC-Type"] == "response" else b"")
+            seen[n] = fields["WARC-Type"]
+    assert seen == {0: "revisit", 1: "revisit", 2: "response", 3: "response", 4: "response", 5: "response"}
+    # Ranges smaller than a record and of any gap give the same records.
+    whole = sorted((r.page_id, r.payload) for r in warc.read_warc(index, 2).collect())
+    assert whole == sorted((r.page_id, r.payload) for r in warc.read_warc(index, 3, gap=0, most=1).collect())
+    assert whole == sorted((r.page_id, r.payload) for r in warc.read_warc(index, 1, gap=1 << 30, most=1 << 30).collect())
