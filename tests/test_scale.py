@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from auditmill.operators import checks
+from auditmill.operators import checks, ingest
 from auditmill.plans import views, visit_queries
 from pyspark.sql import functions as F
 
@@ -35,3 +35,13 @@ def test_equal_diagnoses_are_searched_once_and_texts_stand_once(spark, tmp_path,
     twice = sorted(map(tuple, visit_queries.check_diagnosis(spark, copied(spark, tmp_path, "part", "p_partkey", 2)).collect()))
     assert seen[0][0] == seen[1][0] and all(n == distinct for _, n, distinct in seen)
     assert len(twice) == 2 * len(once) and [r[1:] for r in twice[: len(once)]] == [r[1:] for r in once]
+
+
+def test_table_chunks_read_a_page_once_and_shuffle_nothing(spark):
+    page = "<h1>A</h1><h2> </h2><ul><li>x\"</li><li>й</li></ul><h2>B</h2><table><tr><th>k</th></tr>" + "".join(f"<tr><td>{n}</td></tr>" for n in range(10)) + "</table>"
+    made = ingest.table_chunks(spark.createDataFrame([(1, page), (2, "<table><tr><th>k</th></tr><tr><td>v</td></tr></table>"), (3, None)], "page_id long, html string"))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("MapInPandas") == 1
+    got = sorted(tuple("~" if v is None else v for v in r) for r in made.collect())
+    batch = lambda first, last: "[" + ", ".join(f'{{"k": "{n}"}}' for n in range(first, last)) + "]"
+    assert got == [(1, -1, 0, "~", '[{"text":"x\\""},{"text":"й"}]'), (1, 0, 0, "B", batch(0, 8)), (1, 0, 1, "B", batch(8, 10)), (2, 0, 0, "~", '[{"k": "v"}]')]
