@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from auditmill.operators import checks, ingest
+from auditmill.operators import answers, checks, ingest, rules
 from auditmill.plans import views, visit_queries
 from pyspark.sql import functions as F
 
@@ -45,3 +45,52 @@ def test_table_chunks_read_a_page_once_and_shuffle_nothing(spark):
     got = sorted(tuple("~" if v is None else v for v in r) for r in made.collect())
     batch = lambda first, last: "[" + ", ".join(f'{{"k": "{n}"}}' for n in range(first, last)) + "]"
     assert got == [(1, -1, 0, "~", '[{"text":"x\\""},{"text":"й"}]'), (1, 0, 0, "B", batch(0, 8)), (1, 0, 1, "B", batch(8, 10)), (2, 0, 0, "~", '[{"k": "v"}]')]
+
+
+def test_findings_are_made_once_for_a_visit(spark):
+    """What is blank and what predicates find stands below the join with the rules, and nothing filters by ``findings``."""
+    for query in (visit_queries.check_rules, visit_queries.check_rules_table, visit_queries.check_rules_scored):
+        plan = query(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("map_from_arrays") == 1
+        assert plan.index("LeftOuter") < plan.index("map_from_arrays")
+
+
+def test_exceptions_and_targets_are_sorted_out_once_for_a_type(spark):
+    kinds = (["all"], ["general"], "any")
+    rows = [(0, "a", "h", "required_field", kinds, ["date", "dynamics", "results"], None, "", "R", ""), (1, "b", "h", "conditional_required", kinds, ["dynamics", "results"], None, "", "C", ""),
+            (2, "c", "h", "allowed_missing", kinds, ["results"], None, "", "A", ""), (3, "d", "h", "structure_defect", kinds, None, None, "", "DUPLICATE_SEMANTIC_BLOCK", ""),
+            (4, "e", "h", "conditional_required", kinds, ["dynamics", "state"], None, "", "D", "")]
+    visits = views.visits(spark, SF).withColumn("visit_type", rules.visit_type(F.col("services")))
+    found = rules.check_visits(visits, spark.createDataFrame(rows, "pos int, " + rules.RULE)).orderBy("visit").collect()
+    assert all([tuple(f) for f in r.findings if f.flag in "RCAD"] == [("R", "dynamics"), ("D", "dynamics, state")] for r in found)
+    assert sum(f.flag == "DUPLICATE_SEMANTIC_BLOCK" for r in found for f in r.findings) == sum(r.flag == "CONFLICT" for r in visit_queries.check_rules_conflicts(spark, SF).collect()) > 0
+
+
+def test_prompts_are_shuffled_once_and_equal_ones_scored_once(spark, tmp_path):
+    log = str(tmp_path / "asked")
+
+    def make():
+        def score(texts):
+            with open(log, "a") as f:
+                f.writelines(f"{t}\n" for t in texts)
+            if "t3" in texts:
+                raise RuntimeError("down")
+            return [(t.upper(), "length" if t == "t4" else "stop") for t in texts]
+
+        return score
+
+    def run(store, n):
+        open(log, "w").close()
+        prompts = spark.range(n).select(F.col("id").alias("k"), (F.col("id") % 7).cast("string").alias("id")).withColumn("text", F.concat(F.lit("t"), "id"))
+        made = answers.score_each(prompts, make, ["k"], store)
+        got = {r.k: tuple(r)[1:] for r in made.collect()}
+        assert len(got) == n and all(got[k] == (("T" + str(k % 7), "cut" if k % 7 == 4 else "ok", "length" if k % 7 == 4 else None) if k % 7 != 3 else (None, "error", "RuntimeError: down")) for k in got)
+        with open(log) as f:
+            return made, set(f.read().split())
+
+    made, asked = run(None, 30_000)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and asked == {f"t{n}" for n in range(7)}
+    store = str(tmp_path / "answers")
+    assert run(store, 5)[1] == {f"t{n}" for n in range(5)}
+    assert run(store, 50)[1] == {"t3", "t5", "t6"}
