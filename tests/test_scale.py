@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 
+import pytest
 from auditmill.operators import answers, checks, ingest, rules
 from auditmill.plans import views, visit_queries
+from auditmill.sources import files
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -94,3 +96,35 @@ def test_prompts_are_shuffled_once_and_equal_ones_scored_once(spark, tmp_path):
     store = str(tmp_path / "answers")
     assert run(store, 5)[1] == {f"t{n}" for n in range(5)}
     assert run(store, 50)[1] == {"t3", "t5", "t6"}
+
+
+def test_plain_pages_are_read_as_the_parser_reads_them(monkeypatch):
+    class Record(files._Parser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.seen = []
+
+        def handle_starttag(self, tag, attrs):
+            self.seen.append((tag, attrs))
+
+        def handle_endtag(self, tag):
+            self.seen.append(("/", tag))
+
+        def handle_data(self, data):
+            self.seen.append(("=", data))
+
+    plain = '<H1>A</H1>\n<p Class="x">b > c</p><table><tr><td rowspan="2"\n colspan="3">й</td></tr></table>'
+    odd = ["<td a=\"1\">x", "<p a>x", "<!-- <p> -->x", "a &amp; b", "<script><p></script>", "<title><p></title>", "<br/>x", "<p a=\"1\"b=\"2\">x", "<", "</p", "<p>\0"]
+    for page in [plain, *odd]:
+        whole, mine = Record(), Record()
+        whole.feed(page)
+        whole.close()
+        files._read(mine, page)
+        assert mine.seen == whole.seen, page
+    monkeypatch.setattr(files._Parser, "feed", lambda *_: pytest.fail("a plain page is fed to the parser"))
+    assert files.tables_of(plain + "<table><tr><th>k</th></tr><tr><td>v</td></tr></table>")[1] == (1, 1, [{"k": "v"}])
+
+
+def test_many_columns_of_one_name():
+    names = list(files.tables_of("<table><tr>" + '<th colspan="1000">k</th>' * 3 + "<th>k.1</th></tr><tr><td>v</td></tr></table>")[0][2][0])
+    assert names == ["k", *[f"k.{n}" for n in range(1, 3000)], "k.1.1"]
