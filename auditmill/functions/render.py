@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import functools
+import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -157,13 +159,96 @@ def _json_children(text: Column, kind: Column) -> Column:
     return F.when(kind == "object", members).when(kind == "array", numbered_items)
 
 
+#: Longest text, deepest value and longest integer that plain_json() renders.
+PLAIN_CHARS, PLAIN_DEPTH, PLAIN_DIGITS = 1 << 15, 50, 18
+
+
+class _Object(list):
+    """The members of a JSON object, in the text's order."""
+
+
+def _members(pairs: list[tuple]) -> _Object:
+    if len({k for k, _ in pairs}) < len(pairs):
+        raise ValueError("a key is repeated")
+    return _Object(pairs)
+
+
+def _integer(text: str) -> str:
+    if len(text) > PLAIN_DIGITS or text == "-0":
+        raise ValueError("an integer that may be written otherwise")
+    return text
+
+
+def _refuse(text: str) -> None:
+    raise ValueError(text)
+
+
+_PLAIN_JSON = json.JSONDecoder(object_pairs_hook=_members, parse_int=_integer, parse_float=_refuse, parse_constant=_refuse)
+
+
+def plain_json(text: str | None) -> str | None:
+    """The lines of format_json() for a short text of objects, arrays, strings, short integers, true, false and null; None for every other."""
+
+    def scalar(value: object) -> str:
+        return DASH if value is None else (YES if value else NO) if isinstance(value, bool) else value
+
+    def add(value: list, depth: int) -> None:
+        if depth > PLAIN_DEPTH:
+            raise ValueError("too deep")
+        pad = "  " * depth
+        if not value:
+            lines.append(pad + DASH)
+        for label, x in [(f"{k}:", x) for k, x in value] if isinstance(value, _Object) else [(f"{n}.", x) for n, x in enumerate(value, 1)]:
+            if isinstance(x, list):
+                lines.append(pad + label)
+                add(x, depth + 1)
+            else:
+                lines.append(f"{pad}{label} {scalar(x)}")
+
+    if text is None or len(text) > PLAIN_CHARS or "\\u" in text:
+        return None
+    lines: list[str] = []
+    try:
+        value = _PLAIN_JSON.decode(text)
+        if not isinstance(value, list):
+            return scalar(value) if value is None or isinstance(value, bool) else None
+        add(value, 0)
+    except (ValueError, RecursionError):
+        return None
+    return "\n".join(lines)
+
+
 def format_json(rows: DataFrame, key: str, column: str) -> DataFrame:
     """(key, text): free JSON as key and value lines, like format_value() but without a declared schema.
 
-    Lists are numbered, depth indents by two, empty objects and arrays and nulls are a dash. Records
-    are opened level by level: a level is written, its lines have their path, and only objects and
-    arrays go on, so each level costs one pass and nothing recurs in a task. A text that is no
-    JSON (or repeats a key), or one JSON string, is shown as it stands. Null texts are a dash.
+    Lists are numbered, depth indents by two, empty objects and arrays and nulls are a dash. A text that is no
+    JSON (or repeats a key), or one JSON string, is shown as it stands. Null texts are a dash. A
+    text that plain_json() renders is one row from end to end; the others, if there are any, are opened
+    level by level (see _json_levels()).
+    """
+
+    @F.pandas_udf("string")
+    def plain(texts: pd.Series) -> pd.Series:
+        return texts.map(plain_json, na_action=None)
+
+    # A text that is rendered is not kept.
+    made = rows.select(key, F.col(column).alias("_j"), plain(F.col(column)).alias("_t"))
+    made = stored(made.select(key, F.when(F.col("_t").isNull(), F.col("_j")).alias("_j"), "_t"), "rendered")
+    done, left = made.where("_t IS NOT NULL").select(key, F.col("_t").alias("text")), made.where("_t IS NULL")
+    if left.isEmpty():
+        done._reads = (made,)
+        return done
+    opened = _json_levels(left, key, "_j")
+    out = done.unionByName(opened)
+    out._reads = (made, *opened._reads)
+    return out
+
+
+def _json_levels(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """format_json() of texts of any length, depth and numbers.
+
+    Records are opened level by level: a level is written, its lines have their path, and only objects and
+    arrays go on, so each level costs one pass and nothing recurs in a task.
     """
     value = F.try_parse_json(column)
     level = rows.select(key, F.array().cast("array<int>").alias("path"), F.col(column).alias("text"), F.coalesce(_json_kind(value), F.lit("scalar")).alias("kind"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import pytest
+from auditmill.functions import render
 from auditmill.operators import answers, checks, ingest, rules
 from auditmill.plans import views, visit_queries
 from auditmill.sources import files
@@ -128,3 +129,16 @@ def test_plain_pages_are_read_as_the_parser_reads_them(monkeypatch):
 def test_many_columns_of_one_name():
     names = list(files.tables_of("<table><tr>" + '<th colspan="1000">k</th>' * 3 + "<th>k.1</th></tr><tr><td>v</td></tr></table>")[0][2][0])
     assert names == ["k", *[f"k.{n}" for n in range(1, 3000)], "k.1.1"]
+
+
+def test_plain_json_is_rendered_in_one_pass_as_level_by_level(spark, monkeypatch):
+    texts = [
+        '{"a":1,"b":[true,null,{"c":"x\\ny"}],"d":{},"e":[]}', "[]", "{}", "[[[]]]", "true", "null", '"s"', "5", None, "", " ", "{", "[1,]", '{"a":1,"a":2}', '{"a":1.50,"b":1e3}', "[NaN]", "[-0]", "[1] x",
+        '[12345678901234567890]', '["\\u00e9"]', " [ 1 , -2 ] ", '{"":"","é":"\\/"}', "{'a':1}", '["a\tb"]', "[01]", "[" * 60 + "]" * 60, '{"k":{"k":false}}', '["{", "[1]", "null", "true"]', "\ufeff[1]",
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, j string")
+    both = [{r.i: r.text for r in f(rows, "i", "j").collect()} for f in (render.format_json, render._json_levels)]
+    assert both[0] == both[1] and len(both[0]) == len(texts)
+    monkeypatch.setattr(render, "_json_levels", lambda *_: pytest.fail("plain texts are opened level by level"))
+    made = render.format_json(rows.where("i < 4"), "i", "j")
+    assert made.count() == 4 and "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
