@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import re
+import time
+
 import pytest
 from auditmill.functions import json_text, render, text, vectors
 from pyspark.sql import functions as F
@@ -33,6 +36,14 @@ def test_sections(spark):
     assert sections("1.1 22\nx") == [(None, "1.1 22\nx")]
 
 
+def test_sections_of_a_long_text(spark):
+    """A text is cut once: work that grew with the square of the lines took minutes here."""
+    lines, start = "".join(f"1.{n} Title {n}\nbody\n" for n in range(10_000)), time.time()
+    frame = spark.createDataFrame([(lines,)], "c string").select(F.explode(text.split_sections(c())).alias("s")).select("s.*")
+    found = frame.agg(F.count("*"), F.min("title"), F.count_if(F.col("text") == F.concat("title", F.lit("\nbody")))).first()
+    assert tuple(found) == (10_000, "1.0 Title 0", 10_000) and time.time() - start < 20
+
+
 def test_front_matter(spark):
     cut = lambda t: one(spark, text.strip_front_matter(c(), "Abbr"), t)
     assert cut("x Abbr y Abbr z ") == "Abbr z"
@@ -83,6 +94,14 @@ def test_issues(spark):
         assert parse(bad) == []
 
 
+def test_plain_issues_as_the_parser_reads_them(spark):
+    """An answer of one plain issue is read by one expression; whatever else is in it goes to the parser."""
+    said = ['[{"issue": "Я (x)", "sources": []}]', '[{"issue": "", "sources": []}]', '[{"issue": "a\\"b", "sources": []}]', '[{"issue": "a", "sources": []}, {"issue": "b", "sources": []}]', '[{"issue":"a","sources":[]}]x']
+    frame = spark.createDataFrame([(n, t) for n, t in enumerate(said)], "n int, c string").select("n", json_text.parse_issues(c()).alias("i"))
+    assert {r.n: [tuple(x) for x in r.i] for r in frame.collect()} == {0: [("Я (x)", [])], 1: [], 2: [('a"b', [])], 3: [("a", []), ("b", [])], 4: [("a", [])]}
+    assert re.fullmatch(json_text.PLAIN_ISSUE.replace("\\z", ""), said[0]) and not any(re.fullmatch(json_text.PLAIN_ISSUE.replace("\\z", ""), t) for t in said[1:])
+
+
 def test_findings_and_questions(spark):
     assert [tuple(f) for f in one(spark, json_text.parse_findings(c()), '{"findings": [{"flag": "F", "issue": "i"}]}')] == [("F", "i")]
     assert one(spark, json_text.parse_findings(c()), "oops") == []

@@ -440,6 +440,29 @@ def test_tables_are_chunks_with_their_columns_and_section(spark):
     }
 
 
+def test_offline_checker_keeps_a_checkers_last_texts(monkeypatch):
+    """Prompts of one context are judged without lowering its texts again; another context's are not mixed up with them."""
+    judge, lowered = checks.offline_checker(), []
+
+    class Text(str):
+        def __getitem__(self, at):
+            return Text(super().__getitem__(at))
+
+        def lower(self):
+            lowered.append(self)
+            return super().lower()
+
+    record = lambda name: f"Имя: P\nГруппа: G\n\nНаименование МКБ: {name}\n"
+    prompts = [Text(checks._prompt(k, record(name), section, "all")) for section in ("Hot RING", "cold", render.NOTHING_FOUND) for name in ("ring", "bolt") for k in checks.SECTIONS]
+    want = {"Hot RING": {"ring": [], "bolt": ["not mentioned: bolt (G)"]}, "cold": {n: [f"not mentioned: {n} (G)"] for n in ("ring", "bolt")}}
+    said = [[i["issue"] for i in json.loads(a)] for a, _ in judge(prompts)]
+    assert said == [want.get(s, {}).get(n, ["no text of the section"]) for s in ("Hot RING", "cold", render.NOTHING_FOUND) for n in ("ring", "bolt") for _ in checks.SECTIONS]
+    assert sum(s in ("Hot RING", "cold") for s in lowered) == 6 and not any("all" in s for s in lowered)
+    # The digest of a message is made once for all kinds.
+    told = hashlib.sha256(b"m").hexdigest()
+    assert answers.prompt_id("k", "d", told) == hashlib.sha256(f"1:k1:d64:{told}".encode()).hexdigest()
+
+
 def test_a_second_audit_scores_nothing(spark, tmp_path):
     """Two visits of one diagnosis are judged each by its own record; answers are kept by content, failures are not."""
     visits = nested(
