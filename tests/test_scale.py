@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 
 import pytest
-from auditmill.functions import render
+from auditmill.functions import render, text
 from auditmill.operators import answers, checks, ingest, rules
 from auditmill.plans import views, visit_queries
 from auditmill.sources import files
@@ -142,3 +142,16 @@ def test_plain_json_is_rendered_in_one_pass_as_level_by_level(spark, monkeypatch
     monkeypatch.setattr(render, "_json_levels", lambda *_: pytest.fail("plain texts are opened level by level"))
     made = render.format_json(rows.where("i < 4"), "i", "j")
     assert made.count() == 4 and "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_are_not_shuffled_again_to_be_grouped_by_visit(spark):
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    lines = views.visit_lines(spark, SF)
+    assert exchanges(lines.groupBy("visit").agg(F.collect_list("code"))) == exchanges(lines)
+
+
+def test_stripped_takes_white_space_of_every_kind_without_a_pattern(spark):
+    kinds = [chr(i) for i in [*range(0xD800), *range(0xE000, 0x110000)]]
+    rows = spark.createDataFrame([(c + " a" + c + "b\n" + c,) for c in kinds] + [(c,) for c in kinds] + [(None,)], "t string")
+    assert rows.where(~text.stripped(F.col("t")).eqNullSafe(F.regexp_replace("t", r"(?U)^\s+|\s+$", ""))).count() == 0
+    assert "regexp" not in rows.select(text.stripped(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
