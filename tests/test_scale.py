@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+import tempfile
+import uuid
 
+import pyarrow as pa
 import pytest
 from auditmill.functions import render, text
-from auditmill.operators import answers, checks, ingest, rules
+from auditmill.operators import answers, audit, checks, ingest, rules
 from auditmill.plans import views, visit_queries
-from auditmill.sources import files
+from auditmill.sources import files, scratch
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -155,3 +159,78 @@ def test_stripped_takes_white_space_of_every_kind_without_a_pattern(spark):
     rows = spark.createDataFrame([(c + " a" + c + "b\n" + c,) for c in kinds] + [(c,) for c in kinds] + [(None,)], "t string")
     assert rows.where(~text.stripped(F.col("t")).eqNullSafe(F.regexp_replace("t", r"(?U)^\s+|\s+$", ""))).count() == 0
     assert "regexp" not in rows.select(text.stripped(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    def left():
+        held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {held.apply(n).getName() for n in range(held.size()) if held.apply(n).getName().startswith("shuffle")}
+
+    rows, before = spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), left()
+    made = scratch.stored(rows.join(rows.withColumnRenamed("count", "n"), "k"), "counts")
+    assert not left() - before
+    assert made.count() == 7 and rows.count() == 7
+
+
+def test_rows_that_meet_texts_are_shuffled_once(spark, monkeypatch):
+    monkeypatch.setattr(answers, "ROWS", 10)
+    rows = spark.createDataFrame([(k, n) for k, many in (("a", 95), ("b", 3), (None, 2)) for n in range(many)], "k string, n long")
+    held = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "k string, t long")
+    show = lambda rows, texts: pa.table({"n": rows.column("n"), "t": pa.array([texts.column("t").to_pylist()[0]] * len(rows)), "all": pa.array([len(rows)] * len(rows))})
+    width = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = answers.with_texts(rows, held, "k", F.col("n"), show, "n long, t long, all long")
+        assert made._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") == 1  # of what is held
+        got = made.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", width)
+    assert sorted((r.n, r.t) for r in got) == sorted([(n, 1) for n in range(95)] + [(n, 2) for n in range(3)])
+    assert max(r["all"] for r in got if r.t == 1) < 40
+
+
+def test_a_pass_reads_its_own_lines(spark):
+    """The condition of a pass stands at the files of orders and lines, below every shuffle."""
+    own = views.visits(spark, SF).where(F.pmod(F.xxhash64("visit"), F.lit(3)) == 1)
+    plan = own._jdf.queryExecution().optimizedPlan().toString()
+    assert [sum(f"xxhash64({key}" in line for line in plan.split("\n")) for key in ("o_orderkey", "l_orderkey")] == [1, 1]
+
+
+def test_an_audit_in_passes_is_that_of_one_pass(spark, tmp_path, monkeypatch):
+    """Equal prompts are scored once whatever pass their visits are made in, and only results stay."""
+    record = lambda n: ({"Имя": f"P{n % 7}"}, [("Первичный приём",)], [("A01", "cough", None, True), ("Z9", None, None, None)][: n % 3], [("Жалобы", f"c{n % 7}")])
+    visits = spark.createDataFrame(
+        [(n if n % 9 else None, f"G{n}", "2024-01-01", *record(n)) for n in range(40)] + [(99, None, None, None, None, None, None)],
+        "visit long, guid string, date string, patient map<string,string>, services array<struct<name:string>>, "
+        "diagnoses array<struct<code:string,name:string,detail:string,first_time:boolean>>, inspection array<struct<param:string,value:string>>",
+    )
+    manifest = spark.createDataFrame([("g1", "acute", "A01", 1)], "id string, name string, codes string, pos int")
+    docs = spark.createDataFrame([(1, "g1", "Cough", '{"section":"Жалобы"}', [1.0, 0.0])], "doc_id long, file_id string, chunk string, metadata string, fact_vec array<double>")
+    log = str(tmp_path / "asked")
+
+    def make():
+        def score(texts):
+            with open(log, "a") as f:
+                f.writelines(hashlib.md5(t.encode()).hexdigest() + "\n" for t in texts)
+            return [('[{"flag":"OTHER","issue":"%d"}]' % len(t), "stop") for t in texts]
+
+        return score
+
+    def run(**options):
+        open(log, "w").close()
+        folder = tempfile.mkdtemp(dir=tmp_path)
+        for module in (scratch, audit):
+            monkeypatch.setattr(module, "scratch_path", lambda spark, label: f"file://{folder}/{label}-{uuid.uuid4().hex}")
+        listed = rules.default_rules(spark, rules.DEFAULT_RULES + rules.MORE_RULES)
+        made = audit.audit_visits(
+            visits, manifest, spark.createDataFrame([("g5",)], "guid string"), listed=listed, docs=docs, embed=lambda cases: cases.withColumn("embedding", F.array(F.lit(1.0), F.lit(0.5))),
+            make_checker=make, make_rule_checker=make, with_input=True, **options,
+        )
+        rows, kinds = sorted(map(str, made.collect())), [x.split("-")[0] for x in os.listdir(folder)]
+        assert not [x for d, _, names in os.walk(folder) for x in names if "/due-" in d and "_slice" in d] and not {"checked", "contexts", "resolved", "pairs"} & set(kinds)
+        with open(log) as f:
+            return rows, kinds.count("audited"), sorted(f.read().split())
+
+    rows, parts, asked = run()
+    assert len(rows) == 40 and parts == 1 and 20 < len(asked) == len(set(asked))
+    assert run(passes=2) == (rows, 2, asked)
