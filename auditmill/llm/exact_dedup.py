@@ -30,6 +30,8 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not len(batch):
             continue
+        # Counts come as never null, what waits may be null to Arrow: batches that meet need one schema.
+        batch = pa.RecordBatch.from_arrays([batch.column(c) for c in names], names)
         if waiting is not None:
             batch = pa.Table.from_batches([waiting, batch]).combine_chunks().to_batches()[0]
         new = np.ones(len(batch), bool)

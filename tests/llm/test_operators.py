@@ -135,6 +135,20 @@ def test_exact_dedup(docs, none):
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, other), key=str)
 
 
+def test_exact_dedup_of_tasks_with_several_batches(spark):
+    """A task's entries come in more than one batch in every round, also in the first one, whose counts are never null."""
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 700).alias("text"))
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    most = spark.conf.get(conf)
+    spark.conf.set(conf, "20")
+    try:
+        got = exact_dedup.exact_dedup(docs, runs=4, ways=2).collect()
+    finally:
+        spark.conf.set(conf, most)
+    last = {n: max(range(n, 2000, 700)) for n in range(700)}
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == [(n, last[n % 700], len(range(n % 700, 2000, 700)), n == last[n % 700]) for n in range(2000)]
+
+
 # 5: mixing
 
 
